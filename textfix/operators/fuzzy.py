@@ -54,20 +54,26 @@ def rank_candidates(candidates: DataFrame, top: int) -> DataFrame:
 
 
 def gate(ranked: DataFrame, cfg: SpellConfig) -> DataFrame:
-    """One row per word: best term, its distance and count, runner-up count, ``autofix`` flag.
+    """One row per word: best term, its distance and count, runner-up count, ``autofix`` flag, and
+    ``terms``, the ranked terms in order.
 
     The runner-up is the next term at the same distance. The best term is safe when it is near,
     common, and far more common than the runner-up.
     """
-    per_word = ranked.where(F.col("rank") <= 2).groupBy("word").agg(
-        F.max_by("term", F.when(F.col("rank") == 1, 1)).alias("term"),
-        F.max(F.when(F.col("rank") == 1, F.col("distance"))).alias("distance"),
-        F.max(F.when(F.col("rank") == 1, F.col("count"))).alias("count"),
-        F.max(F.when((F.col("rank") == 2) & F.col("closest"), F.col("count"))).alias("runner_up"),
+    listed = F.array_sort(F.collect_list(F.struct("rank", "term", "distance", "count", "closest")))
+    per_word = ranked.groupBy("word").agg(listed.alias("_l"))
+    best, second = F.get("_l", F.lit(0)), F.get("_l", F.lit(1))
+    flat = per_word.select(
+        "word",
+        best["term"].alias("term"),
+        best["distance"].alias("distance"),
+        best["count"].alias("count"),
+        F.when(second["closest"], second["count"]).alias("runner_up"),
+        F.transform("_l", lambda c: c["term"]).alias("terms"),
     )
     safe = (
         (F.col("distance") <= cfg.autocorrect_max_distance)
         & (F.col("count") >= cfg.min_suggestion_count)
         & F.coalesce(F.col("count") >= cfg.dominance_ratio * F.col("runner_up"), F.lit(True))
     )
-    return per_word.withColumn("autofix", safe)
+    return flat.withColumn("autofix", safe)

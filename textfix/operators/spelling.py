@@ -21,7 +21,7 @@ from textfix.functions.text import (
 from textfix.operators.dictionary import unknown_words, vocabulary
 from textfix.operators.fuzzy import fuzzy_candidates, gate, rank_candidates
 from textfix.operators.lookup import inline_lookup, lookup_join
-from textfix.session import materialize
+from textfix.session import computed_once, materialize
 
 
 def correctable_cores(text: Column, cfg: SpellConfig) -> Column:
@@ -94,7 +94,7 @@ def spell_correct(
     fixes = materialize(autofixes(words, dictionary, cfg), "fixes")
     fix_of = inline_lookup(fixes, "word", "fix", cfg.inline_rows)
     if fix_of is not None:
-        return df.withColumn(out, _repair(F.col(text), fix_of, cfg))
+        return computed_once(df, out, _repair(F.col(text), fix_of, cfg))
     if not id_cols:
         raise ValueError("id_cols is needed to join a large table of fixes")
     used = df.select(
@@ -112,10 +112,8 @@ def spell_correct(
     )
     joined = df.join(per_text, id_cols, "left")
     no_fix = F.create_map().cast("map<string,string>")
-    return joined.withColumn(
-        out,
-        _repair(F.col(text), lambda w: F.coalesce(F.col("_fixes"), no_fix)[w], cfg),
-    ).drop("_fixes")
+    repaired = _repair(F.col(text), lambda w: F.coalesce(F.col("_fixes"), no_fix)[w], cfg)
+    return computed_once(joined, out, repaired).drop("_fixes")
 
 
 def word_decisions(words: DataFrame, dictionary: DataFrame, cfg: SpellConfig) -> DataFrame:
@@ -130,17 +128,7 @@ def word_decisions(words: DataFrame, dictionary: DataFrame, cfg: SpellConfig) ->
     ranked = rank_candidates(
         fuzzy_candidates(unknown, dictionary, cfg.max_edit_distance), max(cfg.top_suggestions, 2)
     )
-    listed = ranked.groupBy("word").agg(
-        F.transform(
-            F.array_sort(
-                F.collect_list(
-                    F.when(F.col("rank") <= cfg.top_suggestions, F.struct("rank", "term"))
-                )
-            ),
-            lambda s: s["term"],
-        ).alias("_terms")
-    )
-    best = gate(ranked, cfg).join(listed, "word").select("word", "term", "autofix", "_terms")
+    best = gate(ranked, cfg).select("word", "term", "autofix", "terms")
     status = (
         F.when(F.col("_known"), "ok")
         .when(F.col("term").isNull(), "unknown")
@@ -153,7 +141,9 @@ def word_decisions(words: DataFrame, dictionary: DataFrame, cfg: SpellConfig) ->
         .select(
             "word", "n", "status",
             F.when(F.col("status") == "autofix", F.col("term")).alias("fix"),
-            F.when(F.col("status") == "suggest", F.col("_terms")).alias("candidates"),
+            F.when(
+                F.col("status") == "suggest", F.slice("terms", 1, cfg.top_suggestions)
+            ).alias("candidates"),
         )
     )
 
@@ -178,7 +168,7 @@ def analyze_tokens(
     """Token table with status, fix and candidates of every word."""
     cfg = cfg or SpellConfig()
     ids = id_cols or ["id"]
-    words = speller_vocabulary(df, text, cfg)
+    words = materialize(speller_vocabulary(df, text, cfg), "vocabulary")
     decisions = materialize(word_decisions(words, dictionary, cfg), "decisions")
     plain = plain_core(F.col("raw"))
     looked_up = (F.col("kind") == "word") & (plain != "") & case_allows(plain, cfg)

@@ -18,7 +18,7 @@ from textfix.operators.dictionary import vocabulary
 from textfix.operators.lookup import inline_lookup, lookup_join
 from textfix.operators.ordering import CHUNK_ROWS, number_rows, previous_value
 from textfix.operators.spelling import spell_correct
-from textfix.session import materialize
+from textfix.session import computed_once, materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -146,9 +146,8 @@ def correct(
         F.col("_guarded").alias("meaning_guarded"),
         (F.col("_final") != original).alias("changed"),
     )
-    return step.select(
-        *df.columns, F.when(original.isNotNull(), record).alias("correction")
-    )
+    done = computed_once(step, "correction", F.when(original.isNotNull(), record))
+    return done.select(*df.columns, "correction")
 
 
 def split_sentences(df: DataFrame, id_cols: list[str], text: str = "text") -> DataFrame:

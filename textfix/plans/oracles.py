@@ -399,7 +399,7 @@ ORACLES: dict[str, str] = {
         SELECT word, term, {osa('word', 'term')}::BIGINT AS distance, {osa('t', 'term')}::BIGINT AS turned FROM turn""",
     "rank_candidates": f"WITH {UNKNOWN}, {near(1)}, {RANKED1} SELECT word, term, rk AS rank, true AS closest FROM ranked1",
     "topk_candidates": f"WITH {ANALYZED} SELECT word, rk AS rank, term, cnt AS count FROM ranked2 WHERE rk <= 6",
-    "autofix_gate": f"""WITH {UNKNOWN}, {near(1)}, {RANKED1} SELECT word, term, cnt AS count, nxt AS runner_up,
+    "autofix_gate": f"""WITH {UNKNOWN}, {near(1)}, {RANKED1} SELECT word, term, cnt AS count, coalesce(nxt, 0) AS runner_up,
         cnt >= 50 AND (nxt IS NULL OR cnt >= 2 * nxt) AS autofix FROM ranked1 WHERE rk = 1""",
     "spell_correct": f"""WITH {spell('documents', 'doc_id', 'text')}
         SELECT doc_id, spelled AS spell_corrected FROM spelled""",

@@ -197,7 +197,9 @@ def topk_candidates(spark, sf):
 @query
 def autofix_gate(spark, sf):
     ranked = fuzzy.rank_candidates(_candidates(spark, sf, 1), 2)
-    return fuzzy.gate(ranked, fx.SPELL).select("word", "term", "count", "runner_up", "autofix")
+    return fuzzy.gate(ranked, fx.SPELL).select(
+        "word", "term", "count", F.coalesce("runner_up", F.lit(0)).alias("runner_up"), "autofix"
+    )
 
 
 @query
