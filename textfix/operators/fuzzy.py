@@ -19,6 +19,8 @@ def fuzzy_candidates(
     ``k`` more characters, so its group is bounded by the alphabet, not by the size of the data.
     Words too long for any term are dropped first; they have no candidate.
     """
+    # Words are few bytes but much work: one task per shuffle partition, whatever their size.
+    tasks = int(vocabulary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     longest = dictionary.agg(F.max(F.length("term")).alias("m")).scalar()
 
     def keyed(df: DataFrame, column: str) -> DataFrame:
@@ -27,7 +29,8 @@ def fuzzy_candidates(
 
     left = keyed(
         vocabulary.select(F.col(word).alias("word"))
-        .where((F.length("word") > 0) & (F.length("word") <= longest + k)),
+        .where((F.length("word") > 0) & (F.length("word") <= longest + k))
+        .repartition(tasks, "word"),
         "word",
     )
     right = keyed(dictionary.select("term", "count").where(F.length("term") > 0), "term")

@@ -102,10 +102,9 @@ def blocks_from_text(blocks: DataFrame, annotator: int = 0) -> DataFrame:
 
 def m2_pairs(blocks: DataFrame) -> DataFrame:
     """Rebuild (file, block, src, tgt) by applying the edits of each block."""
-    return blocks.select(
-        "file", "block",
-        F.array_join("src", " ").alias("src"),
-        F.array_join(apply_edits(F.col("src"), F.col("edits")), " ").alias("tgt"),
+    rebuilt = blocks.select("file", "block", "src", apply_edits(F.col("src"), F.col("edits")).alias("t"))
+    return rebuilt.select(
+        "file", "block", F.array_join("src", " ").alias("src"), F.array_join("t", " ").alias("tgt")
     )
 
 

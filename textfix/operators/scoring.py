@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from textfix.functions.similarity import ratio
 from textfix.functions.text import normalize
+from textfix.session import computed_once
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -67,9 +68,12 @@ def scored(df: DataFrame, autojunk: bool = True) -> DataFrame:
     normed = with_norms(df)
     sims = {"n_in": "sim_in", "n_out": "sim_out", "n_ref": "sim_ref"}
     gold = F.col("n_gold")
-    return normed.withColumns(
+    full = normed.withColumns(
         {s: ratio(F.col(n), gold, autojunk) for n, s in sims.items() if n in normed.columns}
-    ).withColumn("bucket", scope_of(F.col("use_case")))
+    )
+    added = [c for c in full.columns if c not in df.columns]
+    packed = computed_once(full, "_s", F.struct(*added))
+    return packed.select(*df.columns, "_s.*").withColumn("bucket", scope_of(F.col("use_case")))
 
 
 def _percent(flag: Column) -> Column:

@@ -186,7 +186,7 @@ PROFILE = f"""{VERDICT}, pf AS (SELECT count(*)::BIGINT AS n,
     count(*) FILTER (verdict <> 'unchanged') AS edited,
     count(*) FILTER (verdict = 'improved') AS improved,
     count(*) FILTER (verdict = 'regressed') AS regressed,
-    count(*) FILTER (verdict = 'lateral') AS lateral,
+    count(*) FILTER (verdict = 'lateral') AS "lateral",
     count(*) FILTER (verdict <> 'unchanged' AND n_out = n_gold) AS exact_edits,
     avg((n_out = n_gold)::INT::DOUBLE) * 100 AS match_pct FROM vd)"""
 
@@ -300,7 +300,7 @@ M2_PAIRS = f"""{M2_BLOCKS}, flags AS (SELECT file, block, src,
     m2p AS (SELECT file, block, array_to_string(src, ' ') AS src, array_to_string(
         (CASE WHEN e01 THEN [] ELSE src[1:1] END) || (CASE WHEN e12 THEN ['xx', 'yy'] ELSE src[2:2] END)
         || src[3:3] || (CASE WHEN e33 THEN ['zz'] ELSE [] END) || src[4:], ' ') AS tgt FROM flags)"""
-M2_PREP = f"""{M2_PAIRS}, prepared AS (SELECT src, tgt, min({{'file': file, 'block': block}}) AS at FROM m2p
+M2_PREP = f"""{M2_PAIRS}, prepared AS (SELECT src, tgt, min({{'file': file, 'block': block}}) AS spot FROM m2p
     WHERE trim(src) <> '' AND trim(tgt) <> '' AND src <> tgt GROUP BY src, tgt)"""
 
 LANG8 = f"""{FLAT}, entries AS (SELECT sid, CASE WHEN sid % 11 = 0 THEN 'x' ELSE (sid % 4)::VARCHAR END AS cnt,
@@ -467,10 +467,10 @@ ORACLES: dict[str, str] = {
     "by_scope": f"""WITH {SCORED} SELECT bucket, count(*)::BIGINT AS n, avg((n_out = n_gold)::INT::DOUBLE) * 100 AS ours,
         avg((n_ref = n_gold)::INT::DOUBLE) * 100 AS ref, round(avg(sim_out), 6) AS our_sim, round(avg(sim_in), 6) AS in_sim,
         CASE WHEN avg(sim_out) >= avg(sim_in) THEN 'net+' ELSE 'net-' END AS net FROM sc GROUP BY bucket""",
-    "error_profile": f"""WITH {PROFILE} SELECT n, unchanged, edited, improved, regressed, lateral, exact_edits,
+    "error_profile": f"""WITH {PROFILE} SELECT n, unchanged, edited, improved, regressed, "lateral", exact_edits,
         100 * unchanged / n AS unchanged_pct, 100 * edited / n AS edited_pct,
         100 * improved / greatest(edited, 1) AS improved_pct, 100 * regressed / greatest(edited, 1) AS regressed_pct,
-        100 * lateral / greatest(edited, 1) AS lateral_pct, 100 * exact_edits / greatest(edited, 1) AS exact_edits_pct,
+        100 * "lateral" / greatest(edited, 1) AS lateral_pct, 100 * exact_edits / greatest(edited, 1) AS exact_edits_pct,
         100 * improved / greatest(edited, 1) AS edit_precision FROM pf""",
     "model_profile": f"""WITH {PROFILE} SELECT n, edited, improved, match_pct, 100 * improved / greatest(edited, 1)
         AS edit_precision, match_pct = 0 AND edited = n AND improved = 0 AS suspect_run FROM pf""",
@@ -497,7 +497,7 @@ ORACLES: dict[str, str] = {
         SELECT user_id, min(ts) AS chunk_start, max(ts) AS chunk_end, count(*)::BIGINT AS n FROM s GROUP BY user_id, k""",
     "m2_blocks": f"""WITH {M2_BLOCKS} SELECT file, block, array_to_string(src, ' ') AS src, coalesce(len(edits), 0)::BIGINT AS n_edits
         FROM blocks""",
-    "m2_pairs": f"WITH {M2_PREP} SELECT src, tgt, at.file AS file, at.block AS block FROM prepared",
+    "m2_pairs": f"WITH {M2_PREP} SELECT src, tgt, spot.file AS file, spot.block AS block FROM prepared",
     "prep_counters": f"""WITH {M2_PREP} SELECT (SELECT count(DISTINCT file) FROM blocks) AS files,
         (SELECT count(*) FROM prepared) AS pairs,
         (SELECT count(*) FROM m2p WHERE src = tgt AND trim(src) <> '') AS identities""",

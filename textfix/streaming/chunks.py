@@ -18,15 +18,18 @@ def idle_chunks(
     Time is cut into slices, so that the rows of a very active key are spread over many tasks.
     """
     gap = int(gap_seconds * 1_000_000)
-    timed = df.select(*keys, F.unix_micros(ts).alias("_at"))
+    timed = df.select(*keys, ts, F.unix_micros(F.col(ts).cast("timestamp")).alias("_at"))
     linked = previous_value(timed, "_at", F.col("_at"), "_last", keys, slice_micros)
     opens = F.when(F.col("_last").isNull() | (F.col("_at") - F.col("_last") > gap), F.col("_at"))
     opened = linked.withColumn("_open", opens)
     marked = previous_value(opened, "_at", F.col("_open"), "_since", keys, slice_micros)
-    begin = F.coalesce("_open", "_since")
     return (
-        marked.groupBy(*keys, F.timestamp_micros(begin).alias("chunk_start"))
-        .agg(F.timestamp_micros(F.max("_at")).alias("chunk_end"), F.count(F.lit(1)).alias("n"))
+        marked.groupBy(*keys, F.coalesce("_open", "_since").alias("_begin"))
+        .agg(
+            F.min(ts).alias("chunk_start"), F.max(ts).alias("chunk_end"),
+            F.count(F.lit(1)).alias("n"),
+        )
+        .drop("_begin")
     )
 
 
