@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textfix.operators.lookup import lookup_join
+from textfix.session import materialize
 
 CHUNK_ROWS = 100_000
 
@@ -80,9 +81,10 @@ def values_at_ranks(
     sizes = rows.groupBy("_g").agg(
         F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", near, 10_000).alias("_cuts")
     )
+    sizes = materialize(sizes.withColumn("_w", F.col("n")), "group-sizes")
     counted = rows.groupBy(*group, "_g", "_v").agg(F.count(F.lit(1)).alias("_c"))
     banded = (
-        lookup_join(counted, sizes.select("_g", "_cuts", "n", F.col("n").alias("_w")), "_g", "_w")
+        lookup_join(counted, sizes, "_g", "_w")
         .withColumn("_band", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))))
         .drop("_cuts")
     )

@@ -90,7 +90,7 @@ def spell_correct(
     ``id_cols`` to be a key of ``df``.
     """
     cfg = cfg or SpellConfig()
-    words = speller_vocabulary(df, text, cfg)
+    words = materialize(speller_vocabulary(df, text, cfg), "vocabulary")
     fixes = materialize(autofixes(words, dictionary, cfg), "fixes")
     fix_of = inline_lookup(fixes, "word", "fix", cfg.inline_rows)
     if fix_of is not None:
@@ -103,7 +103,7 @@ def spell_correct(
             F.array_distinct(F.transform(correctable_cores(F.col(text), cfg), F.lower))
         ).alias("word"),
     )
-    uses = words.join(fixes, "word").select("word", "fix", "n")
+    uses = materialize(words.join(fixes, "word").select("word", "fix", "n"), "uses")
     per_text = (
         lookup_join(used, uses, "word", "n")
         .where(F.col("fix").isNotNull())

@@ -81,7 +81,7 @@ def _drops_unknown(
     base = materialize(df, "candidates")
     words = base.select(*id_cols, F.explode(lost).alias("word"))
     terms = dictionary.select(F.col("term").alias("word"), F.lit(True).alias("known"))
-    verdicts = vocabulary(words, "word").join(terms, "word", "left")
+    verdicts = materialize(vocabulary(words, "word").join(terms, "word", "left"), "verdicts")
     flagged = (
         lookup_join(words, verdicts, "word", "n")
         .where(F.col("known").isNull())

@@ -36,11 +36,6 @@ def sentence_list(col: str) -> str:
     )
 
 
-def rare_element(chars: str, n: str) -> str:
-    """Does a sequence hold an element that occurs at most n // 100 + 1 times?"""
-    return f"len(list_filter(list_distinct({chars}), lambda c: len(list_filter({chars}, lambda d: d = c)) <= {n} // 100 + 1)) > 0"
-
-
 def rare_char(b: str) -> str:
     return (
         f"len(list_filter(list_distinct(string_split({b}, '')), lambda c: "
@@ -259,8 +254,6 @@ def corrected(table: str, key: str, text: str, turn: str) -> str:
     sim = f"""CASE WHEN starts_with({a}, {b}) OR starts_with({b}, {a})
         THEN 2.0 * least(length({a}), length({b})) / (length({a}) + length({b}))
         WHEN {b} = 'x' AND contains({a}, 'x') THEN 2.0 / (length({a}) + 1) ELSE 0.0 END"""
-    lost = f"""len(list_filter({word_set('spelled')}, lambda w: length(w) >= 3
-        AND NOT list_contains({word_set('cand')}, w) AND NOT list_contains(known, w))) > 0"""
     return f"""{spell(table, key, text)}, {masked('spelled', key, 'spelled')},
     answered AS (SELECT {key}, masked, spans, {hazard(turn, 'masked')} AS answer FROM masked),
     restored AS (SELECT {key}, masked, {unmasked('answer', 'spans')} AS back FROM answered),
@@ -315,7 +308,6 @@ LANG8_PREP = f"""{LANG8}, noisy AS (SELECT src, tgt, min(line_no) AS line_no FRO
     WHERE src <> tgt AND {RATIO_OK} GROUP BY src, tgt)"""
 WORD_PAIRS = f"""{FLAT}, wp AS (SELECT sid, s AS src, s || repeat(' §', (sid % 6)::INT) AS tgt FROM flat)"""
 TOKS = r"dtoks AS (SELECT token, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(text, '\S+')) AS token FROM documents) GROUP BY 1)"
-PEELED = rf"^[^{WORDCLASS}]*"
 DCORES = rf"""{TOKS}, dcores AS (SELECT core, sum(n)::BIGINT AS n FROM
     (SELECT regexp_extract(token, '^[^{WORDCLASS}]*(.*?)[^{WORDCLASS}]*$', 1) AS core, n FROM dtoks) GROUP BY 1)"""
 IS_PLAIN = r"regexp_matches(core, '^[A-Za-z]+([''\-][A-Za-z]+)*$')"
@@ -342,10 +334,6 @@ ANALYZED = f"""{UNKNOWN}, {near(2)},
         FROM cut LEFT JOIN verdicts ON lower(plain) = word AND {allowed('plain')})"""
 
 
-def bands(value: str, labels: dict[str, str]) -> str:
-    return ", ".join(f"{expr} AS {name}" for name, expr in labels.items())
-
-
 def diffed(before: str, after: str) -> str:
     """Flags of the words of ``after`` when it is ``before`` with other words put at its end."""
     return (
@@ -420,7 +408,8 @@ ORACLES: dict[str, str] = {
         SELECT sid, coalesce(r, h) AS text, r IS NOT NULL AS ok FROM back""",
     "similarity": f"WITH {SCORED} SELECT sid, sim_in, sim_out, sim_ref FROM sc",
     "word_edits": f"WITH {WORD_PAIRS} SELECT sid, (sid % 6)::BIGINT AS n_edits FROM wp",
-    "word_diff": f"WITH {WORD_PAIRS} SELECT sid, {diffed(WL.format('src'), WL.format('tgt'))} AS diff FROM wp",
+    "word_diff": f"""WITH {WORD_PAIRS}, w AS (SELECT sid, {WL.format('src')} AS a, {WL.format('tgt')} AS b FROM wp)
+        SELECT sid, {diffed('a', 'b')} AS diff FROM w""",
     "meaning_guard": f"""WITH {SENTS}, g AS (SELECT sid, sentence AS s, CASE sid % 5 WHEN 0 THEN sentence
             WHEN 1 THEN sentence || ' not' WHEN 2 THEN sentence || '§§'
             WHEN 3 THEN sentence || repeat('§', length(sentence) * 2) ELSE '§' || sentence END AS a FROM sents),
