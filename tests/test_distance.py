@@ -29,7 +29,7 @@ def test_distances_against_brute_force(apply):
     rows = [tuple("".join(rng.choices("abc", k=rng.randint(0, 7))) for _ in "ab") for _ in range(400)]
     want = [brute(a, b) for a, b in rows]
     assert apply(edit_distance, rows, TWO) == want
-    for k in (1, 2):
+    for k in (0, 1, 2, 3):
         got = apply(lambda a, b: distance_within(a, b, k), rows, TWO)
         assert got == [w if w <= k else None for w in want]
 

@@ -89,24 +89,19 @@ def edit_distance(a: Column, b: Column) -> Column:
 
 
 def distance_within(a: Column, b: Column, k: int) -> Column:
-    """:func:`edit_distance` where it is at most ``k`` (1 or 2), else NULL.
+    """:func:`edit_distance` where it is at most ``k``, else NULL.
 
     A swap costs two plain edits, so ``levenshtein <= 2k`` is necessary and settles most pairs
     without the table.
     """
-    if k not in (1, 2):
-        raise ValueError("k must be 1 or 2")
     plain = F.levenshtein(a, b, 2 * k)
-    close = F.when(plain.between(0, 1), plain).when(
-        (plain == 2) & _is_adjacent_swap(a, b), F.lit(1)
-    )
-    if k == 1:
-        return close
-    return F.coalesce(
-        close,
-        F.when(plain == 2, F.lit(2)),
-        F.when(plain.isin(3, 4) & (edit_distance(a, b) <= 2), F.lit(2)),
+    near = (
+        F.when(plain.between(0, 1), plain)
+        .when((plain == 2) & _is_adjacent_swap(a, b), F.lit(1))
+        .when(plain == 2, F.lit(2))
+        .when(plain > 2, edit_distance(a, b))
     )
+    return let(F.struct(near.alias("d")), lambda s: F.when(s["d"] <= k, s["d"]))
 
 
 def maybe_within(a: Column, b: Column, k: int) -> Column:

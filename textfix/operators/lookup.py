@@ -63,7 +63,7 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, weight: str) -> Dat
         F.when(settled, F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(4096)) + 1)
         .otherwise(F.lit(0))
         .cast("int"),
-    ).withColumn("_key", F.coalesce(F.col(key), F.lit("").cast(left.schema[key].dataType)))
+    ).withColumn("_key", F.col(key))
     joined = joined.join(cold, ["_key", "_salt"], "left")
     both = F.coalesce(F.col("_hot"), F.col("_cold"))
     return joined.select(

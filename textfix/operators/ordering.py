@@ -39,7 +39,10 @@ def previous_value(
     group: list[str] | None = None,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Add the last non-NULL ``value`` of the rows before this one, per group."""
+    """Add the last non-NULL ``value`` of the rows before this one, per group.
+
+    ``order`` is an integer column without repeats in a group.
+    """
     keys = list(group or [])
     chunked = df.withColumn("_chunk", F.floor(F.col(order) / chunk_rows)).withColumn("_v", value)
     spot = Window.partitionBy(*keys, "_chunk").orderBy(order)
@@ -76,50 +79,44 @@ def values_at_ranks(
     sorted. The quantiles steer the amount of work, never the result.
     """
     near = sorted({min(max(s + d, 0.0), 1.0) for s in shares for d in (-0.002, 0.002)})
-    rows = df.where(F.col(value).isNotNull()).select(*group, F.col(value).alias("_v"))
-    rows = rows.withColumn("_g", F.xxhash64(F.lit(0), *group))
+    # A struct of the group columns as key: NULL groups equal themselves in joins.
+    rows = df.where(F.col(value).isNotNull()).select(
+        F.struct(F.lit(0).alias("_0"), *group).alias("_g"), F.col(value).alias("_v")
+    )
     sizes = rows.groupBy("_g").agg(
         F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", near, 10_000).alias("_cuts")
     )
     sizes = materialize(sizes.withColumn("_w", F.col("n")), "group-sizes")
-    counted = rows.groupBy(*group, "_g", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    counted = rows.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c"))
     banded = (
         lookup_join(counted, sizes, "_g", "_w")
         .withColumn("_band", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))))
         .drop("_cuts")
     )
-    spans = banded.groupBy(*group, "n", "_band").agg(F.sum("_c").alias("_in"))
-    order = Window.partitionBy(*group).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+    spans = banded.groupBy("_g", "n", "_band").agg(F.sum("_c").alias("_in"))
+    order = Window.partitionBy("_g").orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
     wanted = F.array(
         *[F.struct(F.lit(k).alias("label"), r.cast("long").alias("rank")) for k, r in ranks.items()]
     )
+    here = F.filter(
+        wanted,
+        lambda w: (w["rank"] >= F.col("_before")) & (w["rank"] < F.col("_before") + F.col("_in")),
+    )
     targets = (
         spans.withColumn("_before", F.coalesce(F.sum("_in").over(order), F.lit(0)))
-        .select(
-            *group, "_band", "_before",
-            F.filter(
-                wanted,
-                lambda w: (w["rank"] >= F.col("_before"))
-                & (w["rank"] < F.col("_before") + F.col("_in")),
-            ).alias("_wanted"),
-        )
+        .select("_g", "_band", "_before", here.alias("_wanted"))
         .where(F.size("_wanted") > 0)
     )
-    in_band = Window.partitionBy(*group, "_band").orderBy("_v")
-    picked = banded.join(targets, [*group, "_band"]).withColumn(
+    in_band = Window.partitionBy("_g", "_band").orderBy("_v")
+    picked = banded.join(targets, ["_g", "_band"]).withColumn(
         "_upto", F.col("_before") + F.sum("_c").over(in_band)
     )
-    return (
-        picked.withColumn(
-            "_hit",
-            F.filter(
-                "_wanted",
-                lambda w: (w["rank"] < F.col("_upto")) & (w["rank"] >= F.col("_upto") - F.col("_c")),
-            ),
-        )
-        .select(*group, F.explode("_hit").alias("_hit"), F.col("_v").alias("value"))
-        .select(*group, F.col("_hit.label").alias("label"), "value")
+    hit = F.filter(
+        "_wanted",
+        lambda w: (w["rank"] < F.col("_upto")) & (w["rank"] >= F.col("_upto") - F.col("_c")),
     )
+    found = picked.select("_g", F.explode(hit).alias("_hit"), F.col("_v").alias("value"))
+    return found.select(*[F.col("_g")[g].alias(g) for g in group], F.col("_hit.label").alias("label"), "value")
 
 
 def first_rows(df: DataFrame, order: str, k: int) -> DataFrame:

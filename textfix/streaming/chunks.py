@@ -18,7 +18,8 @@ def idle_chunks(
     Time is cut into slices, so that the rows of a very active key are spread over many tasks.
     """
     gap = int(gap_seconds * 1_000_000)
-    timed = df.select(*keys, ts, F.unix_micros(F.col(ts).cast("timestamp")).alias("_at"))
+    at = F.unix_micros(F.col(ts).cast("timestamp")).alias("_at")
+    timed = df.groupBy(*keys, at).agg(F.min(ts).alias(ts), F.count(F.lit(1)).alias("_n"))
     linked = previous_value(timed, "_at", F.col("_at"), "_last", keys, slice_micros)
     opens = F.when(F.col("_last").isNull() | (F.col("_at") - F.col("_last") > gap), F.col("_at"))
     opened = linked.withColumn("_open", opens)
@@ -26,8 +27,7 @@ def idle_chunks(
     return (
         marked.groupBy(*keys, F.coalesce("_open", "_since").alias("_begin"))
         .agg(
-            F.min(ts).alias("chunk_start"), F.max(ts).alias("chunk_end"),
-            F.count(F.lit(1)).alias("n"),
+            F.min(ts).alias("chunk_start"), F.max(ts).alias("chunk_end"), F.sum("_n").alias("n")
         )
         .drop("_begin")
     )
