@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textfix.functions.text import let
 
 
-def _delete_one(word: Column) -> Column:
-    n = F.length(word)
-    shorter = F.transform(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        lambda i: F.concat(F.left(word, i - 1), F.substr(word, i + 1)),
-    )
-    return F.concat(F.array(word), shorter)
+def _without(word: Column, i: Column) -> Column:
+    return F.concat(F.left(word, i - 1), F.substr(word, i + 1))
+
+
+def _places(first: Column, last: Column) -> Column:
+    """first..last, or no element if that is empty."""
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
 
 def deletion_keys(word: Column, k: int) -> Column:
@@ -22,21 +22,65 @@ def deletion_keys(word: Column, k: int) -> Column:
 
     Two words within ``k`` edits (transpositions included) share at least one key.
     """
-    keys = F.array(word)
-    for _ in range(k):
-        keys = F.array_distinct(F.flatten(F.transform(keys, _delete_one)))
-    return keys
 
+    def shorter(text: Column, start: Column, left: int) -> Column:
+        """``text`` and what deleting up to ``left`` characters from ``start`` on leaves."""
+        kept = F.array(text)
+        if left == 0:
+            return kept
+        deeper = F.transform(
+            _places(start, F.length(text)), lambda i: shorter(_without(text, i), i, left - 1)
+        )
+        return F.concat(kept, F.flatten(deeper))
+
+    return F.array_distinct(shorter(word, F.lit(1), k))
 
-def _is_adjacent_swap(a: Column, b: Column) -> Column:
-    def swapped(i: Column) -> Column:
-        return F.concat(
-            F.left(a, i - 1), F.substr(a, i + 1, F.lit(1)), F.substr(a, i, F.lit(1)),
-            F.substr(a, i + 2),
+
+def with_deletion_key(df: DataFrame, word: str, k: int, key: str = "_key") -> DataFrame:
+    """One row per deletion key of ``word``, hashed to 64 bits.
+
+    The same strings as :func:`deletion_keys`, made by plain generators, which Spark compiles. A
+    string reached by deleting either of two equal neighbours comes more than once.
+    """
+    done = F.lit(1 << 30)
+    rows = df.withColumns({"_text": F.col(word), "_from": F.lit(1)})
+    for _ in range(k):
+        cuts = F.concat(F.array(F.lit(0)), _places(F.col("_from"), F.length("_text")))
+        rows = rows.withColumn("_cut", F.explode(cuts))
+        kept = F.col("_cut") == 0
+        rows = rows.withColumns(
+            {
+                "_text": F.when(kept, F.col("_text")).otherwise(_without(F.col("_text"), F.col("_cut"))),
+                "_from": F.when(kept, done).otherwise(F.col("_cut")),
+            }
         )
+    return rows.withColumn(key, F.xxhash64("_text")).drop("_text", "_from", "_cut")
 
-    spots = F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1)))
-    return (F.length(a) == F.length(b)) & F.exists(spots, lambda i: swapped(i) == b)
+
+def _swapped(word: Column, i: Column) -> Column:
+    """``word`` with its characters ``i`` and ``i + 1`` exchanged."""
+    one = F.lit(1)
+    return F.concat(
+        F.left(word, i - 1), F.substr(word, i + 1, one), F.substr(word, i, one), F.substr(word, i + 2)
+    )
+
+
+def _foreign(a: Column, b: Column) -> Column:
+    """Number of characters of ``a`` that ``b`` does not have."""
+    return F.length(F.call_function("translate", a, b, F.lit("")))
+
+
+def _swap_helps(a: Column, b: Column, k: int) -> Column:
+    """Can ``b`` be reached by a swap of neighbours in ``a`` and ``k - 1`` more edits?
+
+    Necessary: fewer than ``k`` characters are foreign to the other word, and some swap leaves at
+    most ``2 * (k - 1)`` plain edits.
+    """
+    few = (_foreign(a, b) < k) & (_foreign(b, a) < k)
+    return few & F.exists(
+        _places(F.lit(1), F.length(a) - 1),
+        lambda i: F.levenshtein(_swapped(a, i), b, 2 * (k - 1)) >= 0,
+    )
 
 
 def edit_distance(a: Column, b: Column) -> Column:
@@ -91,19 +135,14 @@ def edit_distance(a: Column, b: Column) -> Column:
 def distance_within(a: Column, b: Column, k: int) -> Column:
     """:func:`edit_distance` where it is at most ``k``, else NULL.
 
-    A swap costs two plain edits, so ``levenshtein <= 2k`` is necessary and settles most pairs
-    without the table.
+    A swap costs two plain edits, so ``levenshtein <= 2k`` is necessary. Above ``k`` plain edits some
+    swap has to bring the words nearer; the few pairs where one does need the table.
     """
     plain = F.levenshtein(a, b, 2 * k)
     near = (
         F.when(plain.between(0, 1), plain)
-        .when((plain == 2) & _is_adjacent_swap(a, b), F.lit(1))
+        .when((plain == 2) & (F.length(a) == F.length(b)) & _swap_helps(a, b, 1), F.lit(1))
         .when(plain == 2, F.lit(2))
-        .when(plain > 2, edit_distance(a, b))
+        .when((plain > 2) & ((plain <= k) | _swap_helps(a, b, max(k, 1))), edit_distance(a, b))
     )
     return let(F.struct(near.alias("d")), lambda s: F.when(s["d"] <= k, s["d"]))
-
-
-def maybe_within(a: Column, b: Column, k: int) -> Column:
-    """Cheap necessary test for :func:`distance_within`."""
-    return F.levenshtein(a, b, 2 * k) >= 0

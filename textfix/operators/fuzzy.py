@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textfix.config import SpellConfig
-from textfix.functions.distance import deletion_keys, distance_within, maybe_within
+from textfix.functions.distance import distance_within, with_deletion_key
 
 
 def fuzzy_candidates(
@@ -23,22 +23,18 @@ def fuzzy_candidates(
     tasks = int(vocabulary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     longest = dictionary.agg(F.max(F.length("term")).alias("m")).scalar()
 
-    def keyed(df: DataFrame, column: str) -> DataFrame:
-        keys = F.transform(deletion_keys(F.col(column), k), lambda key: F.xxhash64(key))
-        return df.withColumn("_key", F.explode(F.array_distinct(keys)))
-
-    left = keyed(
+    words = (
         vocabulary.select(F.col(word).alias("word"))
         .where((F.length("word") > 0) & (F.length("word") <= longest + k))
-        .repartition(tasks, "word"),
-        "word",
+        .repartition(tasks, "word")
     )
-    right = keyed(dictionary.select("term", "count").where(F.length("term") > 0), "term")
+    terms = dictionary.select("term", "count").where(F.length("term") > 0)
+    left = with_deletion_key(words, "word", k)
+    right = with_deletion_key(terms, "term", k)
     word_col, term = F.col("word"), F.col("term")
     pairs = (
         left.join(right, "_key")
         .where(F.abs(F.length(word_col) - F.length(term)) <= k)
-        .where(maybe_within(word_col, term, k))
         .select("word", "term", "count")
         .distinct()
     )
