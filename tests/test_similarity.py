@@ -1,11 +1,27 @@
 import random
 from difflib import SequenceMatcher
 
+import pytest
+from pyspark.sql import functions as F
+
 from textfix.functions import similarity as s
 
 TWO = "a string, b string"
 
 
+@pytest.fixture
+def added(spark):
+    """Run one of the functions that add a column of a pair of texts."""
+
+    def run(fn, rows, **options):
+        numbered = [(i, *r) for i, r in enumerate(rows)]
+        df = spark.createDataFrame(numbered, f"i int, {TWO}").repartition(3)
+        out = fn(df, "out", F.col("a"), F.col("b"), **options)
+        return [r["out"] for r in out.orderBy("i").collect()]
+
+    return run
+
+
 def texts(n, top, seed, alphabet="abcde  "):
     rng = random.Random(seed)
     out = []
@@ -19,22 +35,33 @@ def texts(n, top, seed, alphabet="abcde  "):
     return out
 
 
-def test_ratio_is_difflib(apply):
+def test_ratio_is_difflib(added):
     rows = texts(150, 60, 1) + texts(60, 400, 2) + [("", ""), ("a", ""), ("", "b"), ("ab", "abab")]
     rows += [(b, a) for a, b in rows]
     for junk in (True, False):
-        got = apply(lambda a, b: s.ratio(a, b, junk), rows, TWO)
+        got = added(s.with_ratio, rows, autojunk=junk)
         assert got == [SequenceMatcher(None, a, b, junk).ratio() for a, b in rows]
 
 
-def test_ratio_of_missing_text(apply):
-    assert apply(s.ratio, [(None, "a"), (None, None)], TWO) == [0.0, 1.0]
+def test_ratio_of_missing_text(added):
+    assert added(s.with_ratio, [(None, "a"), (None, None)]) == [0.0, 1.0]
 
 
-def test_contained_long_text_needs_the_udf(apply):
+def test_contained_long_text_needs_the_udf(added):
     base = "ab" * 150
     rows = [("x" + base, base), (base + "x", base)]
-    assert apply(s.ratio, rows, TWO) == [SequenceMatcher(None, a, b).ratio() for a, b in rows]
+    assert added(s.with_ratio, rows) == [SequenceMatcher(None, a, b).ratio() for a, b in rows]
+
+
+def test_one_text_at_the_start_of_the_other(added):
+    rng = random.Random(8)
+    rows = []
+    for alphabet in ("ab", "abcdef gh", "abcdefghijklmnopqrstuvwxyz0123456789 .,"):
+        for n in (1, 150, 199, 200, 260, 700):
+            base = "".join(rng.choices(alphabet, k=n))
+            more = base + "".join(rng.choices(alphabet + "#", k=rng.randint(1, n)))
+            rows += [(base, more), (more, base)]
+    assert added(s.with_ratio, rows) == [SequenceMatcher(None, a, b).ratio() for a, b in rows]
 
 
 def test_bound_holds(apply):
@@ -67,12 +94,12 @@ def test_word_diff(apply):
     assert apply(s.word_diff, rows, TWO) == [diff(a, b) for a, b in rows]
 
 
-def test_meaning(apply):
+def test_meaning(added):
     rows = [
         ("I do know", "I do not know"), ("I has a cat", "I have a cat"), ("short", "entirely else"),
         ("Same", "same"), ("a" * 30, "a" * 5), (None, "a"),
     ]
-    assert apply(s.preserves_meaning, rows, TWO) == [False, True, False, True, False, None]
+    assert added(s.with_meaning, rows) == [False, True, False, True, False, None]
     rows = texts(100, 50, 6)
     want = [SequenceMatcher(None, a, b).ratio() >= 0.6 for a, b in rows]
-    assert apply(s.preserves_meaning, rows, TWO) == want
+    assert added(s.with_meaning, rows) == want

@@ -12,10 +12,10 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textfix.functions.text import negation_count, words
+from textfix.functions.text import let, negation_count, words
 
 # Executors get the functions below inside the plan and need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -64,19 +64,53 @@ def _ratio_udf(autojunk: bool):
 
 
 def ratio_bound(a: Column, b: Column) -> Column:
-    """Upper bound of :func:`ratio` from the two lengths."""
+    """Upper bound of the similarity from the two lengths."""
     total = F.length(a) + F.length(b)
     return F.when(total == 0, 1.0).otherwise(2.0 * F.least(F.length(a), F.length(b)) / total)
 
 
-def ratio(a: Column, b: Column, autojunk: bool = True) -> Column:
-    """Character similarity from 0 to 1; NULL counts as empty. Argument order matters."""
-    a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
-    inside = a.contains(b) | b.contains(a)
-    if autojunk:
-        inside = inside & (F.length(b) < AUTOJUNK_LENGTH)
-    settled = F.when(a == b, 1.0).when(inside, ratio_bound(a, b))
-    return F.coalesce(settled, _ratio_udf(autojunk)(F.when(settled.isNull(), a), b))
+def compare(a: Column, b: Column, autojunk: bool = True) -> Column:
+    """STRUCT<a, b, done>: the similarity where native expressions settle it, else the two texts.
+
+    If one text starts with the other, the shorter one is the matching block, frequent characters
+    or not: the first longest run of rare characters is the same place in both, and without such a
+    run matching begins at the start. Elsewhere inside the other text this holds while no character
+    is ignored.
+    """
+
+    def settled(a: Column, b: Column) -> Column:
+        inside = a.contains(b) | b.contains(a)
+        if autojunk:
+            inside = a.startswith(b) | b.startswith(a) | (inside & (F.length(b) < AUTOJUNK_LENGTH))
+        return F.when(a == b, 1.0).when(inside, ratio_bound(a, b))
+
+    def pack(p: Column, done: Column) -> Column:
+        rest = done.isNull()
+        return F.struct(
+            F.when(rest, p["a"]).alias("a"), F.when(rest, p["b"]).alias("b"), done.alias("done")
+        )
+
+    texts = F.struct(F.coalesce(a, F.lit("")).alias("a"), F.coalesce(b, F.lit("")).alias("b"))
+    return let(
+        texts,
+        lambda p: let(
+            F.struct(settled(p["a"], p["b"]).alias("done")), lambda s: pack(p, s["done"])
+        ),
+    )
+
+
+def finish(pair: Column, autojunk: bool = True) -> Column:
+    """Similarity of a pair made by :func:`compare` and kept in a column."""
+    return F.coalesce(pair["done"], _ratio_udf(autojunk)(pair["a"], pair["b"]))
+
+
+def with_ratio(df: DataFrame, name: str, a: Column, b: Column, autojunk: bool = True) -> DataFrame:
+    """Add the character similarity from 0 to 1; NULL counts as empty. Argument order matters.
+
+    The pair is a column of its own, so that it is computed once and the UDF reads plain fields.
+    """
+    paired = df.withColumn(f"_{name}", compare(a, b, autojunk))
+    return paired.withColumn(name, finish(F.col(f"_{name}"), autojunk)).drop(f"_{name}")
 
 
 def word_edits(source: Column, target: Column) -> Column:
@@ -98,11 +132,40 @@ def word_diff(before: Column, after: Column) -> Column:
     )
 
 
-def preserves_meaning(
+def compare_meaning(
     before: Column, after: Column, min_sim: float = 0.6, autojunk: bool = True
 ) -> Column:
-    """False if the number of negations changed or little of the text is left."""
-    a, b = F.lower(before), F.lower(after)
-    possible = (negation_count(before) == negation_count(after)) & (ratio_bound(a, b) >= min_sim)
-    sim = ratio(F.when(possible, a), F.when(possible, b), autojunk)
-    return F.when(before.isNotNull() & after.isNotNull(), possible & (sim >= min_sim))
+    """Pair for :func:`finish`; similarity -1 where the change is refused without comparing.
+
+    Refused are pairs whose lengths alone keep them below ``min_sim`` and pairs with a different
+    number of negations.
+    """
+    refused = F.struct(
+        F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b"),
+        F.lit(-1.0).alias("done"),
+    )
+
+    def check(p: Column) -> Column:
+        a, b = p["a"], p["b"]
+        return (
+            F.when(ratio_bound(a, b) < min_sim, refused)
+            .when(negation_count(a) != negation_count(b), refused)
+            .otherwise(compare(a, b, autojunk))
+        )
+
+    lowered = F.struct(F.lower(before).alias("a"), F.lower(after).alias("b"))
+    return F.when(before.isNotNull() & after.isNotNull(), let(lowered, check))
+
+
+def with_meaning(
+    df: DataFrame,
+    name: str,
+    before: Column,
+    after: Column,
+    min_sim: float = 0.6,
+    autojunk: bool = True,
+) -> DataFrame:
+    """Add a flag: false if the number of negations changed or little of the text is left."""
+    paired = df.withColumn(f"_{name}", compare_meaning(before, after, min_sim, autojunk))
+    kept = finish(F.col(f"_{name}"), autojunk) >= min_sim
+    return paired.withColumn(name, kept).drop(f"_{name}")

@@ -46,6 +46,8 @@ PLAIN_CORE_RE = rf"(?<![^{WS}])[^{WORD}{WS}]*+({PLAIN_BODY})[^{WORD}{WS}]*+(?![^
 PEEL_RE = rf"(?s)^([^{WORD}]*+)(.*?)([^{WORD}]*)\z"
 DOMAIN_RE = r"^(?:[A-Za-z0-9\-]{2,}+\.)++[A-Za-z]{2,6}\z"
 DIGIT_RE = rf"[\p{{Nd}}{OTHER_DIGITS}]"
+# Found in every text that holds a structured span, and in few others.
+MAYBE_STRUCTURED_RE = rf"(?i)[@#/]|http|www\.|[A-Za-z0-9\-]{{2}}\.[A-Za-z]{{2}}|{DIGIT_RE}"
 SENTENCE_RE = r"[^.!?]+[.!?]*"
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textfix.config import SpellConfig
 from textfix.functions.distance import distance_within, with_deletion_key
+from textfix.session import computed_once
 
 
 def fuzzy_candidates(
@@ -38,7 +39,7 @@ def fuzzy_candidates(
         .select("word", "term", "count")
         .distinct()
     )
-    scored = pairs.withColumn("distance", distance_within(word_col, term, k))
+    scored = computed_once(pairs, "distance", distance_within(word_col, term, k))
     return scored.where(F.col("distance").isNotNull())
 
 

@@ -9,7 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textfix.functions.similarity import ratio
+from textfix.functions.similarity import with_ratio
 from textfix.functions.text import normalize
 from textfix.session import computed_once
 
@@ -68,9 +68,10 @@ def scored(df: DataFrame, autojunk: bool = True) -> DataFrame:
     normed = with_norms(df)
     sims = {"n_in": "sim_in", "n_out": "sim_out", "n_ref": "sim_ref"}
     gold = F.col("n_gold")
-    full = normed.withColumns(
-        {s: ratio(F.col(n), gold, autojunk) for n, s in sims.items() if n in normed.columns}
-    )
+    full = normed
+    for n, name in sims.items():
+        if n in normed.columns:
+            full = with_ratio(full, name, F.col(n), gold, autojunk)
     added = [c for c in full.columns if c not in df.columns]
     packed = computed_once(full, "_s", F.struct(*added))
     return packed.select(*df.columns, "_s.*").withColumn("bucket", scope_of(F.col("use_case")))

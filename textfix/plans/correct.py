@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from textfix.config import CorrectionConfig
 from textfix.functions.masking import mask, unmask, unmasked_nothing
-from textfix.functions.similarity import preserves_meaning, word_diff
+from textfix.functions.similarity import with_meaning, word_diff
 from textfix.functions.text import sentences, strip, word_cores
 from textfix.operators.dictionary import vocabulary
 from textfix.operators.lookup import inline_lookup, lookup_join
@@ -127,12 +127,9 @@ def correct(
         else:
             step = step.withColumn("_lost", F.lit(False))
         open_case = (cand != spelled) & ~F.col("_lost")
-        step = step.withColumn(
-            "_kept",
-            preserves_meaning(
-                F.when(open_case, spelled), F.when(open_case, cand),
-                cfg.min_meaning_sim, cfg.autojunk,
-            ),
+        step = with_meaning(
+            step, "_kept", F.when(open_case, spelled), F.when(open_case, cand),
+            cfg.min_meaning_sim, cfg.autojunk,
         )
         guarded = (cand != spelled) & (F.col("_lost") | ~F.col("_kept"))
     step = step.withColumn("_guarded", guarded)

@@ -298,7 +298,7 @@ def meaning_guard(spark, sf):
         .when(kind == 3, F.concat(s, fx.marks(F.length(s) * 2)))
         .otherwise(F.concat(fx.marks(1), s))
     )
-    return fx.doc_sentences(spark, sf).select("sid", sim.preserves_meaning(s, after).alias("kept"))
+    return sim.with_meaning(fx.doc_sentences(spark, sf), "kept", s, after).select("sid", "kept")
 
 
 @query
