@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textfix.llm import bpe
+from textfix.llm import bpe, simhash
 from textfix.llm.common import table
 
 
@@ -14,5 +14,9 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-LLM_QUERIES = {"op1_bpe": op1_bpe}
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+LLM_QUERIES = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash}
 LLM_SQL: dict[str, str] = {}
