@@ -230,6 +230,11 @@ def _packed_ranks(spark: SparkSession, ranks_path: str):
         return spark.sparkContext.broadcast(file.read())
 
 
+def _id_lists(sizes: list[int], packed: list[bytes]) -> pa.ListArray:
+    flat = pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), flat)
+
+
 def _with(df: DataFrame, name: str, kind: DataType) -> StructType:
     return StructType([*df.schema.fields, StructField(name, kind)])
 
@@ -251,9 +256,7 @@ def encode(
         for batch in batches:
             texts = (t.as_py() for t in batch.column(place))
             coded = [b"".join(x) for group in in_groups(texts) for x in coder.encode(group)]
-            ends = np.cumsum([0, *[len(c) // 4 for c in coded]]).astype(np.int32)
-            flat = pa.array(np.frombuffer(b"".join(coded), "<u4").astype(np.int32))
-            column = pa.ListArray.from_arrays(pa.array(ends), flat)
+            column = _id_lists([len(c) // 4 for c in coded], coded)
             yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, ids])
 
     return kept.mapInArrow(run, _with(kept, ids, ArrayType(IntegerType())))
@@ -278,20 +281,23 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded
 
 
 def round_trip(
-    df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text: str = "text"
+    df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text: str = "text",
+    keep_ids: bool = False,
 ) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): every whole text encoded and decoded again.
 
-    One row per input row, repeated ids included. A NULL text counts as empty.
+    One row per input row, repeated ids included. A NULL text counts as empty. ``keep_ids`` adds the
+    column ids, array<int>.
     """
     packed = _packed_ranks(df.sparkSession, ranks_path)
     kind = df.schema[id_col].dataType.simpleString()
+    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # nothing here makes cycles, and collections take a quarter of the time
         coder = _shared_coder(packed.value, pattern)
         for batch in batches:
-            n_tokens, coded, back = [], [], []
+            n_tokens, coded, back, kept = [], [], [], []
             texts = (t.as_py() for t in batch.column(1))
             for slices in (x for group in in_groups(texts) for x in coder.encode(group)):
                 ids_hash, text_hash, n = hashlib.sha256(), hashlib.sha256(), 0
@@ -302,11 +308,15 @@ def round_trip(
                 n_tokens.append(n)
                 coded.append(ids_hash.hexdigest())
                 back.append(text_hash.hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(coded, pa.string()),
-                 pa.array(back, pa.string())],
-                [id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+                if keep_ids:
+                    kept += slices
+            columns = [
+                batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(coded, pa.string()),
+                pa.array(back, pa.string()),
+            ]
+            if keep_ids:
+                columns.append(_id_lists(n_tokens, kept))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return df.select(id_col, text).mapInArrow(run, schema)
+    return df.select(id_col, text).mapInArrow(run, schema + ", ids array<int>" * keep_ids)

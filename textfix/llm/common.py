@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def attach(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
+def attach(left: DataFrame, right: DataFrame, key: str | list[str], weight: str) -> DataFrame:
     """Left join on ``key``; ``right`` has one row per key and ``weight`` says how many left rows.
 
     Keys that hold more than a quarter of a task's mean share are joined by broadcast where their
@@ -29,7 +29,8 @@ def attach(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFram
     total = right.agg(F.sum(weight)).first()[0] or 0
     is_hot = F.coalesce(F.col(weight) * (4 * parts) > F.lit(int(total)), F.lit(False))
     hot = F.broadcast(right.where(is_hot).drop(weight))
-    rest = left.join(hot.select(key), key, "left_anti")
+    names = [key] if isinstance(key, str) else key
+    rest = left.join(hot.select(*names), key, "left_anti")
     cold = rest.join(right.where(~is_hot).drop(weight), key, "left")
     return cold.unionByName(left.join(hot, key))
 
