@@ -252,7 +252,7 @@ class Scorer:
     def clear(self) -> None:
         self.row: dict[str, int] = {}
         room = MEMO_WORDS + GROUP_WORDS
-        self.projected = {d: np.empty((room, 3 * HIDDEN), np.float32) for d in ("f", "b")}
+        self.projected = {d: np.zeros((room, 3 * HIDDEN), np.float32) for d in ("f", "b")}
 
     def ids(self, words: list[str]) -> np.ndarray:
         new = [w for w in dict.fromkeys(words) if w not in self.row]
