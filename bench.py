@@ -52,7 +52,7 @@ def main() -> None:
     cold = timed(spell)
     ready = spell()
     warm = timed(lambda: ready)
-    guards = timed(lambda: job.correct(sents, terms, job.identity, fx.CORRECTION, "sentence", ["sid"]))
+    guards = timed(lambda: job.correct(sents, terms, job.identity, fx.CORRECTION, "sentence", id_cols=["sid"]))
     rates = {
         "sentences": n,
         "spell_sentences_per_sec": round(n / cold),

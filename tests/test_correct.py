@@ -50,19 +50,14 @@ def check(found):
 
 
 def test_every_branch(rows, terms):
-    check(results(correct(rows, terms, lambda masked: F.col("answer"), CFG)))
-
-
-def test_large_dictionary_is_joined(rows, terms):
-    cfg = replace(CFG, speller=replace(CFG.speller, inline_rows=0))
-    check(results(correct(rows, terms, lambda masked: F.col("answer"), cfg, id_cols=["id"])))
+    check(results(correct(rows, terms, lambda masked: F.col("answer"), CFG, id_cols=["id"])))
 
 
 def test_stages_can_be_switched_off(rows, terms):
     answer = lambda masked: F.col("answer")
-    open_ = results(correct(rows, None, answer, CorrectionConfig(use_speller=False, meaning_guard=False)))
+    open_ = results(correct(rows, None, answer, CorrectionConfig(use_speller=False, meaning_guard=False), id_cols=["id"]))
     assert open_[3]["final"] == "give me my best" and open_[5]["final"] == "it"
-    bare = results(correct(rows, None, identity, CorrectionConfig(use_speller=False, use_protector=False)))
+    bare = results(correct(rows, None, identity, CorrectionConfig(use_speller=False, use_protector=False), id_cols=["id"]))
     assert bare[0]["masked"] == CASES[0][0] and not bare[0]["changed"]
 
 
@@ -70,17 +65,17 @@ def test_batch_corrector(rows, terms):
     def factory():
         return lambda texts: [t + "." for t in texts]
 
-    found = results(correct(rows, terms, batch_corrector(factory), CFG))
+    found = results(correct(rows, terms, batch_corrector(factory), CFG, id_cols=["id"]))
     assert found[0]["final"] == "please write to a@b.com."
     assert found[99] is None
-    plan = correct(rows, terms, batch_corrector(factory), CFG)._jdf.queryExecution().executedPlan()
+    plan = correct(rows, terms, batch_corrector(factory), CFG, id_cols=["id"])._jdf.queryExecution().executedPlan()
     assert "ArrowEvalPython" in plan.toString()
 
 
 def test_wrong_number_of_answers_fails(rows, terms):
     broken = batch_corrector(lambda: lambda texts: texts[:-1])
     with pytest.raises(Exception, match="corrector returned"):
-        correct(rows.coalesce(1), terms, broken, CFG).collect()
+        correct(rows.coalesce(1), terms, broken, CFG, id_cols=["id"]).collect()
 
 
 def test_review(spark, terms):
@@ -96,7 +91,7 @@ def test_review(spark, terms):
 
 def test_filters_do_not_repeat_the_work(rows, terms):
     model = batch_corrector(lambda: lambda ts: ts)
-    plan = grammar_cards(correct(rows, terms, model, CFG))._jdf.queryExecution().optimizedPlan().toString()
+    plan = grammar_cards(correct(rows, terms, model, CFG, id_cols=["id"]))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("run(") <= 2  # the answer and, once, the similarity
 
 
@@ -119,11 +114,11 @@ def test_stream_equals_batch(spark, rows, terms, tmp_path):
     stream = spark.readStream.schema(plain.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
     for _ in range(2):  # the second run finds nothing new
         done = stream_correct(
-            stream, terms, str(tmp_path / "out"), str(tmp_path / "state"), model, CFG, available_now=True
+            stream, terms, str(tmp_path / "out"), str(tmp_path / "state"), model, CFG, id_cols=["id"], available_now=True
         )
         done.awaitTermination()
     got = results(spark.read.parquet(str(tmp_path / "out")))
-    assert got == results(correct(plain, terms, model, CFG))
+    assert got == results(correct(plain, terms, model, CFG, id_cols=["id"]))
 
 
 def test_idle_chunks(spark, tmp_path):

@@ -98,3 +98,45 @@ def test_lookup_join_with_a_hot_key(spark):
     want = {r["k"]: r["v"] for r in right.collect()}
     assert got == {i: want.get(k) for i, k in enumerate(keys)}
     assert math.isclose(statistics.mean(got), 3526)
+
+
+def test_lookup_join_spreads_a_hot_key_that_has_no_value(spark):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = spark.range(40_000, numPartitions=8).select(
+            "id", F.when(F.col("id") % 10 > 0, "the").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k")
+        )
+        right = left.groupBy("k").agg(F.count("*").alias("w")).withColumn("v", F.when(F.col("k") != "the", F.col("k")))
+        out = lookup_join(left, right, "k", "w").withColumn("task", F.spark_partition_id())
+        sizes = [r["count"] for r in out.groupBy("task").count().collect()]
+        assert sum(sizes) == 40_000 and max(sizes) <= 2 * sum(sizes) / len(sizes) + 4500
+        assert max(sizes) <= 5000
+        assert out.where("v IS NULL").count() == 36_000 and out.where("v = k").count() == 4000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_previous_value_of_a_null_group(spark):
+    rows = [(None, 1, 1), (None, 2, None), ("a", 1, None), ("a", 5, 7), (None, 9, 4)]
+    df = spark.createDataFrame(rows, "g string, o long, v long")
+    got = {(r["g"], r["o"]): r["p"] for r in previous_value(df, "o", F.col("v"), "p", ["g"], 3).collect()}
+    assert got == {(None, 1): None, (None, 2): 1, ("a", 1): None, ("a", 5): None, (None, 9): 1}
+
+
+def test_statistics_without_groups(spark):
+    df = spark.createDataFrame([(1.0, 1), (2.0, 2), (9.0, 3)], "v double, run int")
+    assert tuple(mean_and_median(df, "v", []).first()) == (4.0, 2.0)
+    assert median_throughput(df, "v", "run", [], "run").first()["throughput"] == 1.0
+
+
+def test_first_rows_of_a_struct_order(spark):
+    df = spark.range(80_000).select(
+        F.struct((F.col("id") % 7).cast("string").alias("file"), F.col("id").alias("block")).alias("line_no"), "id"
+    )
+    want = sorted((str(i % 7), i) for i in range(80_000))
+    for k in (0, 10_001, 70_000, 90_000):
+        got = sorted((r["line_no"]["file"], r["id"]) for r in first_rows(df, "line_no", k).collect())
+        assert got == want[:k]

@@ -1,5 +1,3 @@
-from dataclasses import replace
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,13 +52,6 @@ def test_spell_correct(texts, terms):
     }
 
 
-def test_large_tables_are_joined_with_the_same_result(texts, terms):
-    small = replace(SpellConfig(), inline_rows=0)
-    assert corrected(texts, terms, small) == corrected(texts, terms)
-    with pytest.raises(ValueError):
-        spell_correct(texts, terms, small)
-
-
 def test_partitions_do_not_matter(texts, terms):
     assert corrected(texts.repartition(8), terms) == corrected(texts.coalesce(1), terms)
 
@@ -117,7 +108,7 @@ def test_apply_suggestions(spark, texts, terms):
 def test_one_word_may_be_most_of_the_text(spark, terms):
     rows = [(i, "teh cip " * 50 + f"w{chr(97 + i % 26)}xyz") for i in range(200)]
     df = spark.createDataFrame(rows, "id long, text string")
-    assert set(corrected(df, terms, SpellConfig(inline_rows=0))) == set(range(200))
+    assert set(corrected(df, terms, SpellConfig())) == set(range(200))
     statuses = analyze_tokens(df, terms, id_cols=["id"]).groupBy("core", "status").count().collect()
     counts = {(r["core"], r["status"]): r["count"] for r in statuses}
     assert counts[("teh", "autofix")] == 10_000 and counts[("cip", "suggest")] == 10_000
@@ -135,8 +126,3 @@ def test_dictionaries(spark):
     words = spark.createDataFrame([("demra",), ("raghu",)], "word string")
     allowed = merge_dictionaries(own, extra)
     assert [r["word"] for r in unknown_words(words, allowed).collect()] == ["raghu"]
-
-
-def test_texts_are_not_shuffled(spark, texts, terms):
-    plan = spell_correct(texts, terms)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "Python" not in plan

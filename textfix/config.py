@@ -21,8 +21,6 @@ class SpellConfig:
     dominance_ratio: float = 20.0
     allcaps_min_len: int = 6
     top_suggestions: int = 6
-    # Lookup tables up to this many rows are carried inside the plan; larger ones are joined.
-    inline_rows: int = 100_000
 
 
 @dataclass(frozen=True)

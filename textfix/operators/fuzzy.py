@@ -43,13 +43,16 @@ def fuzzy_candidates(
     return scored.where(F.col("distance").isNotNull())
 
 
-def rank_candidates(candidates: DataFrame, top: int) -> DataFrame:
+def rank_candidates(candidates: DataFrame, top: int | None = None) -> DataFrame:
     """Number the candidates of a word: closest first, then most frequent, then by term.
 
+    All are kept, or the first ``top``.
+
     Adds ``rank``, and ``closest`` for those at the smallest distance of the word.
     """
     best = Window.partitionBy("word").orderBy("distance", F.desc("count"), "term")
-    ranked = candidates.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    ranked = candidates.withColumn("rank", F.row_number().over(best))
+    ranked = ranked if top is None else ranked.where(F.col("rank") <= top)
     return ranked.withColumn("closest", F.col("distance") == F.first("distance").over(best))
 
 

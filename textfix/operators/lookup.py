@@ -1,71 +1,34 @@
-"""Attach values to words: inside the row for small tables, by a skew-proof join for large ones."""
+"""Attach values to words by a join in which no key gathers in one task."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key holding more than 1/HOT_SHARE of all rows is hot; there are fewer than HOT_SHARE such keys.
-HOT_SHARE = 1000
-
-
-def inline_lookup(
-    table: DataFrame, key: str, value: str | None, max_rows: int
-) -> Callable[[Column], Column] | None:
-    """Turn a small table into an expression ``key -> value`` (NULL if absent).
-
-    The table becomes one constant of the plan, a list of hash buckets, so that rows are looked up
-    where they are and nothing is shuffled. A table of more than ``max_rows`` rows gives ``None``
-    and the caller joins instead. ``value=None`` makes a membership test that returns ``''``.
-    """
-    val = F.lit("") if value is None else F.col(value)
-    picked = table.select(F.col(key).alias("k"), val.alias("v"))
-    rows = picked.limit(max_rows + 1)
-    n = rows.count()
-    if n > max_rows:
-        return None
-    buckets = 1 << max(n * 2 - 1, 1).bit_length()
-
-    def bucket(word: Column) -> Column:
-        return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
-
-    packed: list[dict[str, str]] = [{} for _ in range(buckets)]
-    for row in picked.select("k", "v", bucket(F.col("k")).alias("b")).collect():
-        packed[row["b"]][row["k"]] = row["v"]
-    constant = F.from_json(
-        F.lit(json.dumps(packed, ensure_ascii=False)), "array<map<string,string>>"
-    )
-    return lambda word: F.get(constant, bucket(word))[word]
-
 
 def lookup_join(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
-    """Left join on ``key`` where ``right`` has one row per key and ``weight`` counts left rows.
+    """Left join on ``key``; ``right`` has one row per key and ``weight`` counts its left rows.
 
-    Keys that hold over 1/1000 of the weight (fewer than 1000 of them, whatever the data) are
-    joined by broadcast. Their left rows, and left rows without a key, are then spread over all
-    tasks for the join with the rest, so no key gathers in one task.
+    ``right`` should hold every frequent key of ``left``, those without values included, since hot
+    keys are found by their weight. A key with over a quarter of a task's mean share is joined by
+    broadcast where its rows are: that is at most four keys per shuffle partition. All other rows,
+    and rows without a key, take part in a plain join.
     """
     values = [c for c in right.columns if c not in (key, weight)]
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = right.agg(F.sum(weight).alias("total")).scalar()
-    hot = right.where(F.col(weight) * HOT_SHARE > total).select(
-        F.col(key), F.struct(*values).alias("_hot")
-    )
-    cold = right.where(F.col(weight) * HOT_SHARE <= total).select(
-        F.col(key).alias("_key"), F.lit(0).alias("_salt"), F.struct(*values).alias("_cold")
-    )
-    joined = left.join(F.broadcast(hot), key, "left")
-    settled = F.col("_hot").isNotNull() | F.col(key).isNull()
-    joined = joined.withColumn(
-        "_salt",
-        F.when(settled, F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(4096)) + 1)
-        .otherwise(F.lit(0))
-        .cast("int"),
-    ).withColumn("_key", F.col(key))
-    joined = joined.join(cold, ["_key", "_salt"], "left")
-    both = F.coalesce(F.col("_hot"), F.col("_cold"))
-    return joined.select(
-        *[F.col(c) for c in left.columns], *[both[c].alias(c) for c in values]
+    hot = F.col(weight) * (4 * tasks) > total
+    hot_rows = F.broadcast(right.where(hot).select(key, *values))
+    cold_rows = right.where(~F.coalesce(hot, F.lit(False))).select(F.col(key).alias("_key"), *values)
+    # A NULL key matches nothing; a random key of its own spreads such rows.
+    rest = left.join(hot_rows.select(key), key, "left_anti")
+    keyed = rest.where(F.col(key).isNotNull())
+    joined = keyed.join(cold_rows, F.col(key) == F.col("_key"), "left").drop("_key")
+    empty = [F.lit(None).cast(right.schema[c].dataType).alias(c) for c in values]
+    unkeyed = left.where(F.col(key).isNull()).select(*left.columns, *empty)
+    names = [*left.columns, *values]
+    return (
+        joined.select(*names)
+        .unionByName(left.join(hot_rows, key).select(*names))
+        .unionByName(unkeyed.select(*names))
     )

@@ -43,8 +43,13 @@ def previous_value(
 
     ``order`` is an integer column without repeats in a group.
     """
-    keys = list(group or [])
-    chunked = df.withColumn("_chunk", F.floor(F.col(order) / chunk_rows)).withColumn("_v", value)
+    # A struct of the group columns as key: NULL groups equal themselves in joins.
+    keys = ["_g"]
+    chunked = df.withColumns({
+        "_g": F.struct(F.lit(0).alias("_0"), *(group or [])),
+        "_chunk": F.floor(F.col(order) / chunk_rows),
+        "_v": value,
+    })
     spot = Window.partitionBy(*keys, "_chunk").orderBy(order)
     local = F.last("_v", ignorenulls=True).over(
         spot.rowsBetween(Window.unboundedPreceding, -1)
@@ -60,7 +65,7 @@ def previous_value(
         chunked.withColumn("_local", local)
         .join(carried, [*keys, "_chunk"])
         .withColumn(name, F.coalesce("_local", "_carried"))
-        .drop("_chunk", "_v", "_local", "_carried")
+        .drop("_g", "_chunk", "_v", "_local", "_carried")
     )
 
 
@@ -120,13 +125,24 @@ def values_at_ranks(
 
 
 def first_rows(df: DataFrame, order: str, k: int) -> DataFrame:
-    """The first ``k`` rows by a unique column, whatever the size of ``k``."""
-    if k <= 10_000:
-        return df.orderBy(order).limit(k)
-    n = df.count()
-    if n <= k:
-        return df
-    cut = values_at_ranks(
-        df.withColumn("_all", F.lit(0)), order, {"k": F.lit(k - 1)}, [k / n], ["_all"]
-    )
-    return df.where(F.col(order) <= cut.select("value").scalar())
+    """The first ``k`` rows by a unique column of any type that has an order, whatever ``k`` is.
+
+    The rows are written once in ranges of the order. Counts of the ranges say which are taken whole;
+    only the range in which the last row lies is sorted.
+    """
+    ranged = df.repartitionByRange(F.col(order)).withColumn("_range", F.spark_partition_id())
+    ranged = materialize(ranged, "first-rows")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # a row for each task
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    whole = sizes.where(F.col("_before") + F.col("_n") <= k).select("_range")
+    last = sizes.where((F.col("_before") < k) & (F.col("_before") + F.col("_n") > k))
+    inside = Window.partitionBy("_range").orderBy(order)
+    cut = (
+        ranged.join(F.broadcast(last), "_range")
+        .withColumn("_no", F.row_number().over(inside) + F.col("_before"))
+        .where(F.col("_no") <= k)
+    )
+    return ranged.join(F.broadcast(whole), "_range").select(*df.columns).unionByName(
+        cut.select(*df.columns)
+    )

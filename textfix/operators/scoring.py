@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import sys
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +9,6 @@ from textfix.functions.similarity import with_ratio
 from textfix.functions.text import normalize
 from textfix.session import computed_once
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 # The labels of each bucket, and the buckets in report order.
 CORE_LABELS = [
     "basic-standard-lang", "Punctuation", "Unofficial Spellings & Non-Standard Form",
@@ -193,16 +187,13 @@ def model_profile(df: DataFrame, eps: float = 0.01) -> DataFrame:
     return error_profile(df, eps).withColumn("suspect_run", broken)
 
 
-def _python_round(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: round(v, 3))
-
-
 def regressions(df: DataFrame, eps: float = 0.01, digits: int | None = 3) -> DataFrame:
-    """In-scope rows that moved away from gold, with both similarities."""
+    """In-scope rows that moved away from gold, with both similarities, rounded half to even."""
     moved = with_verdict(in_scope(df), eps).where(F.col("verdict") == "regressed")
-    shown = F.pandas_udf(_python_round, "double") if digits == 3 else (
-        lambda c: c if digits is None else F.bround(c, digits)
-    )
+
+    def shown(c: Column) -> Column:
+        return c if digits is None else F.bround(c, digits)
+
     keys = [c for c in ("id", "sid") if c in df.columns]
     return moved.select(
         *keys, "input", F.col("pred").alias("model_output"), "gold",

@@ -20,7 +20,7 @@ from textfix.functions.text import (
 )
 from textfix.operators.dictionary import unknown_words, vocabulary
 from textfix.operators.fuzzy import fuzzy_candidates, gate, rank_candidates
-from textfix.operators.lookup import inline_lookup, lookup_join
+from textfix.operators.lookup import lookup_join
 from textfix.session import computed_once, materialize
 
 
@@ -81,29 +81,25 @@ def spell_correct(
     cfg: SpellConfig | None = None,
     text: str = "text",
     out: str = "spell_corrected",
-    id_cols: list[str] | None = None,
+    *,
+    id_cols: list[str],
 ) -> DataFrame:
-    """Add the spelling-corrected text.
+    """Add the spelling-corrected text; ``id_cols`` are a key of ``df``.
 
-    The table of fixes is computed first. While it has at most ``cfg.inline_rows`` rows the texts
-    are rewritten in place and never move; beyond that the fixes are joined, which needs
-    ``id_cols`` to be a key of ``df``.
+    Words are decided once each. The words of a text are joined with the decisions, and the few
+    fixes of a text come back to it as a map.
     """
     cfg = cfg or SpellConfig()
     words = materialize(speller_vocabulary(df, text, cfg), "vocabulary")
     fixes = materialize(autofixes(words, dictionary, cfg), "fixes")
-    fix_of = inline_lookup(fixes, "word", "fix", cfg.inline_rows)
-    if fix_of is not None:
-        return computed_once(df, out, _repair(F.col(text), fix_of, cfg))
-    if not id_cols:
-        raise ValueError("id_cols is needed to join a large table of fixes")
     used = df.select(
         *id_cols,
         F.explode(
             F.array_distinct(F.transform(correctable_cores(F.col(text), cfg), F.lower))
         ).alias("word"),
     )
-    uses = materialize(words.join(fixes, "word").select("word", "fix", "n"), "uses")
+    # Words without a fix stay in the table: the most frequent words are among them.
+    uses = materialize(words.join(fixes, "word", "left").select("word", "fix", "n"), "uses")
     per_text = (
         lookup_join(used, uses, "word", "n")
         .where(F.col("fix").isNotNull())

@@ -27,10 +27,12 @@ def mean_and_median(df: DataFrame, value: str, group: list[str]) -> DataFrame:
     middle = values_at_ranks(
         df, value, {"low": F.floor(last / 2), "high": F.ceil(last / 2)}, [0.5], group
     )
-    medians = middle.groupBy(*group).agg(F.avg("value").alias("median"))
-    means = df.groupBy(*group).agg(F.avg(value).alias("mean"))
-    matches = [means[g].eqNullSafe(medians[g]) for g in group]
-    return means.join(medians, matches).select(*[means[g] for g in group], "mean", "median")
+    # A struct of the group as key: it is there without groups too, and NULL groups equal themselves.
+    key = F.struct(F.lit(0).alias("_0"), *group).alias("_g")
+    medians = middle.groupBy(key).agg(F.avg("value").alias("median"))
+    means = df.groupBy(key).agg(F.avg(value).alias("mean"))
+    found = means.join(medians, "_g")
+    return found.select(*[F.col("_g")[g].alias(g) for g in group], "mean", "median")
 
 
 def median_throughput(

@@ -15,7 +15,7 @@ from textfix.functions.masking import mask, unmask, unmasked_nothing
 from textfix.functions.similarity import with_meaning, word_diff
 from textfix.functions.text import sentences, strip, word_cores
 from textfix.operators.dictionary import vocabulary
-from textfix.operators.lookup import inline_lookup, lookup_join
+from textfix.operators.lookup import lookup_join
 from textfix.operators.ordering import CHUNK_ROWS, number_rows, previous_value
 from textfix.operators.spelling import spell_correct
 from textfix.session import computed_once, materialize
@@ -45,7 +45,8 @@ def batch_corrector(factory: Callable[[], Callable[[list[str]], list[str]]]) ->
             present = texts.notna()
             todo = texts[present].tolist()
             if todo:
-                model = model or factory()
+                if model is None:
+                    model = factory()
                 done = list(model(todo))
                 if len(done) != len(todo):
                     raise ValueError(f"corrector returned {len(done)} texts for {len(todo)}")
@@ -65,19 +66,13 @@ def dropped_words(spelled: Column, candidate: Column, min_len: int) -> Column:
 
 
 def _drops_unknown(
-    df: DataFrame, dictionary: DataFrame, cfg: CorrectionConfig, id_cols: list[str] | None
+    df: DataFrame, dictionary: DataFrame, cfg: CorrectionConfig, id_cols: list[str]
 ) -> DataFrame:
     """Add ``_lost``: does the candidate lose a word the dictionary does not know?"""
     lost = F.when(
         F.col("_cand") != F.col("_spelled"),
         dropped_words(F.col("_spelled"), F.col("_cand"), cfg.speller.min_token_len),
     )
-    known = inline_lookup(dictionary, "term", None, cfg.speller.inline_rows)
-    if known is not None:
-        flag = F.exists(lost, lambda w: known(w).isNull())
-        return df.withColumn("_lost", F.coalesce(flag, F.lit(False)))
-    if not id_cols:
-        raise ValueError("id_cols is needed to join a large dictionary")
     base = materialize(df, "candidates")
     words = base.select(*id_cols, F.explode(lost).alias("word"))
     terms = dictionary.select(F.col("term").alias("word"), F.lit(True).alias("known"))
@@ -99,19 +94,20 @@ def correct(
     corrector: Corrector = identity,
     cfg: CorrectionConfig | None = None,
     text: str = "text",
-    id_cols: list[str] | None = None,
+    *,
+    id_cols: list[str],
 ) -> DataFrame:
     """Add ``correction``: STRUCT<original, spell_corrected, masked, final, fell_back,
     meaning_guarded, changed>.
 
     A lost sentinel falls back to the spelled text. An edit is refused when it drops an unknown
-    word, changes the number of negations or rewrites the text. With small tables of fixes and
-    dictionary terms every row is handled where it is; only words are shuffled.
+    word, changes the number of negations or rewrites the text. ``id_cols`` are a key of
+    ``df``.
     """
     cfg = cfg or CorrectionConfig()
     original = F.col(text)
     if cfg.use_speller:
-        step = spell_correct(df, dictionary, cfg.speller, text, "_spelled", id_cols)
+        step = spell_correct(df, dictionary, cfg.speller, text, "_spelled", id_cols=id_cols)
     else:
         step = df.withColumn("_spelled", original)
     spelled = F.col("_spelled")
@@ -170,7 +166,7 @@ def review(
     ids = id_cols or ["id"]
     keys = [*ids, "sent_no"]
     fixed = correct(
-        split_sentences(df, ids, text), dictionary, corrector, cfg, "sentence", keys
+        split_sentences(df, ids, text), dictionary, corrector, cfg, "sentence", id_cols=keys
     )
     c = F.col("correction")
     return grammar_cards(fixed).select(
@@ -197,7 +193,7 @@ def example_report(
     """
     numbered = number_rows(examples, order, "n", chunk_rows)
     linked = previous_value(numbered, "n", F.col("category"), "_prev")
-    fixed = correct(linked, dictionary, corrector, cfg, "input", ["n"])
+    fixed = correct(linked, dictionary, corrector, cfg, "input", id_cols=["n"])
     c = F.col("correction")
     return fixed.select(
         "n",

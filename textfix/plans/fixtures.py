@@ -25,12 +25,8 @@ MARK = "§"
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, spread over the session's tasks when the file has too few row groups."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    tasks = spark.sparkContext.defaultParallelism
-    if name in ("documents", "pages", "conversations", "events") and df.rdd.getNumPartitions() <= tasks:
-        return df.repartition(tasks)
-    return df
+    """A given table; how it is split into tasks is the session's setting."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

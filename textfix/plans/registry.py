@@ -182,7 +182,7 @@ def edit_distance(spark, sf):
 
 @query
 def rank_candidates(spark, sf):
-    ranked = fuzzy.rank_candidates(_candidates(spark, sf, 1), 1_000_000)
+    ranked = fuzzy.rank_candidates(_candidates(spark, sf, 1))
     return ranked.select(
         "word", "term", F.col("rank").cast("long").alias("rank"), "closest"
     )
@@ -334,7 +334,7 @@ def _hazard(masked: Column) -> Column:
 def _corrected(spark, sf):
     return job.correct(
         fx.all_sentences(spark, sf), fx.dictionary(spark, sf), _hazard, fx.CORRECTION, "sentence",
-        ["sid"],
+        id_cols=["sid"],
     )
 
 
@@ -578,7 +578,7 @@ def stream_correct(spark, sf):
     base = f"{shared_dir(spark)}/textfix/stream-{uuid.uuid4().hex}"
     running = start_stream(
         stream.withColumn("sid", key), fx.dictionary(spark, sf), f"{base}/out", f"{base}/state",
-        _hazard, fx.CORRECTION, "text", ["sid"], available_now=True,
+        _hazard, fx.CORRECTION, "text", id_cols=["sid"], available_now=True,
     )
     running.awaitTermination()
     done = spark.read.parquet(f"{base}/out")

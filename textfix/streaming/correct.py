@@ -17,7 +17,8 @@ def stream_correct(
     corrector: Corrector = identity,
     cfg: CorrectionConfig | None = None,
     text: str = "text",
-    id_cols: list[str] | None = None,
+    *,
+    id_cols: list[str],
     available_now: bool = False,
 ) -> StreamingQuery:
     """Run the batch job on every micro-batch and write it below ``path``.
@@ -27,8 +28,12 @@ def stream_correct(
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        fixed = correct(batch, dictionary, corrector, cfg, text, id_cols)
-        fixed.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch = batch.persist()  # read for its words and again for rewriting
+        try:
+            fixed = correct(batch, dictionary, corrector, cfg, text, id_cols=id_cols)
+            fixed.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     writer = texts.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     if available_now:
