@@ -45,7 +45,32 @@ def test_m2_lines(spark, m2_file):
     assert ("This are a sentence .", "This are the sentence .") in as_set(other)
     assert len(as_set(pairs.prepare_m2(blocks))) == 3
     assert len(as_set(pairs.prepare_m2(blocks, keep_identity=True))) == 4
-    assert pairs.prep_counters(blocks).first().asDict() == {"files": 1, "pairs": 3, "identities": 1}
+    assert pairs.prep_counters(blocks).first().asDict() == {
+        "files": 1, "broken": 0, "pairs": 3, "identities": 1
+    }
+
+
+BROKEN = """S one two
+A 0 1|||R:X|||x|||REQUIRED|||-NONE-
+
+S three four
+A 0 b|||R:X|||x|||REQUIRED|||-NONE-|||0
+A 1 2|||R:X|||y|||REQUIRED|||-NONE-|||0
+
+S five six
+A 0 1|||R:X|||x|||REQUIRED|||-NONE-|||0
+
+"""
+
+
+def test_blocks_with_malformed_lines_are_dropped_and_counted(spark, tmp_path):
+    (tmp_path / "a.m2").write_text(BROKEN)
+    path = str(tmp_path / "*.m2")
+    for blocks in (pairs.m2_blocks(readers.read_lines(spark, path)), readers.read_m2_blocks(spark, path)):
+        assert as_set(pairs.m2_pairs(blocks)) == {("five six", "x six")}
+        assert pairs.prep_counters(blocks).first().asDict() == {
+            "files": 1, "broken": 2, "pairs": 1, "identities": 0
+        }
 
 
 def test_m2_blocks_of_clean_files(spark, tmp_path):

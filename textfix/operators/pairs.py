@@ -37,13 +37,23 @@ def parse_edit(line: Column, seq: Column, annotator: int = 0) -> Column:
     )
 
 
+def is_malformed(line: Column) -> Column:
+    """Whether an annotation line lacks a whole number as start, end or annotator."""
+    fields = F.split(F.substr(line, F.lit(3)), r"\|\|\|", -1)
+    span = words(F.get(fields, F.lit(0)))
+    numbers = [F.get(span, F.lit(0)), F.get(span, F.lit(1)), strip(F.get(fields, F.lit(5)))]
+    missing = [n.try_cast("int").isNull() for n in numbers]
+    return reduce(lambda a, b: a | b, missing)
+
+
 def m2_blocks(
     lines: DataFrame, annotator: int = 0, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Assemble annotation lines (file, line_no, line) into blocks.
 
-    Result: (file, block, src, edits); ``block`` is the line number of the sentence. A block ends at
-    a blank line or at the end of the file; one that meets a new sentence first is dropped.
+    Result: (file, block, src, edits, broken); ``block`` is the line number of the sentence. A block
+    ends at a blank line or at the end of the file; one that meets a new sentence first is dropped.
+    ``broken`` marks blocks with a malformed annotation line, which give no pair.
     """
     line = F.col("line")
     kind = (
@@ -56,21 +66,27 @@ def m2_blocks(
     no_edit = F.lit(None).cast(EDIT_TYPE)
     no_text = F.lit(None).cast("string")
 
-    def part(block: Column, src: Column, edit: Column, closer: Column) -> Column:
+    def part(block: Column, src: Column, edit: Column, closer: Column, bad: Column) -> Column:
         return F.struct(
-            block.alias("block"), src.alias("src"), edit.alias("edit"), closer.alias("closer")
+            block.alias("block"), src.alias("src"), edit.alias("edit"), closer.alias("closer"),
+            bad.alias("bad"),
         )
 
+    fine = F.lit(False)
+
     parts = F.array_compact(
         F.array(
-            F.when(F.col("kind") == "S", part(F.col("line_no"), line, no_edit, no_text)),
+            F.when(F.col("kind") == "S", part(F.col("line_no"), line, no_edit, no_text, fine)),
             F.when(
                 (F.col("kind") == "A") & inside,
-                part(F.col("prev.at"), no_text, parse_edit(line, F.col("line_no"), annotator), no_text),
+                part(
+                    F.col("prev.at"), no_text, parse_edit(line, F.col("line_no"), annotator), no_text,
+                    is_malformed(line),
+                ),
             ),
             F.when(
                 (F.col("kind") != "A") & inside,
-                part(F.col("prev.at"), no_text, no_edit, F.col("kind")),
+                part(F.col("prev.at"), no_text, no_edit, F.col("kind"), fine),
             ),
         )
     )
@@ -81,9 +97,10 @@ def m2_blocks(
             F.max("p.src").alias("_src"),
             F.collect_list("p.edit").alias("edits"),
             F.max("p.closer").alias("_closer"),
+            F.max("p.bad").alias("broken"),
         )
         .where(F.col("_closer").isNull() | (F.col("_closer") == "B"))
-        .select("file", "block", words(F.substr("_src", F.lit(3))).alias("src"), "edits")
+        .select("file", "block", words(F.substr("_src", F.lit(3))).alias("src"), "edits", "broken")
     )
 
 
@@ -97,12 +114,13 @@ def blocks_from_text(blocks: DataFrame, annotator: int = 0) -> DataFrame:
     return blocks.where(first.isNotNull()).select(
         "file", "block", words(F.substr(first, F.lit(3))).alias("src"),
         F.array_compact(edits).alias("edits"),
+        F.exists(lines, lambda x: x.startswith("A ") & is_malformed(x)).alias("broken"),
     )
 
 
 def m2_pairs(blocks: DataFrame) -> DataFrame:
-    """Rebuild (file, block, src, tgt) by applying the edits of each block."""
-    rebuilt = blocks.select("file", "block", "src", apply_edits(F.col("src"), F.col("edits")).alias("t"))
+    """Rebuild (file, block, src, tgt) by applying the edits of each block that is not broken."""
+    rebuilt = blocks.where(~F.col("broken")).select("file", "block", "src", apply_edits(F.col("src"), F.col("edits")).alias("t"))
     return rebuilt.select(
         "file", "block", F.array_join("src", " ").alias("src"), F.array_join("t", " ").alias("tgt")
     )
@@ -142,12 +160,15 @@ def prepare_m2(blocks: DataFrame, keep_identity: bool = False) -> DataFrame:
 
 
 def prep_counters(blocks: DataFrame, keep_identity: bool = False) -> DataFrame:
-    """Files read, distinct pairs kept, and identical pairs seen (before dropping and dedup)."""
+    """Files with blocks, distinct pairs kept, identical pairs seen (before dropping and dedup), and
+    blocks dropped as broken."""
     pairs = m2_pairs(blocks)
     usable = valid_pairs(pairs, keep_identity=True)
     seen = usable.agg(F.count_if(F.col("src") == F.col("tgt")).alias("identities"))
     kept = distinct_pairs(valid_pairs(pairs, keep_identity)).agg(F.count(F.lit(1)).alias("pairs"))
-    files = blocks.agg(F.countDistinct("file").alias("files"))
+    files = blocks.agg(
+        F.countDistinct("file").alias("files"), F.count_if(F.col("broken")).alias("broken")
+    )
     one = [x.withColumn("_one", F.lit(1)) for x in (files, kept, seen)]
     return reduce(lambda a, b: a.join(b, "_one"), one).drop("_one")
 

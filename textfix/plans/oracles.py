@@ -489,7 +489,9 @@ ORACLES: dict[str, str] = {
     "m2_pairs": f"WITH {M2_PREP} SELECT src, tgt, spot.file AS file, spot.block AS block FROM prepared",
     "prep_counters": f"""WITH {M2_PREP} SELECT (SELECT count(DISTINCT file) FROM blocks) AS files,
         (SELECT count(*) FROM prepared) AS pairs,
-        (SELECT count(*) FROM m2p WHERE src = tgt AND trim(src) <> '') AS identities""",
+        (SELECT count(*) FROM m2p WHERE src = tgt AND trim(src) <> '') AS identities,
+        (SELECT count(DISTINCT (file, block)) FROM opened WHERE kind = 'A' AND NOT regexp_matches(
+            line, '^A -?[0-9]+ -?[0-9]+([|][|][|][^|]*){{4}}[|][|][|]-?[0-9]+$')) AS broken""",
     "lang8_pairs": f"WITH {LANG8_PREP} SELECT src, tgt, line_no FROM noisy",
     "length_ratio": f"WITH {LANG8} SELECT line_no, src, tgt FROM l8 WHERE {RATIO_OK}",
     "minimal_edit": f"WITH {WORD_PAIRS} SELECT sid, src, tgt FROM wp WHERE sid % 6 <= 3",
