@@ -145,3 +145,33 @@ def test_idle_chunks(spark, tmp_path):
     )
     query.awaitTermination()
     assert {tuple(r) for r in spark.table("chunks").select(*cut).collect()} >= want
+
+
+def test_model_is_loaded_once_per_worker(spark, tmp_path):
+    def factory():
+        import os
+        import uuid
+
+        (tmp_path / f"{os.getpid()}-{uuid.uuid4().hex}").touch()
+        return lambda texts: [t.upper() for t in texts]
+
+    df = spark.range(64, numPartitions=32).select(F.concat(F.lit("t"), "id").alias("text"))
+    model = batch_corrector(factory)
+    for _ in range(2):
+        out = df.select(model(F.col("text")).alias("out")).collect()
+        assert sorted(r["out"] for r in out) == sorted(f"T{i}" for i in range(64))
+    pids = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    assert len(pids) == len(set(pids)) < 32
+
+
+def test_scratch_tables_go_with_their_block(spark, tmp_path):
+    import os
+
+    from textfix.session import materialize, scratch
+
+    kept = materialize(spark.range(3), "kept")
+    with scratch(spark):
+        gone = materialize(spark.range(5), "gone")
+        assert gone.count() == 5
+    path = gone.inputFiles()[0].removeprefix("file:")
+    assert not os.path.exists(os.path.dirname(path)) and kept.count() == 3

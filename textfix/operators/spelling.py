@@ -92,24 +92,68 @@ def spell_correct(
     cfg = cfg or SpellConfig()
     words = materialize(speller_vocabulary(df, text, cfg), "vocabulary")
     fixes = materialize(autofixes(words, dictionary, cfg), "fixes")
+    return apply_fixes(df, words, fixes, cfg, text, out, id_cols=id_cols)
+
+
+def values_of_text(
+    df: DataFrame, uses: DataFrame, value: str, cfg: SpellConfig, text: str, id_cols: list[str]
+) -> DataFrame:
+    """(ids, ``_values``): per text a map from its words to those of their values that are not NULL.
+
+    ``uses`` holds every word of the vocabulary with its number of uses, (word, value, n): the most
+    frequent words are often without a value. Only distinct words of a text are shuffled.
+    """
     used = df.select(
         *id_cols,
         F.explode(
             F.array_distinct(F.transform(correctable_cores(F.col(text), cfg), F.lower))
         ).alias("word"),
     )
-    # Words without a fix stay in the table: the most frequent words are among them.
-    uses = materialize(words.join(fixes, "word", "left").select("word", "fix", "n"), "uses")
-    per_text = (
-        lookup_join(used, uses, "word", "n")
-        .where(F.col("fix").isNotNull())
+    return (
+        lookup_join(used, uses.select("word", value, "n"), "word", "n")
+        .where(F.col(value).isNotNull())
         .groupBy(*id_cols)
-        .agg(F.map_from_entries(F.collect_list(F.struct("word", "fix"))).alias("_fixes"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("word", value))).alias("_values"))
     )
-    joined = df.join(per_text, id_cols, "left")
+
+
+def apply_fixes(
+    df: DataFrame,
+    words: DataFrame,
+    fixes: DataFrame,
+    cfg: SpellConfig,
+    text: str = "text",
+    out: str = "spell_corrected",
+    *,
+    id_cols: list[str],
+) -> DataFrame:
+    """Add the text with every word of ``fixes`` (word, fix) replaced, case and marks kept.
+
+    ``words`` is the vocabulary of ``df`` by :func:`speller_vocabulary` with the same ``cfg``.
+    """
+    uses = materialize(words.join(fixes, "word", "left").select("word", "fix", "n"), "uses")
+    joined = df.join(values_of_text(df, uses, "fix", cfg, text, id_cols), id_cols, "left")
     no_fix = F.create_map().cast("map<string,string>")
-    repaired = _repair(F.col(text), lambda w: F.coalesce(F.col("_fixes"), no_fix)[w], cfg)
-    return computed_once(joined, out, repaired).drop("_fixes")
+    repaired = _repair(F.col(text), lambda w: F.coalesce(F.col("_values"), no_fix)[w], cfg)
+    return computed_once(joined, out, repaired).drop("_values")
+
+
+def abbreviations(
+    df: DataFrame,
+    table: DataFrame,
+    text: str = "text",
+    out: str = "expanded",
+    *,
+    id_cols: list[str],
+) -> DataFrame:
+    """Add the text with abbreviations written out; ``table`` holds (word, fix), words distinct.
+
+    Words are matched whole and without regard to case; the case pattern and marks of the text stay.
+    """
+    cfg = SpellConfig(min_token_len=1, allcaps_min_len=1)
+    words = materialize(speller_vocabulary(df, text, cfg), "vocabulary")
+    lowered = table.select(F.lower("word").alias("word"), "fix")
+    return apply_fixes(df, words, lowered, cfg, text, out, id_cols=id_cols)
 
 
 def word_decisions(words: DataFrame, dictionary: DataFrame, cfg: SpellConfig) -> DataFrame:
@@ -144,13 +188,16 @@ def word_decisions(words: DataFrame, dictionary: DataFrame, cfg: SpellConfig) ->
     )
 
 
-def token_table(df: DataFrame, id_cols: list[str], text: str = "text") -> DataFrame:
+def token_table(
+    df: DataFrame, id_cols: list[str], text: str = "text", carry: list[str] | None = None
+) -> DataFrame:
     """One row per token: id, pos, kind, raw, pre, core, post. The raw pieces rebuild the text."""
+    kept = [*id_cols, *(carry or [])]
     return (
-        df.select(*id_cols, F.posexplode(tokens(F.col(text))).alias("pos", "raw"))
+        df.select(*kept, F.posexplode(tokens(F.col(text))).alias("pos", "raw"))
         .withColumn("kind", F.when(is_space(F.col("raw")), "space").otherwise("word"))
         .withColumn("_p", F.when(F.col("kind") == "word", peel(F.col("raw"))))
-        .select(*id_cols, "pos", "kind", "raw", "_p.pre", "_p.core", "_p.post")
+        .select(*kept, "pos", "kind", "raw", "_p.pre", "_p.core", "_p.post")
     )
 
 
@@ -161,23 +208,30 @@ def analyze_tokens(
     id_cols: list[str] | None = None,
     text: str = "text",
 ) -> DataFrame:
-    """Token table with status, fix and candidates of every word."""
+    """Token table with status, fix and candidates of every word; ``id_cols`` are a key of ``df``.
+
+    Known words need no verdict, so only the others come back to a text, as one map. Tokens are made
+    after the last shuffle.
+    """
     cfg = cfg or SpellConfig()
     ids = id_cols or ["id"]
     words = materialize(speller_vocabulary(df, text, cfg), "vocabulary")
-    decisions = materialize(word_decisions(words, dictionary, cfg), "decisions")
-    plain = plain_core(F.col("raw"))
-    looked_up = (F.col("kind") == "word") & (plain != "") & case_allows(plain, cfg)
-    toks = token_table(df, ids, text).withColumn(
-        "word", F.when(looked_up, F.lower("core"))
+    decisions = word_decisions(words, dictionary, cfg).select(
+        "word", "n",
+        F.when(F.col("status") != "ok", F.struct("status", "fix", "candidates")).alias("verdict"),
     )
+    decisions = materialize(decisions, "decisions")
+    joined = df.join(values_of_text(df, decisions, "verdict", cfg, text, ids), ids, "left")
+    plain = plain_core(F.col("raw"))
     core = F.col("core")
-    return (
-        lookup_join(toks, decisions, "word", "n")
-        .withColumn("status", F.when(F.col("kind") == "word", F.coalesce("status", F.lit("ok"))))
-        .withColumn("fix", match_case(core, F.col("fix")))
-        .withColumn("candidates", F.transform("candidates", lambda t: match_case(core, t)))
-        .drop("word")
+    looked_up = (F.col("kind") == "word") & (plain != "") & case_allows(plain, cfg)
+    verdict = F.when(F.col("_values").isNotNull() & looked_up, F.col("_values")[F.lower(core)])
+    toks = token_table(joined, ids, text, ["_values"]).withColumn("_verdict", verdict)
+    return toks.select(
+        *ids, "pos", "kind", "raw", "pre", "core", "post",
+        F.when(F.col("kind") == "word", F.coalesce("_verdict.status", F.lit("ok"))).alias("status"),
+        match_case(core, F.col("_verdict.fix")).alias("fix"),
+        F.transform("_verdict.candidates", lambda t: match_case(core, t)).alias("candidates"),
     )
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -30,24 +32,32 @@ def identity(masked: Column) -> Column:
     return masked
 
 
+def _worker_models() -> dict:
+    """Models of this Python worker. This code travels inside the plan and is unpickled anew for every
+    task, so what outlives a task hangs on a module of the worker's own."""
+    return sys.modules.setdefault("_textfix_models", ModuleType("_textfix_models")).__dict__
+
+
 def batch_corrector(factory: Callable[[], Callable[[list[str]], list[str]]]) -> Corrector:
     """Run a user's model over Arrow batches.
 
-    ``factory`` is called once per task that has texts, on the executor; it returns a function from
-    a list of texts to a list of the same length and order. NULL texts never reach it. The batch
-    size is ``spark.sql.execution.arrow.maxRecordsPerBatch``.
+    ``factory`` is called on the executor, once per Python worker that meets a text and is kept for
+    its later tasks; it returns a function from a list of texts to a list of the same length and
+    order. NULL texts never reach it. The batch size is
+    ``spark.sql.execution.arrow.maxRecordsPerBatch``.
     """
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = None
+        models = _worker_models()
         for texts in batches:
             out = texts.astype("object").copy()
             present = texts.notna()
             todo = texts[present].tolist()
             if todo:
-                if model is None:
-                    model = factory()
-                done = list(model(todo))
+                if key not in models:
+                    models[key] = factory()
+                done = list(models[key](todo))
                 if len(done) != len(todo):
                     raise ValueError(f"corrector returned {len(done)} texts for {len(todo)}")
                 out[present] = done

@@ -142,13 +142,18 @@ FIXES = """fixes AS (SELECT word, term AS fix FROM ranked1
 def spell(table: str, key: str, text: str) -> str:
     """spelled: (key, spelled) of a table, with the words it needs."""
     return f"""{DICT}, {vocab(table, text)}, {near(1)}, {RANKED1}, {FIXES},
-    toks AS (SELECT {key}, unnest(l) AS tok, generate_subscripts(l, 1) AS pos FROM
+    {apply_fixes(table, key, text, allowed('core'))}"""
+
+
+def apply_fixes(table: str, key: str, text: str, when: str) -> str:
+    """spelled: (key, spelled) of a table by the rows of ``fixes``."""
+    return f"""toks AS (SELECT {key}, unnest(l) AS tok, generate_subscripts(l, 1) AS pos FROM
         (SELECT {key}, regexp_extract_all({text}, '\\s+|\\S+') AS l FROM {table})),
     cored AS (SELECT *, regexp_extract(tok, '{PLAIN}', 1) AS core FROM toks),
     spelled AS (SELECT {key}, string_agg(CASE WHEN fix IS NULL THEN tok ELSE
         regexp_extract(tok, '^[^{WORDCLASS}]*') || {cased('core', 'fix')} ||
         regexp_extract(tok, '[^{WORDCLASS}]*$') END, '' ORDER BY pos) AS spelled
-        FROM cored LEFT JOIN fixes ON lower(core) = word AND {allowed('core')} GROUP BY {key})"""
+        FROM cored LEFT JOIN fixes ON lower(core) = word AND {when} GROUP BY {key})"""
 
 
 SENTS = f"""sents AS (SELECT doc_id, doc_id * {SENT} + idx AS sid, sentence, idx FROM (
@@ -243,19 +248,20 @@ def hazard(sid: str, m: str) -> str:
              THEN {m}[:length({m}) - length({last}) - 1] ELSE {m} END END"""
 
 
-def corrected(table: str, key: str, text: str, turn: str) -> str:
+def corrected(table: str, key: str, text: str, turn: str, answer: str = "", sim: str = "") -> str:
     """fixed: (key, original, spelled, masked, final, fell_back, guarded).
 
-    The hazard answers leave one text inside the other, or are the single letter x, so their
-    similarity to the spelled text is known.
+    ``answer`` is the corrector's and ``sim`` the similarity to the spelled text. The hazard answers
+    leave one text inside the other, or are the single letter x, so their similarity is known.
     """
+    answer = answer or hazard(turn, "masked")
     a, b = "lower(spelled)", "lower(cand)"
     # One of the two texts starts with the other; a one-letter answer is matched or not.
-    sim = f"""CASE WHEN starts_with({a}, {b}) OR starts_with({b}, {a})
+    sim = sim or f"""CASE WHEN starts_with({a}, {b}) OR starts_with({b}, {a})
         THEN 2.0 * least(length({a}), length({b})) / (length({a}) + length({b}))
         WHEN {b} = 'x' AND contains({a}, 'x') THEN 2.0 / (length({a}) + 1) ELSE 0.0 END"""
     return f"""{spell(table, key, text)}, {masked('spelled', key, 'spelled')},
-    answered AS (SELECT {key}, masked, spans, {hazard(turn, 'masked')} AS answer FROM masked),
+    answered AS (SELECT {key}, masked, spans, {answer} AS answer FROM masked),
     restored AS (SELECT {key}, masked, {unmasked('answer', 'spans')} AS back FROM answered),
     cands AS (SELECT src.{key}, src.{text} AS original, spelled, masked, back IS NULL AS fell_back,
         coalesce(back, spelled) AS cand FROM {table} src JOIN spelled USING ({key}) JOIN restored USING ({key})),

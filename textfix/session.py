@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,10 +40,36 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_open = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that this thread materializes inside the block once it is left.
+
+    Whatever is derived from them has to be written by then.
+    """
+    outer, made = getattr(_open, "paths", None), []
+    _open.paths = made
+    try:
+        yield
+    finally:
+        _open.paths = outer
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for name in made:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back: short lineage, known size, survives lost executors."""
+    """Write ``df`` once and read it back: short lineage, known size, survives lost executors.
+
+    The table stays until the caller removes it, unless it is made inside :func:`scratch`.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/textfix/{name}-{uuid.uuid4().hex}"
+    if getattr(_open, "paths", None) is not None:
+        _open.paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from textfix.config import CorrectionConfig
 from textfix.plans.correct import Corrector, correct, identity
+from textfix.session import scratch
 
 
 def stream_correct(
@@ -24,14 +25,15 @@ def stream_correct(
     """Run the batch job on every micro-batch and write it below ``path``.
 
     Each batch owns one directory and overwrites it, so a batch repeated after a failure leaves its
-    rows once. Read the result back with ``spark.read.parquet(path)``.
+    rows once, and deletes the scratch tables it made. Read the result back with ``spark.read.parquet(path)``.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()  # read for its words and again for rewriting
         try:
-            fixed = correct(batch, dictionary, corrector, cfg, text, id_cols=id_cols)
-            fixed.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            with scratch(batch.sparkSession):
+                fixed = correct(batch, dictionary, corrector, cfg, text, id_cols=id_cols)
+                fixed.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
         finally:
             batch.unpersist()
 
