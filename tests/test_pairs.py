@@ -160,3 +160,17 @@ def test_metric_files(spark, tmp_path):
     writers.write_regressions(regs, str(tmp_path / "r"))
     text = "".join(p.read_text() for p in (tmp_path / "r").glob("part-*"))
     assert text.splitlines() == ["input,model_output,gold,sim_in,sim_out", '"say ""x""",o,g,0.5,0.25']
+
+
+def test_files_without_blocks_are_counted(spark, tmp_path):
+    from textfix.operators.pairs import prep_counters
+    from textfix.sources.readers import matched_files, read_lines
+
+    (tmp_path / "a.m2").write_text("S a b\nA 0 1|||R|||x|||REQUIRED|||-NONE-|||0\n\n")
+    (tmp_path / "b.m2").write_text("nothing here\n")
+    (tmp_path / "c.m2").write_text("")
+    path = f"{tmp_path}/*.m2"
+    blocks = m2_blocks(read_lines(spark, path))
+    got = prep_counters(blocks, files=matched_files(spark, path)).first()
+    assert (got["files"], got["pairs"]) == (3, 1)
+    assert prep_counters(blocks).first()["files"] == 1

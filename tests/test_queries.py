@@ -2,8 +2,12 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from textfix.functions import similarity as sim
+from textfix.operators import scoring
+from textfix.plans import fixtures
 from textfix.plans.registry import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -18,7 +22,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["spell_correct", "correct", "unmask", "regressions", "m2_pairs", "idle_sessions"])
+@pytest.mark.parametrize("name", ["spell_correct", "correct", "unmask", "regressions", "m2_pairs", "idle_sessions", "meaning_guard", "word_diff", "model_correct", "m2_files", "bigram_rerank", "analyze_tokens"])
 def test_query_equals_sql(spark, duck, name):
     got = entry.queries()[name](spark, DATA)
     want = duck.sql(entry.oracle_sql()[name])
@@ -39,3 +43,18 @@ def test_entry(spark):
     rows = entry.entry(spark)
     assert rows.columns == ["doc_id", "original", "corrected", "changed"]
     assert rows.where("changed").count() > 0
+
+
+def test_most_comparisons_reach_the_udf(spark):
+    rows = scoring.with_norms(fixtures.eval_rows(spark, DATA))
+    gold = F.col("n_gold")
+    pairs = [sim.compare(F.col(c), gold)["done"].isNull() for c in ("n_in", "n_out", "n_ref")]
+    counts = rows.select(*pairs, (F.length("gold") >= 200).alias("long")).toDF("a", "b", "c", "long")
+    done = counts.agg(
+        F.count(F.lit(1)).alias("n"),
+        sum(F.count_if(c) for c in "abc").alias("udf"),
+        F.count_if(F.col("long") & F.col("a")).alias("long_udf"),
+    ).first()
+    assert done["udf"] >= 0.5 * 3 * done["n"] and done["long_udf"] > 0
+    meant = fixtures.word_pairs(spark, DATA).where(F.col("src") != F.col("tgt"))
+    assert meant.where(~F.col("tgt").startswith(F.col("src"))).count() >= 0.5 * meant.count()

@@ -159,17 +159,22 @@ def prepare_m2(blocks: DataFrame, keep_identity: bool = False) -> DataFrame:
     return first_occurrence(kept, F.struct("file", "block"))
 
 
-def prep_counters(blocks: DataFrame, keep_identity: bool = False) -> DataFrame:
-    """Files with blocks, distinct pairs kept, identical pairs seen (before dropping and dedup), and
-    blocks dropped as broken."""
+def prep_counters(
+    blocks: DataFrame, keep_identity: bool = False, files: DataFrame | None = None
+) -> DataFrame:
+    """Files read, distinct pairs kept, identical pairs seen (before dropping and dedup), and blocks
+    dropped as broken.
+
+    ``files`` (file) names all files read, those without a block included; by default the files of
+    the blocks are counted.
+    """
     pairs = m2_pairs(blocks)
     usable = valid_pairs(pairs, keep_identity=True)
     seen = usable.agg(F.count_if(F.col("src") == F.col("tgt")).alias("identities"))
     kept = distinct_pairs(valid_pairs(pairs, keep_identity)).agg(F.count(F.lit(1)).alias("pairs"))
-    files = blocks.agg(
-        F.countDistinct("file").alias("files"), F.count_if(F.col("broken")).alias("broken")
-    )
-    one = [x.withColumn("_one", F.lit(1)) for x in (files, kept, seen)]
+    read = (blocks if files is None else files).agg(F.countDistinct("file").alias("files"))
+    broken = blocks.agg(F.count_if(F.col("broken")).alias("broken"))
+    one = [x.withColumn("_one", F.lit(1)) for x in (read, broken, kept, seen)]
     return reduce(lambda a, b: a.join(b, "_one"), one).drop("_one")
 
 

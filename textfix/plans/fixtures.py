@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textfix.config import CorrectionConfig, SpellConfig
-from textfix.functions.text import sentences
+from textfix.functions.text import sentences, words
 from textfix.operators.dictionary import word_frequencies
 from textfix.session import materialize
 
@@ -20,7 +20,10 @@ PAGES = 900_000_000_000_000_000
 # Lines per sentence in line-oriented tables, and a slice of line numbers for ordered work.
 LINES = 8
 LINE_SLICE = SENTENCES * LINES * 1000
-# A mark that occurs in no text; it makes the similarity of derived pairs known in advance.
+# Sentences of more words are changed at their end only.
+MIDDLE_WORDS = 150
+# A mark that occurs in no text. Put between two halves of a text, it makes a pair that has to be
+# compared, though the similarity is known in advance.
 MARK = "§"
 
 
@@ -65,18 +68,40 @@ def marks(n: int | Column) -> Column:
     return F.repeat(F.lit(MARK), F.lit(n) if isinstance(n, int) else n)
 
 
+def marked(text: Column, n: int | Column, replace: bool = False) -> Column:
+    """``n`` marks put before the first word of the second half, or in place of the blank before it; into
+    the middle of a single word.
+
+    NULL where the similarity to the text would not be known: no such blank between plain words, or
+    so few blanks in a long text that matching does not ignore them.
+    """
+    half = F.floor(F.length(text) / 2).cast("int")
+    at = half + F.instr(F.substr(text, half + 1), F.lit(" "))
+    head, tail = F.left(text, at), F.substr(text, at + 1)
+    blanks = (F.length(text) < 150) | ((F.size(words(text)) - 3) * 100 > F.length(text) + 300)
+    known = (at > half) & head.rlike(r"[\p{L}\p{N},] $") & tail.rlike(r"^[\p{L}\p{N}]") & blanks
+    before = F.left(text, at - 1) if replace else head
+    letters = F.length(F.rtrim(text, F.lit(".!?")))
+    inner = letters - F.floor(letters / 2).cast("int")
+    split_word = F.concat(F.left(text, inner), marks(n), F.substr(text, inner + 1))
+    return F.when(known, F.concat(before, marks(n), tail)).when(
+        text.rlike(r"^[\p{L}\p{N}]{2,100}[.!?]*$"), split_word
+    )
+
+
 def eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sid, input, gold, pred, ref, use_case): corrupted inputs and three kinds of answers."""
     gold, sid = F.col("gold"), F.col("sid")
     kind = sid % 5
     rows = doc_sentences(spark, sf_dir).select("sid", F.col("sentence").alias("gold"))
+    many = F.floor(F.length(gold) / 2).cast("int") + 1
     rows = rows.withColumn(
         "input",
         F.when(kind == 0, gold)
-        .when(kind == 1, F.lower(gold))
-        .when(kind == 2, F.concat(gold, marks(2)))
-        .when(kind == 3, F.concat(marks(2), gold))
-        .otherwise(F.concat(gold, marks(F.floor(F.length(gold) / 2).cast("int") + 1))),
+        .when(kind == 1, F.lower(F.coalesce(marked(gold, 1), gold)))
+        .when(kind == 2, F.coalesce(marked(gold, 2), F.concat(gold, marks(2))))
+        .when(kind == 3, F.coalesce(marked(gold, 1, True), F.concat(marks(2), gold)))
+        .otherwise(F.coalesce(marked(gold, many), F.concat(gold, marks(many)))),
     ).withColumn(
         "use_case",
         F.when(kind == 0, "basic-standard-lang")
@@ -85,7 +110,8 @@ def eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 3, "Basic Typos")
         .otherwise(F.when(sid % 2 == 0, "Repetition").otherwise("unlisted label")),
     )
-    worse = F.concat(F.col("input"), marks(5))
+    behind = F.concat(F.col("input"), marks(5))
+    worse = F.when(kind == 0, F.coalesce(marked(gold, 5), behind)).otherwise(behind)
 
     def answer(turn: Column) -> Column:
         return F.when(turn == 0, gold).when(turn == 1, F.col("input")).otherwise(worse)
@@ -141,10 +167,20 @@ def lang8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(sid, src, tgt): up to five words appended to each sentence."""
-    extra = F.repeat(F.lit(f" {MARK}"), (F.col("sid") % 6).cast("int"))
-    return flat_sentences(spark, sf_dir).select(
-        "sid", F.col("sentence").alias("src"), F.concat("sentence", extra).alias("tgt")
+    """(sid, src, tgt): up to five words put into the middle of each sentence, or one changed there."""
+    src, k = F.col("sentence"), (F.col("sid") % 6).cast("int")
+    w = F.col("w")
+    n = F.size(w)
+    half = n - F.floor(n / 2).cast("int")
+    middle = (n >= 2) & (n <= MIDDLE_WORDS)
+    # The changed word differs from the next one, so that the rest of the sentence stays matched.
+    change = middle & (k == 1) & (F.lower(F.get(w, half)) != F.lower(F.get(w, half + 1)))
+    at = F.when(middle, half).otherwise(n)
+    change = F.coalesce(change, F.lit(False))
+    rest = F.slice(w, at + 1 + change.cast("int"), n)
+    tgt = F.array_join(F.concat(F.slice(w, F.lit(1), at), F.array_repeat(F.lit(MARK), k), rest), " ")
+    return flat_sentences(spark, sf_dir).withColumn("w", words(src)).select(
+        "sid", src.alias("src"), tgt.alias("tgt")
     )
 
 

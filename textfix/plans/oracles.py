@@ -1,8 +1,8 @@
 """The registered queries once more, as SQL over the given tables.
 
 Written apart from the library: nothing here is built from its expressions. Where a query compares
-strings by similarity, the derived texts are made so that the result is known in closed form (one
-text inside the other, see ``sim_inside``).
+strings by similarity, the derived texts are made so that the result is known in closed form (marks
+between the halves of a text, see ``sim_marked``; one text inside the other, see ``sim_inside``).
 """
 
 from __future__ import annotations
@@ -56,6 +56,44 @@ def sim_inside(x: str, b: str) -> str:
     )
 
 
+def marked(text: str, marks: str, replace: bool = False) -> str:
+    """``text`` with marks before the first word of its second half, or for the blank before it; or NULL."""
+    inner = f"(length(rtrim({text}, '.!?')) - length(rtrim({text}, '.!?')) // 2)"
+    at = f"(length({text}) // 2 + strpos(substr({text}, length({text}) // 2 + 1), ' '))"
+    return (
+        rf"CASE WHEN {at} > length({text}) // 2 AND regexp_matches(substr({text}, 1, {at}), '[\p{{L}}\p{{N}},] $') "
+        rf"AND regexp_matches(substr({text}, {at} + 1), '^[\p{{L}}\p{{N}}]') AND (length({text}) < 150 OR "
+        rf"(len(regexp_extract_all({text}, '\S+')) - 3) * 100 > length({text}) + 300) "
+        f"THEN substr({text}, 1, {at}{' - 1' if replace else ''}) || {marks} || substr({text}, {at} + 1) "
+        rf"WHEN regexp_matches({text}, '^[\p{{L}}\p{{N}}]{{2,100}}[.!?]*$') "
+        f"THEN substr({text}, 1, {inner}) || {marks} || substr({text}, {inner} + 1) END"
+    )
+
+
+def sim_marked(x: str, b: str, second: str) -> str:
+    """Similarity of b and x, which is b with marks inside and perhaps more behind; ``second`` of the
+    two is the second argument, whose frequent characters are ignored if it is long.
+
+    The part p before the marks is always matched. The part t after them is, if it is the rest of b in
+    a short text, or if it holds a character that is not ignored. Without marks inside, see sim_inside.
+    """
+    y = f"rtrim({x}, '§')"
+    p = f"substr({y}, 1, strpos({y}, '§') - 1)"
+    t = f"ltrim(substr({y}, strpos({y}, '§')), '§')"
+    gap = f"(CASE WHEN starts_with({p} || {t}, {b}) THEN 0 ELSE 1 END)"
+    rest = f"substr({b}, length({p}) + {gap} + 1)"
+    rare = (
+        f"len(list_filter(list_distinct(string_split({rest}, '')), lambda c: "
+        f"length({second}) - length(replace({second}, c, '')) <= length({second}) // 100 + 1)) > 0"
+    )
+    first = f"(length({p}) >= length({rest}) OR strpos({b}, {rest}) = length({p}) + {gap} + 1)"
+    return (
+        f"CASE WHEN strpos({y}, '§') > 1 AND ({gap} = 0 OR starts_with({p} || ' ' || {t}, {b})) THEN "
+        f"2.0::DOUBLE * (length({p}) + CASE WHEN (length({second}) < 200 AND {first}) OR {rare} "
+        f"THEN length({rest}) ELSE 0 END) / (length({x}) + length({b})) ELSE {sim_inside(x, b)} END"
+    )
+
+
 NEG = ", ".join(
     f"'{w}'"
     for w in (
@@ -163,21 +201,26 @@ ALL_SENTS = f"""{SENTS}, allsents AS (SELECT sid, sentence FROM sents UNION ALL
     SELECT page_id + {PAGE}, 'please visit (' || url || ') before ' || page_id || 'pm.' FROM pages)"""
 FLAT = f"""{SENTS}, flat AS (SELECT sid, doc_id, translate(sentence, E'\\r\\n\\t', '   ') AS s FROM sents)"""
 EVAL = f"""{SENTS}, base AS (SELECT sid, sentence AS gold, CASE sid % 5 WHEN 0 THEN sentence
-        WHEN 1 THEN lower(sentence) WHEN 2 THEN sentence || '§§' WHEN 3 THEN '§§' || sentence
-        ELSE sentence || repeat('§', length(sentence) // 2 + 1) END AS input,
+        WHEN 1 THEN lower(coalesce({marked('sentence', "'§'")}, sentence))
+        WHEN 2 THEN coalesce({marked('sentence', "'§§'")}, sentence || '§§')
+        WHEN 3 THEN coalesce({marked('sentence', "'§'", True)}, '§§' || sentence)
+        ELSE coalesce({marked('sentence', "repeat('§', length(sentence) // 2 + 1)")},
+            sentence || repeat('§', length(sentence) // 2 + 1)) END AS input,
         CASE sid % 5 WHEN 0 THEN 'basic-standard-lang' WHEN 1 THEN 'Casing Errors'
         WHEN 2 THEN 'Incorrect Dates' WHEN 3 THEN 'Basic Typos'
         ELSE CASE WHEN sid % 2 = 0 THEN 'Repetition' ELSE 'unlisted label' END END AS use_case FROM sents),
-    ev AS (SELECT *, CASE sid % 3 WHEN 0 THEN gold WHEN 1 THEN input ELSE input || '§§§§§' END AS pred,
-        CASE (sid + 1) % 3 WHEN 0 THEN gold WHEN 1 THEN input ELSE input || '§§§§§' END AS ref,
+    wr AS (SELECT *, CASE WHEN sid % 5 = 0 THEN coalesce({marked('gold', "'§§§§§'")}, input || '§§§§§')
+        ELSE input || '§§§§§' END AS worse FROM base),
+    ev AS (SELECT * EXCLUDE (worse), CASE sid % 3 WHEN 0 THEN gold WHEN 1 THEN input ELSE worse END AS pred,
+        CASE (sid + 1) % 3 WHEN 0 THEN gold WHEN 1 THEN input ELSE worse END AS ref,
         CASE sid % 5 WHEN 0 THEN 'CORE (in-scope)' WHEN 1 THEN 'CORE (in-scope)'
         WHEN 2 THEN 'FORMATTING (out of scope)' WHEN 3 THEN 'CORE (in-scope)'
         ELSE CASE WHEN sid % 2 = 0 THEN 'STYLE/NAMES (out of scope)' ELSE 'UNCLASSIFIED' END END AS bucket
-        FROM base)"""
+        FROM wr)"""
 NORMED = f"""{EVAL}, nm AS (SELECT *, {norm('input')} AS n_in, {norm('gold')} AS n_gold,
     {norm('pred')} AS n_out, {norm('ref')} AS n_ref FROM ev)"""
-SCORED = f"""{NORMED}, sc AS (SELECT *, {sim_inside('n_in', 'n_gold')} AS sim_in,
-    {sim_inside('n_out', 'n_gold')} AS sim_out, {sim_inside('n_ref', 'n_gold')} AS sim_ref FROM nm)"""
+SCORED = f"""{NORMED}, sc AS (SELECT *, {sim_marked('n_in', 'n_gold', 'n_gold')} AS sim_in,
+    {sim_marked('n_out', 'n_gold', 'n_gold')} AS sim_out, {sim_marked('n_ref', 'n_gold', 'n_gold')} AS sim_ref FROM nm)"""
 VERDICT = f"""{SCORED}, vd AS (SELECT *, CASE WHEN n_out = n_in THEN 'unchanged'
     WHEN sim_out > sim_in + 0.01 THEN 'improved' WHEN sim_out < sim_in - 0.01 THEN 'regressed'
     ELSE 'lateral' END AS verdict FROM sc WHERE bucket = 'CORE (in-scope)')"""
@@ -312,7 +355,12 @@ WC = r"len(regexp_extract_all({0}, '\S+'))"
 RATIO_OK = f"({WC.format('tgt')} <= 3 * {WC.format('src')} AND {WC.format('src')} <= 3 * {WC.format('tgt')})"
 LANG8_PREP = f"""{LANG8}, noisy AS (SELECT src, tgt, min(line_no) AS line_no FROM l8
     WHERE src <> tgt AND {RATIO_OK} GROUP BY src, tgt)"""
-WORD_PAIRS = f"""{FLAT}, wp AS (SELECT sid, s AS src, s || repeat(' §', (sid % 6)::INT) AS tgt FROM flat)"""
+WORD_PAIRS = rf"""{FLAT}, wl AS (SELECT *, len(w) AS n, len(w) - len(w) // 2 AS half FROM
+        (SELECT sid, s, (sid % 6)::INT AS k, regexp_extract_all(s, '\S+') AS w FROM flat)),
+    wm AS (SELECT *, CASE WHEN n BETWEEN 2 AND 150 THEN half ELSE n END AS spot, (CASE WHEN n BETWEEN 2 AND 150 AND k = 1
+        AND lower(w[half + 1]) <> lower(w[half + 2]) THEN 1 ELSE 0 END) AS gone FROM wl),
+    wp AS (SELECT sid, k, w, spot, gone, s AS src, array_to_string(w[1:spot] || list_transform(range(k), lambda i: '§')
+        || w[spot + gone + 1:], ' ') AS tgt FROM wm)"""
 TOKS = r"dtoks AS (SELECT token, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(text, '\S+')) AS token FROM documents) GROUP BY 1)"
 DCORES = rf"""{TOKS}, dcores AS (SELECT core, sum(n)::BIGINT AS n FROM
     (SELECT regexp_extract(token, '^[^{WORDCLASS}]*(.*?)[^{WORDCLASS}]*$', 1) AS core, n FROM dtoks) GROUP BY 1)"""
@@ -352,10 +400,10 @@ WL = r"regexp_extract_all({0}, '\S+')"
 REVIEW = f"{SENTS}, {corrected('sents', 'sid', 'sentence', 'sid')}"
 CARDS = f"""{REVIEW}, cards AS (SELECT sid // {SENT} AS doc_id, (sid % {SENT})::BIGINT AS sent_no, original, spelled,
     final, guarded FROM fixed WHERE trim(final, {BLANK}) <> trim(spelled, {BLANK}))"""
-CONV = "conv AS (SELECT conv_id * 1000 + turn AS sid, conv_id, turn, role, text FROM conversations)"
+CONV = "conv AS (SELECT {'c': conv_id, 't': turn} AS sid, conv_id, turn, role, text FROM conversations)"
 EXAMPLES = """ex AS (SELECT row_number() OVER w AS n, role AS category, 'turn' AS note,
     coalesce(lag(role) OVER w <> role, true) AS header, text AS input FROM conversations
-    WINDOW w AS (ORDER BY conv_id * 1000 + turn))"""
+    WINDOW w AS (ORDER BY conv_id, turn))"""
 
 ORACLES: dict[str, str] = {
     "tokenize": r"""SELECT doc_id, len(regexp_extract_all(text, '\s+|\S+'))::BIGINT AS n,
@@ -414,15 +462,19 @@ ORACLES: dict[str, str] = {
         SELECT sid, coalesce(r, h) AS text, r IS NOT NULL AS ok FROM back""",
     "similarity": f"WITH {SCORED} SELECT sid, sim_in, sim_out, sim_ref FROM sc",
     "word_edits": f"WITH {WORD_PAIRS} SELECT sid, (sid % 6)::BIGINT AS n_edits FROM wp",
-    "word_diff": f"""WITH {WORD_PAIRS}, w AS (SELECT sid, {WL.format('src')} AS a, {WL.format('tgt')} AS b FROM wp)
-        SELECT sid, {diffed('a', 'b')} AS diff FROM w""",
+    "word_diff": f"""WITH {WORD_PAIRS}, w AS (SELECT sid, spot, k, {WL.format('tgt')} AS b FROM wp)
+        SELECT sid, array_to_string(list_transform(range(1, len(b) + 1), lambda i: b[i] ||
+        CASE WHEN i > spot AND i <= spot + k THEN '+' ELSE '=' END), ' ') AS diff FROM w""",
     "meaning_guard": f"""WITH {SENTS}, g AS (SELECT sid, sentence AS s, CASE sid % 5 WHEN 0 THEN sentence
-            WHEN 1 THEN sentence || ' not' WHEN 2 THEN sentence || '§§'
-            WHEN 3 THEN sentence || repeat('§', length(sentence) * 2) ELSE '§' || sentence END AS a FROM sents),
-        r AS (SELECT sid, s, a, CASE WHEN starts_with(lower(a), lower(s)) OR length(a) < 200
-            OR len(list_filter(list_distinct(string_split(lower(s), '')), lambda c:
-                length(a) - length(replace(lower(a), c, '')) <= length(a) // 100 + 1)) > 0
-            THEN 2.0 * length(s) / (length(s) + length(a)) ELSE 0.0 END AS sim FROM g)
+            WHEN 1 THEN sentence || ' not' WHEN 2 THEN coalesce({marked('sentence', "'§§'")}, sentence || '§§')
+            WHEN 3 THEN coalesce({marked('sentence', "repeat('§', length(sentence) + 20)")}, sentence || '§')
+            ELSE coalesce({marked('sentence', "'§'", True)}, '§' || sentence) END AS a FROM sents),
+        l AS (SELECT sid, s, a, lower(s) AS ls, lower(a) AS la FROM g),
+        r AS (SELECT sid, s, a, CASE WHEN strpos(rtrim(la, '§'), '§') > 1 THEN {sim_marked('la', 'ls', 'la')}
+            WHEN starts_with(la, ls) OR length(la) < 200
+            OR len(list_filter(list_distinct(string_split(ls, '')), lambda c:
+                length(la) - length(replace(la, c, '')) <= length(la) // 100 + 1)) > 0
+            THEN 2.0 * length(ls) / (length(ls) + length(la)) ELSE 0.0 END AS sim FROM l)
         SELECT sid, {negations('s')} = {negations('a')} AND sim >= 0.6 AS kept FROM r""",
     "dropped_names": f"""WITH {DICT}, c AS (SELECT doc_id, {word_set('text')} AS whole,
             {word_set('text[:length(text) - length(text) // 5]')} AS part FROM documents),
@@ -493,7 +545,7 @@ ORACLES: dict[str, str] = {
     "m2_blocks": f"""WITH {M2_BLOCKS} SELECT file, block, array_to_string(src, ' ') AS src, coalesce(len(edits), 0)::BIGINT AS n_edits
         FROM blocks""",
     "m2_pairs": f"WITH {M2_PREP} SELECT src, tgt, spot.file AS file, spot.block AS block FROM prepared",
-    "prep_counters": f"""WITH {M2_PREP} SELECT (SELECT count(DISTINCT file) FROM blocks) AS files,
+    "prep_counters": f"""WITH {M2_PREP} SELECT (SELECT count(DISTINCT file) FROM m2) AS files,
         (SELECT count(*) FROM prepared) AS pairs,
         (SELECT count(*) FROM m2p WHERE src = tgt AND trim(src) <> '') AS identities,
         (SELECT count(DISTINCT (file, block)) FROM opened WHERE kind = 'A' AND NOT regexp_matches(
@@ -508,6 +560,6 @@ ORACLES: dict[str, str] = {
     "mix_corpora": f"""WITH {M2_PREP}, {LANG8_PREP.split(', entries AS', 1)[1].join(['entries AS', ''])},
         capped AS (SELECT src, tgt FROM noisy ORDER BY line_no LIMIT 1000)
         SELECT src, tgt FROM prepared UNION ALL SELECT src, tgt FROM capped""",
-    "stream_correct": f"""WITH {CONV}, {corrected('conv', 'sid', 'text', 'sid')}
+    "stream_correct": f"""WITH {CONV}, {corrected('conv', 'sid', 'text', '(sid.c + sid.t)')}
         SELECT conv_id, turn, final, fell_back, guarded AS meaning_guarded FROM conv JOIN fixed USING (sid)""",
 }

@@ -294,9 +294,9 @@ def meaning_guard(spark, sf):
     after = (
         F.when(kind == 0, s)
         .when(kind == 1, F.concat(s, F.lit(" not")))
-        .when(kind == 2, F.concat(s, fx.marks(2)))
-        .when(kind == 3, F.concat(s, fx.marks(F.length(s) * 2)))
-        .otherwise(F.concat(fx.marks(1), s))
+        .when(kind == 2, F.coalesce(fx.marked(s, 2), F.concat(s, fx.marks(2))))
+        .when(kind == 3, F.coalesce(fx.marked(s, F.length(s) + 20), F.concat(s, fx.marks(1))))
+        .otherwise(F.coalesce(fx.marked(s, 1, True), F.concat(fx.marks(1), s)))
     )
     return sim.with_meaning(fx.doc_sentences(spark, sf), "kept", s, after).select("sid", "kept")
 
@@ -377,8 +377,10 @@ def suggestion_summary(spark, sf):
 
 @query
 def example_report(spark, sf):
-    order = F.col("conv_id") * 1000 + F.col("turn")
-    examples = fx.load(spark, sf, "conversations").select(
+    turns = fx.load(spark, sf, "conversations")
+    width = turns.agg(F.max("turn") + 1).scalar()
+    order = F.col("conv_id") * width + F.col("turn")
+    examples = turns.select(
         order.alias("line_no"), F.col("role").alias("category"), F.lit("turn").alias("note"),
         F.col("text").alias("input"),
     )
@@ -520,7 +522,8 @@ def m2_pairs(spark, sf):
 
 @query
 def prep_counters(spark, sf):
-    return pairs.prep_counters(materialize(_blocks(spark, sf), "blocks"))
+    blocks = materialize(_blocks(spark, sf), "blocks")
+    return pairs.prep_counters(blocks, files=fx.m2_lines(spark, sf))
 
 
 @query
@@ -574,11 +577,11 @@ def stream_correct(spark, sf):
     stream = spark.readStream.schema(source.schema).option(
         "pathGlobFilter", "conversations.parquet"
     ).parquet(sf)
-    key = F.col("conv_id") * 1000 + F.col("turn")
     base = f"{shared_dir(spark)}/textfix/stream-{uuid.uuid4().hex}"
     running = start_stream(
-        stream.withColumn("sid", key), fx.dictionary(spark, sf), f"{base}/out", f"{base}/state",
-        _hazard, fx.CORRECTION, "text", id_cols=["sid"], available_now=True,
+        stream, fx.dictionary(spark, sf), f"{base}/out", f"{base}/state",
+        lambda masked: fx.hazard(F.col("conv_id") + F.col("turn"), masked), fx.CORRECTION, "text",
+        id_cols=["conv_id", "turn"], available_now=True,
     )
     running.awaitTermination()
     done = spark.read.parquet(f"{base}/out")

@@ -24,6 +24,12 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
+def matched_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Names of all files that match, empty ones included: (file). Their content is not read."""
+    listed = spark.read.format("binaryFile").load(paths)
+    return listed.select(F.col("_metadata.file_path").alias("file"))
+
+
 def read_eval_csv(spark: SparkSession, path: str) -> DataFrame:
     """Labelled evaluation rows: input, gold, use_case, ref."""
     raw = (
