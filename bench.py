@@ -21,7 +21,7 @@ from textfix.session import local_session, materialize
 HEADLINE = [
     "word_frequencies", "fuzzy_candidates", "spell_correct", "analyze_tokens", "mask", "unmask",
     "similarity", "correct", "review", "error_profile", "by_scope", "m2_pairs", "lang8_pairs",
-    "latency_percentiles", "idle_sessions",
+    "latency_percentiles", "idle_sessions", "model_correct", "decontaminate", "gleu", "bigram_rerank",
 ]
 
 

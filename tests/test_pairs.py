@@ -163,7 +163,7 @@ def test_metric_files(spark, tmp_path):
 
 
 def test_files_without_blocks_are_counted(spark, tmp_path):
-    from textfix.operators.pairs import prep_counters
+    from textfix.operators.pairs import m2_blocks, prep_counters
     from textfix.sources.readers import matched_files, read_lines
 
     (tmp_path / "a.m2").write_text("S a b\nA 0 1|||R|||x|||REQUIRED|||-NONE-|||0\n\n")

@@ -25,9 +25,12 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def matched_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Names of all files that match, empty ones included: (file). Their content is not read."""
-    listed = spark.read.format("binaryFile").load(paths)
-    return listed.select(F.col("_metadata.file_path").alias("file"))
+    """Names of all files that match, empty ones included: (file).
+
+    A scan leaves empty files out, so the names come from the listing that Spark holds of its input.
+    """
+    names = spark.read.text(paths).inputFiles()
+    return spark.createDataFrame([(name,) for name in names], "file string")
 
 
 def read_eval_csv(spark: SparkSession, path: str) -> DataFrame:
