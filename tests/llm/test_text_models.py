@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -208,3 +209,32 @@ def test_spans_null_and_repeated_ids(docs):
     got = spans.remove_repeats(docs([(None, t), (None, t), (5, t), (5, t), (6, t)])).collect()
     assert sorted((str(r["doc_id"]), r["n_removed"]) for r in got) == [("5", 0), ("5", 0), ("6", 2), ("None", 0), ("None", 0)]
     assert spans.remove_repeats(docs([])).collect() == []
+
+
+def every_run_removed(rows):
+    """Numbers of the removed pieces when every run of two pieces and 20 words is looked up."""
+    where, gone = {}, {i: set() for i, _ in rows}
+    for i, t in rows:
+        words = [regex.findall(r"[\p{L}\p{N}]+", p.lower()) for p in spans.sentences(t)]
+        solid = [k for k, w in enumerate(words) if w]
+        for a in range(len(solid)):
+            for b in range(a + 2, len(solid) + 1):
+                run = tuple(tuple(words[k]) for k in solid[a:b])
+                if sum(map(len, run)) >= 20:
+                    if where.setdefault(run, (i, a)) != (i, a):
+                        gone[i].update(range(solid[a], solid[b - 1] + 1))
+    return gone
+
+
+def test_every_repeated_run_is_removed_whole(docs):
+    rng = random.Random(4)
+    say = lambda n: " ".join("w%d" % rng.randrange(9000) for _ in range(n)) + ". "
+    whole = say(15) + say(15) + say(3)
+    rows = [(1, whole), (2, whole), (3, say(9) + whole + say(9))]
+    for i in range(4, 24, 2):
+        part = "".join(say(rng.choice([2, 3, 9, 15])) for _ in range(6))
+        rows += [(i, say(9) + part + say(12)), (i + 1, say(30) + part + say(7) + part)]
+    want = every_run_removed(rows)
+    got = {r["doc_id"]: r for r in spans.remove_repeats(docs(rows)).collect()}
+    assert {i: r["removed"] for i, r in got.items()} == {i: sorted(s) for i, s in want.items()}
+    assert got[2]["text"] == "" and whole.strip() not in got[3]["text"] and got[3]["n_removed"] == 3

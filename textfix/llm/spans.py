@@ -1,8 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
-A span starts at every sentence of a text and is the shortest run of several consecutive sentences
-that holds enough words. Spans are hashed and joined over all documents. Sentences that any span
-covers which has occurred before, in an earlier document or earlier in the same one, are removed.
+A span is the shortest run of several consecutive pieces
+that holds enough words: one starts at every piece and one ends at every piece, so the spans inside any
+repeated run cover it. Spans are hashed and joined over all documents. Pieces that any span covers which
+has occurred before, in an earlier document or earlier in the same one, are removed.
 """
 
 from __future__ import annotations
@@ -25,22 +26,40 @@ _PIECE = regex.compile(r"[^.!?。！？\n]*+(?:[.!?。！？]++[\"'”’»)\]]*
 _WORD = regex.compile(r"[\p{L}\p{N}]++")
 
 
+def _fold(piece: str) -> str:
+    """Lower case, character by character."""
+    low = piece.lower()
+    return low if len(low) == len(piece) else "".join(c.lower() if len(c.lower()) == 1 else c for c in piece)
+
+
+def _cut(text: str) -> tuple[list[str], list[list[str]]]:
+    """Pieces that give the text when joined, and the words of each."""
+    pieces, found = [], []
+    for piece in filter(None, _PIECE.findall(text)):
+        pieces.append(piece)
+        found.append(_WORD.findall(_fold(piece)))
+    return pieces, found
+
+
 def sentences(text: str) -> list[str]:
     """Pieces that give the text when joined."""
-    return [piece for piece in _PIECE.findall(text) if piece]
+    return _cut(text)[0]
 
 
 def spans(
     pieces: list[str], least: int = SENTENCES, words: int = WORDS
 ) -> tuple[list[int], list[int], list[int]]:
-    """Start, length and 128-bit hash of the span from each sentence that has one.
+    """Start, length and 128-bit hash of the spans that start or end at a piece, each once, in order.
 
-    Only words count, without case. Sentences without words belong to the span that they stand in
-    but add nothing to it.
+    Only words count, without case. Pieces without words belong to the span that they stand in but
+    add nothing to it.
     """
-    found = [_WORD.findall(piece.lower()) for piece in pieces]
+    return _spans([_WORD.findall(_fold(piece)) for piece in pieces], least, words)
+
+
+def _spans(found: list[list[str]], least: int, words: int) -> tuple[list[int], list[int], list[int]]:
     solid = [i for i, w in enumerate(found) if w]
-    starts, lengths, hashes = [], [], []
+    runs = set()
     end = total = 0  # the window is solid[k:end] with ``total`` words
     for k, i in enumerate(solid):
         while end < len(solid) and (total < words or end - k < least):
@@ -48,58 +67,67 @@ def spans(
             end += 1
         if total < words or end - k < least:
             break
-        last = solid[end - 1]
-        run = xxhash.xxh3_128()
-        for j in solid[k:end]:
-            run.update(" ".join(found[j]).encode() + b"\n")
-        starts.append(i)
-        lengths.append(last - i + 1)
-        hashes.append(run.intdigest())
+        runs.add((k, end))
         total -= len(found[i])
-    return starts, lengths, hashes
+    k = total = 0
+    for end, i in enumerate(solid, 1):
+        total += len(found[i])
+        while end - k > least and total - len(found[solid[k]]) >= words:
+            total -= len(found[solid[k]])
+            k += 1
+        if total >= words and end - k >= least:
+            runs.add((k, end))
+    ordered = sorted(runs)
+    digests = b"".join([xxhash.xxh3_128_digest(" ".join(found[i])) for i in solid])
+    return (
+        [solid[k] for k, _ in ordered],
+        [solid[end - 1] - solid[k] + 1 for k, end in ordered],
+        [xxhash.xxh3_128_intdigest(digests[16 * k : 16 * end]) for k, end in ordered],
+    )
 
 
 def span_rows(
     df: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = SENTENCES, words: int = WORDS
 ) -> DataFrame:
-    """(doc, key, check, start, length): the spans of each text, each hash once per text."""
+    """(doc, mark, key, check, start, length): the spans of each text; ``mark`` is a hash of the text.
+
+    Spans that repeat an earlier one of the text have no key. A row without start has the number of
+    pieces as its length. Of a row whose id is NULL only what has no key is listed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, keys, checks, starts, lengths = [], [], [], [], []
-            for doc, value in zip(batch.column(0), batch.column(1), strict=True):
-                if not doc.is_valid:
-                    continue
+            out: list[tuple] = []
+            for doc, value, mark in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                found = _cut(value or "")[1]
+                out.append((doc, mark, None, None, None, len(found)))
                 seen = set()
-                for start, length, hashed in zip(*spans(sentences(value.as_py() or ""), least, words), strict=True):
-                    if hashed not in seen:
-                        seen.add(hashed)
-                        docs.append(doc.as_py())
-                        keys.append(hashed & (1 << 64) - 1)
-                        checks.append(hashed >> 64 & (1 << 32) - 1)
-                        starts.append(start)
-                        lengths.append(length)
+                for start, length, hashed in zip(*_spans(found, least, words), strict=True):
+                    if hashed in seen:
+                        out.append((doc, mark, None, None, start, length))
+                    elif doc is not None:
+                        key, check = hashed & (1 << 64) - 1, hashed >> 64 & (1 << 32) - 1
+                        key, check = key - (key >> 63 << 64), check - (check >> 31 << 32)
+                        out.append((doc, mark, key, check, start, length))
+                    seen.add(hashed)
+            columns = zip(*out, strict=True) if out else [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(docs, pa.int64()),
-                    pa.array(np.array(keys, np.uint64).view(np.int64)),
-                    pa.array(np.array(checks, np.uint32).view(np.int32)),
-                    pa.array(starts, pa.int32()),
-                    pa.array(lengths, pa.int32()),
-                ],
-                ["doc", "key", "check", "start", "length"],
+                [pa.array(x, k) for x, k in zip(columns, kinds, strict=True)],
+                ["doc", "mark", "key", "check", "start", "length"],
             )
 
-    schema = "doc long, key long, check int, start int, length int"
-    return df.select(id_col, text).mapInArrow(run, schema)
+    schema = "doc long, mark long, key long, check int, start int, length int"
+    return df.select(id_col, text, F.xxhash64(text)).mapInArrow(run, schema)
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
-    """(doc, start, length) of the spans whose first occurrence is in a document with a smaller id."""
+    """(doc, mark, start, length) of the spans whose first occurrence is in a document with a smaller id."""
+    rows = rows.where(F.col("key").isNotNull())
     many = rows.groupBy("key", "check").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n"))
     many = materialize(many.where(F.col("n") > 1), "spans-many")
     held = attach(rows, many, ["key", "check"], "n").where(F.col("doc") > F.col("first"))
-    return held.select("doc", "start", "length")
+    return held.select("doc", "mark", "start", "length")
 
 
 def remove_repeats(
@@ -107,41 +135,37 @@ def remove_repeats(
 ) -> DataFrame:
     """(id, text, n_sentences, n_removed, removed, changed) per row of ``df``.
 
-    ``text`` lacks the sentences of repeated spans, ``removed`` lists their numbers from 0. Documents
-    are in order of their ids, which are longs; rows that repeat an id are one document and lose the
-    same sentences where their texts are the same. A row whose id is NULL is compared only with
-    itself. A NULL text stays NULL and has no sentences. What has no run of ``least`` sentences and
-    ``words`` words is never removed.
+    ``text`` lacks the pieces of repeated spans, ``removed`` lists their numbers from 0 and
+    ``n_sentences`` counts all pieces, which are sentences. Documents are in order of their ids,
+    which are longs; rows that repeat an id are one document and lose the same pieces where their texts
+    are the same. A row whose id is NULL is compared only with itself. A NULL text stays NULL and has
+    no pieces. What has no run of ``least`` pieces and ``words`` words is never removed.
     """
     rows = materialize(span_rows(df, id_col, text, least, words), "spans")
-    repeats = repeated_spans(rows).groupBy("doc").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
+    repeats = repeated_spans(rows).unionByName(rows.where(F.col("key").isNull()).drop("key", "check"))
+    repeats = repeats.groupBy("doc", "mark").agg(
+        F.max(F.when(F.col("start").isNull(), F.col("length"))).alias("n"),
+        F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "length"))).alias("spans"),
+    )
     repeats = materialize(repeats, "spans-repeats")
-    joined = df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(
-        repeats, F.col("id") == F.col("doc"), "left"
-    ).select("id", "text", "spans")
+    left = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("_mark"))
+    joined = left.join(
+        repeats, F.col("id").eqNullSafe(F.col("doc")) & (F.col("_mark") == F.col("mark"))
+    ).select("id", "text", "n", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, sizes, gone = [], [], []
-            for value, found in zip(batch.column(1), batch.column(2), strict=True):
-                pieces = sentences(value.as_py() or "")
-                starts, lengths, hashes = spans(pieces, least, words)
-                taken, seen = set(), set()
-                for start, length, hashed in zip(starts, lengths, hashes, strict=True):
-                    if hashed in seen:
-                        taken.update(range(start, start + length))
-                    seen.add(hashed)
-                known = dict(zip(starts, lengths, strict=True))
-                for s in found.as_py() or []:
-                    if known.get(s["start"]) == s["length"]:
-                        taken.update(range(s["start"], s["start"] + s["length"]))
-                kept = "".join(p for i, p in enumerate(pieces) if i not in taken)
-                texts.append(kept if value.is_valid else None)
-                sizes.append(len(pieces))
+            texts, gone = [], []
+            for value, found in zip(batch.column(1), batch.column(3), strict=True):
+                taken = {k for s in found.as_py() for k in range(s["start"], s["start"] + s["length"])}
+                kept = value.as_py()
+                if taken:
+                    kept = "".join(p for i, p in enumerate(sentences(kept)) if i not in taken)
+                texts.append(kept)
                 gone.append(sorted(taken))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(texts, pa.string()), pa.array(sizes, pa.int32()),
+                    batch.column(0), pa.array(texts, pa.string()), batch.column(2),
                     pa.array([len(g) for g in gone], pa.int32()), pa.array(gone, pa.list_(pa.int32())),
                     pa.array([bool(g) for g in gone]),
                 ],
