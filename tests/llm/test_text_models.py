@@ -238,3 +238,16 @@ def test_every_repeated_run_is_removed_whole(docs):
     got = {r["doc_id"]: r for r in spans.remove_repeats(docs(rows)).collect()}
     assert {i: r["removed"] for i, r in got.items()} == {i: sorted(s) for i, s in want.items()}
     assert got[2]["text"] == "" and whole.strip() not in got[3]["text"] and got[3]["n_removed"] == 3
+
+
+def test_passages_inside_one_sentence_are_found(docs):
+    rng = random.Random(6)
+    say = lambda n: " ".join("w%d" % rng.randrange(9000) for _ in range(n))
+    rows, passages = [], [say(60) for _ in range(20)]
+    for i, passage in enumerate(passages):
+        rows += [(2 * i, say(70) + " " + passage + " " + say(50)), (2 * i + 1, say(40) + " " + passage.upper() + " " + say(90))]
+    got = {r["doc_id"]: r for r in spans.remove_repeats(docs(rows)).collect()}
+    for i, passage in enumerate(passages):
+        assert got[2 * i]["text"] == rows[2 * i][1]
+        lost = set(rows[2 * i + 1][1].split()) - set(got[2 * i + 1]["text"].split())
+        assert len(lost) >= 20 and lost <= set(passage.upper().split())

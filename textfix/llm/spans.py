@@ -1,6 +1,7 @@
 """Substring dedup by sliding sentence spans.
 
-A span is the shortest run of several consecutive pieces
+Sentences of more than WORDS words are cut into smaller pieces at words chosen by their hash, so equal
+passages are cut alike wherever they stand. A span is the shortest run of several consecutive pieces
 that holds enough words: one starts at every piece and one ends at every piece, so the spans inside any
 repeated run cover it. Spans are hashed and joined over all documents. Pieces that any span covers which
 has occurred before, in an earlier document or earlier in the same one, are removed.
@@ -9,6 +10,7 @@ has occurred before, in an earlier document or earlier in the same one, are remo
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,8 @@ from textfix.llm.common import attach
 from textfix.session import materialize
 
 SENTENCES, WORDS = 2, 20
+# A long sentence is cut at least once in so many consecutive words.
+CUT_WORDS = 8
 # A sentence with the white space after it: up to its end marks or the end of its line.
 _PIECE = regex.compile(r"[^.!?。！？\n]*+(?:[.!?。！？]++[\"'”’»)\]]*+(?=\s|$)|\n|$|[.!?。！？]++)\s*+")
 _WORD = regex.compile(r"[\p{L}\p{N}]++")
@@ -32,17 +36,44 @@ def _fold(piece: str) -> str:
     return low if len(low) == len(piece) else "".join(c.lower() if len(c.lower()) == 1 else c for c in piece)
 
 
+@lru_cache(1 << 17)
+def _rank(word: str) -> int:
+    return xxhash.xxh32_intdigest(word)
+
+
+def _cuts(words: list[str]) -> list[int]:
+    """The words before which a sentence is cut: of any CUT_WORDS consecutive ones the least by hash."""
+    ranks = np.fromiter(map(_rank, words), np.uint32, len(words))
+    least = np.lib.stride_tricks.sliding_window_view(ranks, CUT_WORDS).argmin(axis=1)
+    return np.unique(least + np.arange(len(least))).tolist()
+
+
 def _cut(text: str) -> tuple[list[str], list[list[str]]]:
     """Pieces that give the text when joined, and the words of each."""
     pieces, found = [], []
     for piece in filter(None, _PIECE.findall(text)):
-        pieces.append(piece)
-        found.append(_WORD.findall(_fold(piece)))
+        low = _fold(piece)
+        words = _WORD.findall(low)
+        if len(words) <= WORDS:
+            pieces.append(piece)
+            found.append(words)
+            continue
+        cuts = set(_cuts(words)) - {0}
+        at = begin = first = 0
+        for k, word in enumerate(words):
+            at = low.index(word, at)
+            if k in cuts:
+                pieces.append(piece[begin:at])
+                found.append(words[first:k])
+                begin, first = at, k
+            at += len(word)
+        pieces.append(piece[begin:])
+        found.append(words[first:])
     return pieces, found
 
 
 def sentences(text: str) -> list[str]:
-    """Pieces that give the text when joined."""
+    """Pieces that give the text when joined: sentences, long ones cut."""
     return _cut(text)[0]
 
 
@@ -136,7 +167,7 @@ def remove_repeats(
     """(id, text, n_sentences, n_removed, removed, changed) per row of ``df``.
 
     ``text`` lacks the pieces of repeated spans, ``removed`` lists their numbers from 0 and
-    ``n_sentences`` counts all pieces, which are sentences. Documents are in order of their ids,
+    ``n_sentences`` counts all pieces (sentences, long ones cut). Documents are in order of their ids,
     which are longs; rows that repeat an id are one document and lose the same pieces where their texts
     are the same. A row whose id is NULL is compared only with itself. A NULL text stays NULL and has
     no pieces. What has no run of ``least`` pieces and ``words`` words is never removed.
