@@ -251,3 +251,22 @@ def test_passages_inside_one_sentence_are_found(docs):
         assert got[2 * i]["text"] == rows[2 * i][1]
         lost = set(rows[2 * i + 1][1].split()) - set(got[2 * i + 1]["text"].split())
         assert len(lost) >= 20 and lost <= set(passage.upper().split())
+
+
+@pytest.mark.parametrize("word", ["a" * 16 + "b", "x_" * 5000, "\u6f22\u5b57\u304b\u306a" * 2000, "a\U0001f600\u00e9" * 300])
+def test_long_words_are_read_whole(word):
+    pieces = toxicity.words_of(word)
+    raw = word.strip(toxicity.EDGES).encode()
+    triples = lambda b: {b[i : i + 3] for i in range(len(b) - 2)}
+    assert all(len(p.encode()) <= toxicity.PIECE_BYTES for p in pieces)
+    assert triples(raw) == set().union(*(triples(p.encode()) for p in pieces))
+    assert (toxicity.trigram_rows(pieces)[1].sum(axis=1) == [len(p.encode()) for p in pieces]).all()
+    assert "".join(pieces[:1]) == word[: len(pieces[0])] and raw.decode().endswith(pieces[-1])
+
+
+def test_a_change_anywhere_in_a_long_word_changes_the_inputs():
+    net, word = toxicity.Network(["bad"]), "\u6f22\u5b57\u4eee\u540d" * 800
+    plain = toxicity.Scorer(net).scores([word])[0]
+    changed = [word[:at] + "\u6bd2\u6bd2\u6bd2" + word[at + 3 :] for at in range(0, len(word), 211)]
+    table = [net.inputs(toxicity.words_of(t))[0].sum() for t in [word, *changed]]
+    assert plain > 0 and all(abs(x - table[0]) > 1e-6 for x in table[1:])

@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over windows of words.
 
 A word enters as its own vector, if it is in the vocabulary, beside the mean vector of its character
-trigrams. Two gated recurrent layers read a window forwards and backwards, attention pools their
+trigrams; a word of more than PIECE_BYTES bytes enters as overlapping pieces, each like a word. Two gated recurrent layers read a window forwards and backwards, attention pools their
 states, and a logistic output scores the window. A text is cut into overlapping windows; its score is
 that of its worst one. Training is plain numpy on a bounded sample of labelled texts: first on random
 windows, then on the windows that score highest, as a label belongs to a text and not to a window.
@@ -26,17 +26,43 @@ WORD_DIM, CHAR_DIM, HIDDEN, CHAR_ROWS = 8, 16, 8, 1 << 13
 # Fitting: texts that must hold a word of the vocabulary, share of words read by their characters only,
 # step size and the share by which weights shrink in a step.
 LEAST_TEXTS, WORD_DROP, STEP, SHRINK = 5, 0.3, 0.01, 1e-4
+# Bytes of a word that are one input; longer words are cut.
+PIECE_BYTES = 16
 EDGES = ".,;:!?\"'()[]{}<>«»“”‘’…*_#|-"
 # Words whose inputs a Python worker remembers, windows scored together, words worked on together.
 MEMO_WORDS, BLOCK, GROUP_WORDS = 200_000, 2048, 1 << 17
 
 
+def split_word(word: str) -> list[str]:
+    """Pieces of at most PIECE_BYTES bytes; neighbours share two bytes or more, so every trigram is in one."""
+    pieces, begin, size = [], 0, 0
+    for at, c in enumerate(word):
+        wide = len(c.encode())
+        if size + wide > PIECE_BYTES:
+            pieces.append(word[begin:at])
+            begin, size = at, 0
+            while size < 2:
+                begin -= 1
+                size += len(word[begin].encode())
+        size += wide
+    return [*pieces, word[begin:]]
+
+
 def words_of(text: str | None) -> list[str]:
-    return [w for w in (x.strip(EDGES) for x in (text or "").lower().split()) if w]
+    """The words of a text without marks at their edges; long ones in overlapping pieces."""
+    out: list[str] = []
+    for x in (text or "").lower().split():
+        w = x.strip(EDGES)
+        if len(w) * 4 <= PIECE_BYTES or len(w.encode()) <= PIECE_BYTES:
+            if w:
+                out.append(w)
+        else:
+            out += split_word(w)
+    return out
 
 
-def trigram_rows(words: list[str], width: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the trigrams of each word (up to ``width`` evenly chosen ones) and which count."""
+def trigram_rows(words: list[str], width: int = PIECE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the trigrams of each word of up to ``width`` bytes and which count."""
     raw = [b"^" + w.encode() + b"$" for w in words]
     size = np.array([len(r) for r in raw])
     flat = np.frombuffer(b"".join(raw) + b"\0\0", np.uint8).astype(np.uint32)
