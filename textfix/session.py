@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import threading
 import uuid
@@ -28,16 +30,25 @@ def local_session(cores: str | int = "*", app: str = "textfix") -> SparkSession:
     )
 
 
+# Scratch folders of local applications without a shared folder, by application id.
+_scratch: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: ``spark.checkpoint.dir``, or a scratch folder in local mode."""
+    """Folder for intermediate tables: ``spark.checkpoint.dir``, or a scratch folder in local mode.
+
+    The scratch folder is removed when Python ends.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="textfix-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _scratch:
+        _scratch[app] = tempfile.mkdtemp(prefix="textfix-")
+        atexit.register(shutil.rmtree, _scratch[app], ignore_errors=True)
+    return _scratch[app]
 
 
 _open = threading.local()
@@ -55,10 +66,14 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _open.paths = outer
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for name in made:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(conf).delete(path, True)
+        for path in made:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, if it exists."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
