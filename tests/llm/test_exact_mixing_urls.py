@@ -43,6 +43,14 @@ def test_exact_null_ids_repeats_and_empty_table(docs):
     assert exact.exact_duplicates(docs([])).collect() == []
 
 
+def test_keep_one_tells_rows_apart_by_id_and_text(docs):
+    rows = [(1, "ab"), (1, "a b"), (1, "other"), (2, "ab"), (2, "new"), (2, "new"), (3, "new"), (None, "ab"), (None, None)]
+    got = sorted(((r["doc_id"], r["text"]) for r in exact.keep_one(docs(rows, "_sha string")).collect()), key=str)
+    ones = [r for r in got if r[0] == 1 and r[1] != "other"]
+    assert len(ones) == 1 and ones[0][1] in ("ab", "a b")
+    assert [r for r in got if r not in ones] == sorted([(1, "other"), (2, "new"), (None, "ab"), (None, None)], key=str)
+
+
 def test_filters_merge_without_loss():
     rng = np.random.default_rng(1)
     raw = [rng.integers(0, 1 << 57, n, dtype=np.uint64) % np.uint64(1 << 40) * np.uint64(131_071) % np.uint64(1 << 57) for n in (0, 1, 5, 900)]
@@ -133,15 +141,19 @@ def test_halves_differ_by_one_block(spark):
 
 def test_draw_gives_the_words_taken(docs):
     df = docs([(i, " ".join(f"w{k}" for k in range(i % 9 + 1))) for i in range(60)])
-    mixed = mixing.mix(df)
-    want = {r["doc_id"]: r["taken"] for r in mixed.collect()}
+    mixed, exact = mixing.mix(df, whole=True), mixing.mix(df)
+    want = {r["doc_id"]: r for r in mixed.collect()}
     got = Counter()
     drawn = mixing.draw(df, mixed)
     assert drawn.columns == df.columns
+    texts = {r["doc_id"]: r["text"] for r in df.collect()}
     for r in drawn.collect():
+        assert r["text"] == texts[r["doc_id"]]
         got[r["doc_id"]] += len(r["text"].split())
-        assert r["n_chars"] == len(r["text"])
-    assert got == Counter({i: n for i, n in want.items() if n})
+    assert got == Counter({i: r["taken"] for i, r in want.items() if r["taken"]})
+    # One document per source may differ from the exact mix, by half of its words at most.
+    other = [(want[r["doc_id"]], r) for r in exact.collect() if want[r["doc_id"]]["taken"] != r["taken"]]
+    assert len(other) <= 1 and all(2 * abs(a["taken"] - b["taken"]) <= b["size"] for a, b in other)
 
 
 ADDRESSES = [

@@ -270,3 +270,13 @@ def test_a_change_anywhere_in_a_long_word_changes_the_inputs():
     changed = [word[:at] + "\u6bd2\u6bd2\u6bd2" + word[at + 3 :] for at in range(0, len(word), 211)]
     table = [net.inputs(toxicity.words_of(t))[0].sum() for t in [word, *changed]]
     assert plain > 0 and all(abs(x - table[0]) > 1e-6 for x in table[1:])
+
+
+def test_keep_good_computes_each_statistic_once(spark):
+    docs, labels = table(spark, DATA, "documents"), table(spark, DATA, "labels")
+    kept = quality.keep_good(docs, labels)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    once = quality.score(docs, labels)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct") == 2 and plan.count("split(") == once.count("split(")
+    want = {r["doc_id"] for r in quality.score(docs, labels).where("predicted = 1").collect()}
+    assert {r["doc_id"] for r in kept.collect()} == want and kept.columns == docs.columns

@@ -35,6 +35,18 @@ def attach(left: DataFrame, right: DataFrame, key: str | list[str], weight: str)
     return cold.unionByName(left.join(hot, key))
 
 
+def without(df: DataFrame, key: list[str], drop: DataFrame, again: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose key isn't in ``drop``; of those whose key is in ``again`` only one.
+
+    ``again`` should be a written table; as a rule it is empty, and no other row is compared.
+    """
+    rest = df.join(drop, key, "left_anti")
+    if again.isEmpty():
+        return rest
+    once = rest.join(again, key, "left_semi").dropDuplicates(key)
+    return rest.join(again, key, "left_anti").unionByName(once)
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, root) for every node of an undirected graph; ``root`` is the smallest node reached.
 

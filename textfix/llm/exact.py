@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textfix.llm.common import SPACE, attach
+from textfix.llm.common import SPACE, attach, without
 from textfix.session import materialize
 
 
@@ -88,6 +88,10 @@ def add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def merge_runs(*runs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return add_up(np.concatenate([k for k, _ in runs]), np.concatenate([c for _, c in runs]))
+
+
 def repeated_fingerprints(df: DataFrame, fp: str = "fp") -> DataFrame:
     """(fp, n): the fingerprints (long) that occur more than once and how often."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -95,12 +99,18 @@ def repeated_fingerprints(df: DataFrame, fp: str = "fp") -> DataFrame:
     bits = 64 - lead
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        runs: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             new = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            keys, counts = add_up(np.r_[keys, new], np.r_[counts, np.ones(len(new), np.int64)])
-        if not len(keys):
+            runs.append(add_up(new, np.ones(len(new), np.int64)))
+            # Only runs of like size are merged, so a key is sorted a logarithmic number of times.
+            while len(runs) > 1 and 2 * len(runs[-1][0]) >= len(runs[-2][0]):
+                runs.append(merge_runs(runs.pop(), runs.pop()))
+        while len(runs) > 1:
+            runs.append(merge_runs(runs.pop(), runs.pop()))
+        if not runs or not len(runs[0][0]):
             return
+        keys, counts = runs[0]
         block = (keys >> np.uint64(bits)).astype(np.int64)
         rest = keys & np.uint64((1 << bits) - 1)
         cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
@@ -178,6 +188,16 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` that ``exact_duplicates`` keeps; a row whose id is NULL stays."""
-    drop = exact_duplicates(df, id_col, text).where(~F.col("kept") & F.col(id_col).isNotNull())
-    return df.join(materialize(drop.select(id_col), "exact-drop"), id_col, "left_anti")
+    """The rows of ``df`` that ``exact_duplicates`` keeps.
+
+    Rows are told apart by id and text; a kept one that is repeated stays once. Rows whose id is NULL
+    stay.
+    """
+    found = exact_duplicates(df, id_col, text).where(F.col(id_col).isNotNull())
+    found = found.select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"), "kept")
+    found = materialize(found.groupBy("_id", "_sha", "kept").agg(F.count(F.lit(1)).alias("n")), "exact-kept")
+    drop = materialize(found.where(~F.col("kept")).select("_id", "_sha"), "exact-drop")
+    again = found.where(F.col("kept") & (F.col("n") > 1)).select("_id", "_sha")
+    sha = F.sha2(normalized(F.col(text)), 256)
+    held = df.select(F.struct(*df.columns).alias("_row"), F.col(id_col).alias("_id"), sha.alias("_sha"))
+    return without(held, ["_id", "_sha"], drop, again).select("_row.*")

@@ -67,11 +67,13 @@ def mix(
     share: float = 1.5,
     limit: int = 2,
     shards: int = 16,
+    whole: bool = False,
 ) -> DataFrame:
     """(id, size, source_size, target, taken, shards) per row of ``df``.
 
     ``size`` counts words (NULL text: 0). ``taken`` is how many words the mix takes: whole passes,
-    and for one document per source part of a pass. ``shards`` lists where its passes go, an array
+    and for one document per source part of a pass, or with ``whole`` all or nothing of it, whichever
+    is nearer to the target. ``shards`` lists where its passes go, an array
     of as many shards as passes; ``shards`` (the argument) must be a power of two. Rows that repeat
     an id share one place in the order. A NULL source is a source, the last one; sources without
     words have target 0. NULL ids share one place. The same input gives the same mix.
@@ -97,8 +99,8 @@ def mix(
     blocks = materialize(blocks, "mix-blocks")
     sources = blocks.groupBy("name", "source").agg(F.sum("words").alias("source_size"))
     planned = targets(sources, weights, share, limit)
-    whole = F.coalesce(F.floor(F.col("target") / F.nullif("source_size", F.lit(0))), F.lit(0)).cast("int")
-    planned = planned.withColumn("passes", whole).withColumn(
+    full = F.coalesce(F.floor(F.col("target") / F.nullif("source_size", F.lit(0))), F.lit(0)).cast("int")
+    planned = planned.withColumn("passes", full).withColumn(
         "rest", F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long")
     )
     planned = materialize(planned.drop("source"), "mix-plan")
@@ -134,7 +136,7 @@ def mix(
         .when(b2 > F.col("cut2"), 0)
         .when(at < F.col("cut3"), F.col("size"))
         .when(at > F.col("cut3"), 0)
-        .otherwise(F.round(F.col("size") * F.col("portion")))
+        .otherwise(F.col("size") * F.round(F.col("portion")) if whole else F.round(F.col("size") * F.col("portion")))
         .cast("long")
     )
     out = out.withColumn("last", last)
@@ -171,25 +173,17 @@ def deal(plan: DataFrame, shards: int) -> DataFrame:
     )
 
 
-def draw(df: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def draw(df: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents as the mix takes them, in the columns of ``df``: a row for each pass.
 
-    ``mixed`` is the result of ``mix``. The part of a pass is a document's first words, joined by
-    blanks. Rows are ordered by shard and at random inside a shard, in each partition.
+    ``mixed`` is the result of ``mix`` with ``whole``. Rows are ordered by shard and at random inside a
+    shard, in each partition.
     """
-    size, taken = F.col("_m.size"), F.col("_m.taken")
     picked = mixed.where(F.size("shards") > 0).groupBy(F.col(id_col).alias("_id")).agg(
-        F.first(F.struct("size", "taken", "shards")).alias("_m")
+        F.first("shards").alias("_shards")
     )
     rows = df.join(picked, df[id_col].eqNullSafe(F.col("_id"))).select(
-        df["*"], "_m", F.posexplode("_m.shards").alias("_pass", "_shard")
+        df["*"], F.posexplode("_shards").alias("_pass", "_shard")
     )
-    words = F.least(size, taken - F.col("_pass") * size)
-    kept: Column = F.when(words >= size, F.col(text)).otherwise(
-        F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})"), 1), 1, words.cast("int")), " ")
-    )
-    rows = rows.withColumn(text, kept)
-    if "n_chars" in df.columns:
-        rows = rows.withColumn("n_chars", F.when(words >= size, F.col("n_chars")).otherwise(F.length(text)))
     random = F.xxhash64(F.lit(SEED), F.col("_shard"), F.col("_pass"), F.col(id_col))
     return rows.sortWithinPartitions("_shard", random).select(df.columns)

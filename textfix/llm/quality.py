@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from textfix.llm.common import SPACE
 from textfix.llm.trees import Node, boost
+from textfix.session import computed_once
 
 # Labelled rows that are fitted at most; beyond it those with the smallest hashed id.
 FIT_ROWS = 20_000
@@ -185,5 +186,8 @@ def keep_good(
 ) -> DataFrame:
     """The rows of ``docs`` that reach ``least``; nothing is shuffled."""
     model = fit(docs, labels, "quality", id_col, text)
-    scored = with_score(docs, model, text, "_quality")
-    return scored.where(F.col("_quality") >= least).select(docs.columns)
+    stats = F.struct(*[c.alias(n) for n, c in statistics(F.col(text)).items()])
+    held = docs.select(F.struct(*docs.columns).alias("_row"), stats.alias("_found"))
+    # Else the filter would move down and repeat every statistic in each of its rules.
+    flat = computed_once(held, "_stats", F.col("_found")).select("_row", "_stats.*")
+    return flat.where(model.column() >= least).select("_row.*")

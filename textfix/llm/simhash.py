@@ -27,16 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textfix.llm.common import attach, components
+from textfix.llm.common import attach, components, without
 from textfix.session import materialize
 
 BYTES = list(combinations(range(8), 6))
 MAX_BITS = 2
 # Children of an index node, queries searched together, words hashed together.
 FAN, QUERIES, SLICE_WORDS = 8, 2048, 1 << 15
-# Near copies: keys of a text, and orders of its shingles that a key combines.
-BANDS, BAND_ROWS = 25, 5
-_FACTORS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = bytes(range(256)).lower()
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 
@@ -58,18 +55,23 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(
-    df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3
+    df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, carry: str | None = None
 ) -> DataFrame:
-    """(id, fp): the fingerprint of every whole text as a signed long. NULL texts count as empty."""
+    """(id, fp): the fingerprint of every whole text as a signed long. NULL texts count as empty.
+
+    ``carry`` names a column of strings that comes along.
+    """
+    more = [] if carry is None else [carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(t.as_py(), shingle) for t in batch.column(1)]
             fps = pa.array(np.array(found, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], [id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps, *batch.columns[2:]], [id_col, "fp", *more])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    added = "".join(f", `{c}` string" for c in more)
+    return df.select(id_col, text, *more).mapInArrow(run, f"`{id_col}` {kind}, fp long{added}")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -177,7 +179,9 @@ def links(reps: DataFrame) -> DataFrame:
         for i in chosen:
             key = F.shiftleft(key, 8).bitwiseOR(byte[i])
         keys.append(key)
-    listed = reps.select(F.explode(F.array(*keys)).alias("key"), "fp", "rep")
+    # A fingerprint is few bytes and 28 keys: the rows are dealt out before they multiply.
+    tasks = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    listed = reps.repartition(tasks, "fp").select(F.explode(F.array(*keys)).alias("key"), "fp", "rep")
     met = listed.groupBy("key").agg(F.collect_list(F.struct("fp", "rep")).alias("met"))
     met = met.where(F.size("met") > 1).select("met")
     return met.mapInArrow(_links, "a long, b long").distinct()
@@ -193,7 +197,16 @@ def near_duplicates(
     other; repeated ids link only through their texts. A row whose id is NULL is kept, adds no link
     of its own and takes the component of the rows with its fingerprint (NULL if there are none).
     """
-    fps = materialize(fingerprints(df, id_col, text, shingle), "simhash")
+    out = classes(df, id_col, text, shingle)
+    return out.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def classes(df: DataFrame, id_col: str, text: str, shingle: int, carry: str | None = None) -> DataFrame:
+    """(fp, id, ``carry``, root, component_id) per row of ``df``; see :func:`near_duplicates`.
+
+    ``root`` is a fingerprint that names the component; where ids repeat, two may have one smallest id.
+    """
+    fps = materialize(fingerprints(df, id_col, text, shingle, carry), "simhash")
     reps = fps.groupBy("fp").agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("n"))
     reps = materialize(reps, "simhash-reps")
     named = reps.where(F.col("rep").isNotNull())
@@ -209,162 +222,29 @@ def near_duplicates(
     least = materialize(least, "simhash-least")
     # A fingerprint alone in its component needs no lookup.
     single = F.col("members") == 1
-    known = least.where(single).select(F.col("root").alias("fp"), "component_id").unionByName(
+    known = least.where(single).select(F.col("root").alias("fp"), "root", "component_id").unionByName(
         attach(rooted.select("fp", "root"), least.where(~single), "root", "members")
         .where(F.col("component_id").isNotNull())
-        .select("fp", "component_id")
+        .select("fp", "root", "component_id")
     )
     known = materialize(known.join(reps.select("fp", "n"), "fp"), "simhash-known")
-    out = attach(fps, known, "fp", "n")
-    return out.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of a text, A-Z lower-cased; short texts are one shingle."""
-    words = (text or "").encode().translate(_LOWER).split()
-    if len(words) <= shingle:
-        return np.array([_hash(b" ".join(words))] if words else [], np.uint64)
-    n, found = len(words) - shingle + 1, []
-    for start in range(0, n, SLICE_WORDS):
-        stop = min(start + SLICE_WORDS, n)
-        runs = zip(*(words[start + k : stop + k] for k in range(shingle)), strict=True)
-        found.append(np.fromiter(map(_hash, map(b" ".join, runs)), np.uint64, stop - start))
-    return np.unique(np.concatenate(found))
-
-
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band: equal in two sets with chance (Jaccard similarity) ** BAND_ROWS."""
-    least = np.full(len(_FACTORS), ~np.uint64(0))
-    for start in range(0, len(hashes), 4096):
-        np.minimum(least, (_FACTORS[:, None] * hashes[start : start + 4096]).min(axis=1), out=least)
-    keys = [xxhash.xxh64_intdigest(x.tobytes(), seed=i) for i, x in enumerate(least.reshape(BANDS, -1))]
-    return np.array(keys, np.uint64).view(np.int64)
-
-
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sets have a Jaccard similarity of 0.8 or more, in whole numbers."""
-    return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
-
-
-def _node(hashes: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).view(np.int64))
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets are alike."""
-    for side in ("a", "b"):
-        uses = pairs.groupBy(F.col(side).alias("node")).agg(F.count(F.lit(1)).alias("uses"))
-        used = sets.join(uses, "node").select(F.col("node").alias(side), F.col("hashes").alias(f"set_{side}"), "uses")
-        pairs = attach(pairs, materialize(used, f"near-{side}"), side, "uses")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (map(partial(np.frombuffer, dtype=np.uint64), batch.column(i).to_pylist()) for i in (2, 3))
-            yield batch.select(["a", "b"]).filter(pa.array(list(map(alike, x, y)), pa.bool_()))
-
-    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
-
-
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of a bucket whose roots differ and whose sizes allow the similarity."""
-    for batch in batches:
-        for met in batch.column(0):
-            part = met.values
-            node, root, size = (part.field(k).to_numpy(zero_copy_only=False) for k in ("node", "root", "size"))
-            order = np.argsort(size, kind="stable")
-            node, root, size = node[order], root[order], size[order]
-            stop = np.searchsorted(size * 4, size * 5, side="right")
-            for i in range(len(node)):
-                other = node[i + 1 : stop[i]][root[i + 1 : stop[i]] != root[i]]
-                if len(other):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.minimum(other, node[i])), pa.array(np.maximum(other, node[i]))], ["a", "b"]
-                    )
-
-
-def near_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
-    """(id, component_id) per row of ``df``: components of texts with a Jaccard similarity from 0.8 up.
-
-    Texts are compared as sets of shingles. Candidates share one of BANDS keys, each of the least
-    values of BAND_ROWS orders of the shingles: at a similarity of 0.8 a pair shares none with chance
-    (1 - 0.8 ** BAND_ROWS) ** BANDS, 0.00005, and less above. Every link is confirmed on the whole
-    sets. A bucket's members are first compared with its first one, then all those that are not yet
-    connected with each other, so no pair is left out and a group of copies isn't compared pair by
-    pair. Equal sets are one node. NULL ids are as in ``near_duplicates``.
-    """
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, sizes, keys = [], [], []
-            for t in batch.column(1):
-                hashes = shingle_set(t.as_py(), shingle)
-                nodes.append(_node(hashes))
-                sizes.append(len(hashes))
-                keys.append(band_keys(hashes))
-            columns = [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64())]
-            columns.append(pa.array(keys, pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(columns, ["id", "node", "size", "keys"])
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t, node in zip(batch.column(0), batch.column(1), strict=True):
-                hashes = shingle_set(t.as_py(), shingle)
-                if _node(hashes) == node.as_py():
-                    yield pa.RecordBatch.from_pydict({"node": [node.as_py()], "hashes": [hashes.tobytes()]})
-
-    kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), text).mapInArrow(
-        sketch, f"id {kind}, node long, size long, keys array<long>"
-    )
-    rows = materialize(rows, "near")
-    reps = rows.groupBy("node").agg(
-        F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"),
-        F.first("keys").alias("keys"),
-    )
-    reps = materialize(reps, "near-reps")
-    named = reps.where(F.col("rep").isNotNull())
-    listed = materialize(named.select(F.explode("keys").alias("key"), "node", "size"), "near-listed")
-    many = listed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n"))
-    many = materialize(many.where(F.col("n") > 1), "near-many")
-    met = attach(listed, many, "key", "n").where(F.col("hub").isNotNull()).select("key", "node", "size", "hub")
-    met = materialize(met, "near-met")
-
-    wanted = met.select("node").distinct().join(named.select("node", "rep"), "node")
-    texts = df.select(F.col(id_col).alias("rep"), F.col(text).alias("_text")).join(wanted, "rep")
-    sets = texts.select("_text", "node").mapInArrow(whole, "node long, hashes binary").dropDuplicates(["node"])
-    sets = materialize(sets, "near-sets")
-
-    # The hub has the smallest number of its bucket.
-    hubs = materialize(met.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "near-hubs")
-    first = materialize(_confirmed(hubs, sets), "near-first")
-    found = components(first, "near")
-    rooted = met.join(found, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-    rooted = materialize(rooted, "near-rooted")
-    apart = rooted.groupBy("key").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")
-    )
-    apart = materialize(apart.where("low != high").select("key", F.lit(True).alias("apart"), "n"), "near-apart")
-    rest = attach(rooted, apart, "key", "n").where("apart").groupBy("key").agg(
-        F.collect_list(F.struct("node", "root", "size")).alias("met")
-    )
-    rest = rest.select("met").mapInArrow(_across, "a long, b long").distinct()
-    rest = materialize(rest.join(hubs, ["a", "b"], "left_anti"), "near-rest")
-    second = materialize(_confirmed(rest, sets), "near-second")
-    found = components(first.unionByName(second), "near")
-
-    rooted = named.join(found, "node", "left").select("node", "rep", "n", F.coalesce("root", "node").alias("root"))
-    rooted = materialize(rooted, "near-roots")
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("members"))
-    known = attach(rooted.select("node", "root", "n"), materialize(least, "near-least"), "root", "members")
-    known = materialize(known.select("node", "component_id", "n"), "near-known")
-    return attach(rows.select("id", "node"), known, "node", "n").select(F.col("id").alias(id_col), "component_id")
+    return attach(fps, known, "fp", "n")
 
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
-    """The rows of ``df`` without near copies: of each component the row with the smallest id.
+def keep_first(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
+    """One row of ``df`` for each component of near-duplicates: the one with the smallest id.
 
-    Of rows that share that id all stay. A row whose id is NULL stays.
+    Rows are told apart by id and text. If several rows have that id, the one with the least SHA-256 of
+    its text stays, once if it is repeated. Rows whose id is NULL stay.
     """
-    drop = near_copies(df, id_col, text, shingle).where(F.col(id_col) != F.col("component_id"))
-    drop = materialize(drop.select(id_col).distinct(), "near-drop")
-    return df.join(drop, id_col, "left_anti")
+    key = [F.col(id_col).alias("_id"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("_sha")]
+    found = classes(df.select(*key, F.col(text).alias("_text")), "_id", "_text", shingle, "_sha")
+    found = materialize(found.where(F.col("_id").isNotNull()), "simhash-classes")
+    own = F.col("_id") == F.col("component_id")
+    first = found.where(own).groupBy("_id", "root").agg(F.min("_sha").alias("least"), F.count(F.lit(1)).alias("n"))
+    first = materialize(first.where(F.col("n") > 1), "simhash-first")
+    other = found.where(own).join(first, ["_id", "root"]).where(F.col("_sha") != F.col("least")).select("_id", "_sha")
+    drop = materialize(found.where(~own).select("_id", "_sha").unionByName(other).distinct(), "simhash-drop")
+    again = first.select("_id", F.col("least").alias("_sha"))
+    held = df.select(F.struct(*df.columns).alias("_row"), *key)
+    return without(held, ["_id", "_sha"], drop, again).select("_row.*")
