@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textfix.llm import bpe, exact, mixing, quality, simhash
 from textfix.llm.common import table
-from textfix.session import materialize
+from textfix.session import remove, scratch, shared_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -25,13 +26,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, by shingles of five words."""
-    return simhash.keep_first(docs, shingle=5)
+    """One document of each group of near-duplicates: fingerprints of three-word shingles, two bits."""
+    return simhash.keep_first(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as the mix takes them: none, once or twice, in the random order of its shards."""
-    return mixing.draw(docs, mixing.mix(docs))
+    return mixing.draw(docs, mixing.mix(docs, whole=True))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +54,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents; a stage's tables are deleted once its result is written, and that
+    result once the next one is."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = f"{shared_dir(spark).rstrip('/')}/textfix/pipeline-{name}-{uuid.uuid4().hex}"
+        with scratch(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if last:
+            remove(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
