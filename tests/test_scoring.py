@@ -91,3 +91,30 @@ def test_by_use_case(scored):
 
 def test_taxonomy_sizes():
     assert [len(x) for x in (scoring.CORE_LABELS, scoring.FORMATTING_LABELS, scoring.STYLE_LABELS)] == [16, 6, 7]
+
+
+def test_report_of_all_levels_equals_the_single_reports(spark, scored):
+    report = scoring.evaluate_report(scored)
+    rows = {(r["level"], r["label"]): r.asDict() for r in report.collect()}
+    whole = rows["all", None]
+    assert {k: whole[k] for k in ("our_exact", "our_norm", "ref_exact", "ref_norm")} == scoring.match_rate(scored).first().asDict()
+    assert {k: whole[k] for k in ("sim_in", "sim_out", "sim_ref")} == pytest.approx(scoring.mean_similarity(scored).first().asDict())
+    assert {k: whole[k] for k in ("better", "same", "worse")} == scoring.direction(scored).first().asDict()
+    for r in scoring.by_scope(scored).collect():
+        assert (rows["bucket", r["bucket"]]["n"], rows["bucket", r["bucket"]]["our_norm"]) == (r["n"], r["ours"])
+    for r in scoring.by_use_case(scored).collect():
+        assert (rows["use_case", r["use_case"]]["n"], rows["use_case", r["use_case"]]["ref_norm"]) == (r["n"], r["ref"])
+    core, profile = rows["bucket", scoring.CORE], scoring.error_profile(scored).first()
+    for name in ("n", "unchanged", "improved", "regressed", "lateral", "exact_edits"):
+        assert core[name] == profile[name]
+    assert len(rows) == report.count() == 1 + scored.select("bucket").distinct().count() + scored.select("use_case").distinct().count()
+
+
+def test_report_reads_its_rows_once(spark, tmp_path):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(ROWS)], "id long, input string, gold string, pred string, ref string, use_case string")
+    df.write.parquet(str(tmp_path / "rows"))
+    report = scoring.evaluate_report(scoring.scored(spark.read.parquet(str(tmp_path / "rows"))))
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("ArrowEvalPython") == 1
+    empty = scoring.evaluate_report(scoring.scored(df.limit(0)))
+    assert [(r["level"], r["n"]) for r in empty.collect()] == [("all", 0)]

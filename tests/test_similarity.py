@@ -101,3 +101,32 @@ def test_meaning(added):
     rows = texts(100, 50, 6)
     want = [SequenceMatcher(None, a, b).ratio() >= 0.6 for a, b in rows]
     assert added(s.with_meaning, rows) == want
+
+
+def test_matcher_gives_the_results_of_difflib():
+    rng = random.Random(7)
+    for size, alphabet in ((40, "ab"), (40, "abcdefgh "), (450, "abcdefghijklmnopqrstuvwxyz    ,.éü§0123")):
+        for _ in range(200):
+            a = "".join(rng.choice(alphabet) for _ in range(rng.randrange(size)))
+            chars = list(a)
+            for _ in range(rng.randrange(30)):
+                k = rng.randrange(len(chars) + 1)
+                chars[k : k + rng.randrange(3)] = [rng.choice(alphabet) for _ in range(rng.randrange(3))]
+            b = "".join(chars)
+            for autojunk in (True, False):
+                for x, y in ((a, b), (b, a)):
+                    want = SequenceMatcher(None, x, y, autojunk).ratio()
+                    assert s.Matcher(y, autojunk).ratio(x) == want
+    matcher = s.Matcher("abcd" * 600)  # beyond the size that is compared by bits
+    for x in ("", "bcda" * 700, "abcd" * 600):
+        assert matcher.ratio(x) == SequenceMatcher(None, x, "abcd" * 600).ratio()
+
+
+def test_several_answers_against_one_text(spark):
+    rows = [(1, "kitten", "sitting", "kitten", None), (2, None, "a", "", "b"), (3, "same", "same", "same", "same")]
+    df = spark.createDataFrame(rows, "id int, gold string, x string, y string, z string").repartition(2)
+    got = s.with_ratios(df, {"rx": F.col("x"), "ry": F.col("y"), "rz": F.col("z")}, F.col("gold"))
+    assert got.columns == [*df.columns, "rx", "ry", "rz"]
+    for r in got.collect():
+        want = [SequenceMatcher(None, r[c] or "", r["gold"] or "").ratio() for c in ("x", "y", "z")]
+        assert [r["rx"], r["ry"], r["rz"]] == want

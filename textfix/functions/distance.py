@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from textfix.functions.text import let
 
 
-def _without(word: Column, i: Column) -> Column:
+def without_char(word: Column, i: Column) -> Column:
     return F.concat(F.left(word, i - 1), F.substr(word, i + 1))
 
 
-def _places(first: Column, last: Column) -> Column:
+def places(first: Column, last: Column) -> Column:
     """first..last, or no element if that is empty."""
     return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
@@ -29,7 +29,7 @@ def deletion_keys(word: Column, k: int) -> Column:
         if left == 0:
             return kept
         deeper = F.transform(
-            _places(start, F.length(text)), lambda i: shorter(_without(text, i), i, left - 1)
+            places(start, F.length(text)), lambda i: shorter(without_char(text, i), i, left - 1)
         )
         return F.concat(kept, F.flatten(deeper))
 
@@ -45,12 +45,12 @@ def with_deletion_key(df: DataFrame, word: str, k: int, key: str = "_key") -> Da
     done = F.lit(1 << 30)
     rows = df.withColumns({"_text": F.col(word), "_from": F.lit(1)})
     for _ in range(k):
-        cuts = F.concat(F.array(F.lit(0)), _places(F.col("_from"), F.length("_text")))
+        cuts = F.concat(F.array(F.lit(0)), places(F.col("_from"), F.length("_text")))
         rows = rows.withColumn("_cut", F.explode(cuts))
         kept = F.col("_cut") == 0
         rows = rows.withColumns(
             {
-                "_text": F.when(kept, F.col("_text")).otherwise(_without(F.col("_text"), F.col("_cut"))),
+                "_text": F.when(kept, F.col("_text")).otherwise(without_char(F.col("_text"), F.col("_cut"))),
                 "_from": F.when(kept, done).otherwise(F.col("_cut")),
             }
         )
@@ -78,7 +78,7 @@ def _swap_helps(a: Column, b: Column, k: int) -> Column:
     """
     few = (_foreign(a, b) < k) & (_foreign(b, a) < k)
     return few & F.exists(
-        _places(F.lit(1), F.length(a) - 1),
+        places(F.lit(1), F.length(a) - 1),
         lambda i: F.levenshtein(_swapped(a, i), b, 2 * (k - 1)) >= 0,
     )
 

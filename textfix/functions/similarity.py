@@ -8,6 +8,7 @@ below the threshold) is, and such rows reach the UDF as NULL.
 from __future__ import annotations
 
 import sys
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textfix.functions.text import let, negation_count, words
+from textfix.session import computed_once
 
 # Executors get the functions below inside the plan and need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -25,8 +27,110 @@ AUTOJUNK_LENGTH = 200
 DIFF_TYPE = "array<struct<t:string,c:boolean>>"
 
 
+# Pairs with more pairs of characters than this are left to ``difflib`` itself.
+AREA = 1 << 20
+
+
+class Matcher:
+    """One second text, indexed once, against any number of first texts; results as ``difflib`` gives.
+
+    A set of pairs of equal characters is one integer, a row of bits for each character of the first
+    text. Runs of equal characters lie on its diagonals, so that shifting it by a diagonal step and
+    intersecting gives the places where runs of double length end.
+    """
+
+    def __init__(self, second: str, autojunk: bool = True):
+        self.second, self.autojunk = second, autojunk
+        self.slow: SequenceMatcher | None = None
+        self.masks: dict[str, int] | None = None
+        self.ignores = False
+
+    def _index(self) -> dict[str, int]:
+        """Places of each character of the second text as bits, without those that are ignored."""
+        if self.masks is None:
+            self.masks, n = {}, len(self.second)
+            often = n // 100 + 1 if self.autojunk and n >= AUTOJUNK_LENGTH else n
+            kept = {c for c, k in Counter(self.second).items() if k <= often}
+            self.ignores = len(kept) < len(set(self.second))
+            for j, c in enumerate(self.second):
+                if c in kept:
+                    self.masks[c] = self.masks.get(c, 0) | 1 << j
+        return self.masks
+
+    def ratio(self, first: str) -> float:
+        total = len(first) + len(self.second)
+        if not total:
+            return 1.0
+        if len(first) * len(self.second) > AREA:
+            if self.slow is None:
+                self.slow = SequenceMatcher(None, "", self.second, self.autojunk)
+            self.slow.set_seq1(first)
+            return self.slow.ratio()
+        matches, todo = 0, [(0, len(first), 0, len(self.second))]
+        while todo:
+            alo, ahi, blo, bhi = todo.pop()
+            i, j, size = self._longest(first, alo, ahi, blo, bhi)
+            if size:
+                matches += size
+                if alo < i and blo < j:
+                    todo.append((alo, i, blo, j))
+                if i + size < ahi and j + size < bhi:
+                    todo.append((i + size, ahi, j + size, bhi))
+        return 2.0 * matches / total
+
+    def _longest(self, a: str, alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int]:
+        """Start in both texts and length of the longest run, the first one in the first text."""
+        masks, b = self._index(), self.second
+        inside, width = (1 << bhi - blo) - 1, (bhi - blo + 8) // 8
+        part = a[alo:ahi]
+        rows = {c: (masks.get(c, 0) >> blo & inside).to_bytes(width, "little") for c in set(part)}
+        runs = [int.from_bytes(b"".join([rows[c] for c in part]), "little")]
+        i, j, size, step = alo, blo, 0, 8 * width + 1
+        if runs[0]:
+            size = 1
+            while longer := runs[-1] & runs[-1] << size * step:
+                runs.append(longer)
+                size *= 2
+            ends = runs[-1]
+            for k in range(len(runs) - 2, -1, -1):
+                if longer := ends & runs[k] << size * step:
+                    ends, size = longer, size + (1 << k)
+            row, column = divmod((ends & -ends).bit_length() - 1, 8 * width)
+            i, j = alo + row - size + 1, blo + column - size + 1
+        if self.ignores:  # a run goes on over ignored characters
+            while i > alo and j > blo and a[i - 1] == b[j - 1]:
+                i, j, size = i - 1, j - 1, size + 1
+            while i + size < ahi and j + size < bhi and a[i + size] == b[j + size]:
+                size += 1
+        return i, j, size
+
+
 def _ratio(a: str, b: str, autojunk: bool) -> float:
-    return SequenceMatcher(None, a, b, autojunk).ratio()
+    return Matcher(b, autojunk).ratio(a)
+
+
+def _ratios_udf(autojunk: bool):
+    """Arrow UDF: the similarities of some first texts (NULL: skipped) to one second text."""
+
+    def batch(second: pd.Series, firsts: pd.Series) -> pd.Series:
+        matchers: dict[str, Matcher] = {}
+        seen: dict[tuple[str, str], float] = {}
+        out = []
+        for b, some in zip(second, firsts):
+            if b is None:
+                out.append(None)
+                continue
+            found = []
+            for a in some:
+                if a is not None and (a, b) not in seen:
+                    if b not in matchers:
+                        matchers[b] = Matcher(b, autojunk)
+                    seen[a, b] = matchers[b].ratio(a)
+                found.append(None if a is None else seen[a, b])
+            out.append(found)
+        return pd.Series(out, dtype="object")
+
+    return F.pandas_udf(batch, "array<double>")
 
 
 def _edit_count(a: list[str], b: list[str]) -> int:
@@ -118,6 +222,24 @@ def with_ratio(df: DataFrame, name: str, a: Column, b: Column, autojunk: bool =
     return paired.withColumn(name, finish(F.col(f"_{name}"), autojunk)).drop(f"_{name}")
 
 
+def with_ratios(df: DataFrame, names: dict[str, Column], second: Column, autojunk: bool = True) -> DataFrame:
+    """Add the similarity of several first texts to one second text, by one pass through Python.
+
+    ``names`` gives the new columns. The second text is indexed once for all its first texts, and equal
+    pairs of an Arrow batch are compared once.
+    """
+    pairs = F.struct(*[compare(a, second, autojunk).alias(name) for name, a in names.items()])
+    paired = computed_once(df, "_pairs", pairs)
+    firsts = F.array(*[F.col("_pairs")[name]["a"] for name in names])
+    needed = F.coalesce(*[F.col("_pairs")[name]["b"] for name in names])
+    compared = paired.withColumn("_ratios", _ratios_udf(autojunk)(needed, F.when(needed.isNotNull(), firsts)))
+    found = {
+        name: F.coalesce(F.col("_pairs")[name]["done"], F.get("_ratios", F.lit(k)))
+        for k, name in enumerate(names)
+    }
+    return compared.withColumns(found).drop("_pairs", "_ratios")
+
+
 def word_edits(source: Column, target: Column) -> Column:
     """Number of words changed, inserted or deleted between two texts."""
     udf = _pairwise(_edit_count, "int")

@@ -6,36 +6,46 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textfix.config import SpellConfig
-from textfix.functions.distance import distance_within, with_deletion_key
-from textfix.session import computed_once
+from textfix.functions.distance import distance_within
+from textfix.operators.index import HALF, TWICE, WHOLE, DictionaryIndex, term_keys, word_keys
+from textfix.session import computed_once, materialize
 
 
 def fuzzy_candidates(
-    vocabulary: DataFrame, dictionary: DataFrame, k: int, word: str = "word"
+    vocabulary: DataFrame, dictionary: DataFrame | DictionaryIndex, k: int, word: str = "word"
 ) -> DataFrame:
     """All (word, term, count, distance) with at most ``k`` edits between word and term.
 
-    Words within ``k`` edits share a deletion key, so an equi-join on hashed keys finds every pair
-    and the distance test removes the rest. A key of length L can only come from words with at most
-    ``k`` more characters, so its group is bounded by the alphabet, not by the size of the data.
-    Words too long for any term are dropped first; they have no candidate.
+    Words within ``k`` edits share a key, so an equi-join on hashed keys finds every pair and the
+    distance test removes the rest: strings left after ``k`` deletions, and halves with one deletion
+    for long terms at two edits. Pairs whose letters differ too much are dropped before they are
+    compared. Words too long for any term are dropped first; they have no candidate. An index of the
+    dictionary is only read; without one the keys of the terms are made in the plan.
     """
+    if isinstance(dictionary, DictionaryIndex):
+        if k > dictionary.k:
+            raise ValueError(f"the index serves {dictionary.k} edits, not {k}")
+        longest, keys = dictionary.longest, dictionary.keys
+    else:
+        longest = dictionary.agg(F.max(F.length("term"))).first()[0] or 0
+        keys = term_keys(dictionary, k)
     # Words are few bytes but much work: one task per shuffle partition, whatever their size.
     tasks = int(vocabulary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    longest = dictionary.agg(F.max(F.length("term")).alias("m")).scalar()
-
     words = (
         vocabulary.select(F.col(word).alias("word"))
         .where((F.length("word") > 0) & (F.length("word") <= longest + k))
         .repartition(tasks, "word")
     )
-    terms = dictionary.select("term", "count").where(F.length("term") > 0)
-    left = with_deletion_key(words, "word", k)
-    right = with_deletion_key(terms, "term", k)
+    if k > 1:  # read for keys of whole words and of halves
+        words = materialize(words, "unknown")
+    kinds = [WHOLE] if k < 2 else [TWICE, HALF]
+    left = word_keys(words, k, longest).withColumnRenamed("letters", "_letters")
+    right = keys.where(F.col("kind").isin(kinds))
     word_col, term = F.col("word"), F.col("term")
+    alike = F.bit_count(F.col("letters").bitwiseXOR(F.col("_letters"))) <= 2 * k
     pairs = (
-        left.join(right, "_key")
-        .where(F.abs(F.length(word_col) - F.length(term)) <= k)
+        left.drop("kind").join(right.drop("kind"), "key")
+        .where((F.abs(F.length(word_col) - F.length(term)) <= k) & alike)
         .select("word", "term", "count")
         .distinct()
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textfix.functions.similarity import with_ratio
+from textfix.functions.similarity import with_ratios
 from textfix.functions.text import normalize
 from textfix.session import computed_once
 
@@ -62,10 +62,8 @@ def scored(df: DataFrame, autojunk: bool = True) -> DataFrame:
     normed = with_norms(df)
     sims = {"n_in": "sim_in", "n_out": "sim_out", "n_ref": "sim_ref"}
     gold = F.col("n_gold")
-    full = normed
-    for n, name in sims.items():
-        if n in normed.columns:
-            full = with_ratio(full, name, F.col(n), gold, autojunk)
+    wanted = {name: F.col(n) for n, name in sims.items() if n in normed.columns}
+    full = with_ratios(normed, wanted, gold, autojunk)
     added = [c for c in full.columns if c not in df.columns]
     packed = computed_once(full, "_s", F.struct(*added))
     return packed.select(*df.columns, "_s.*").withColumn("bucket", scope_of(F.col("use_case")))
@@ -179,6 +177,35 @@ def error_profile(df: DataFrame, eps: float = 0.01) -> DataFrame:
     return counts.withColumns(shares).withColumn("edit_precision", F.col("improved_pct"))
 
 
+def evaluate_report(df: DataFrame, eps: float = 1e-9, edit_eps: float = 0.01) -> DataFrame:
+    """Every measure of a scored table at three levels, from one scan: (level, label, ...).
+
+    ``level`` is ``all``, ``bucket`` or ``use_case``. Rows of both scopes count in the verdicts, so the
+    in-scope profile is the row of that bucket. A missing label has a row of its own.
+    """
+    text = {c: F.coalesce(F.col(c), F.lit("")) for c in ("pred", "ref", "gold")}
+    before, after, verdict = F.col("sim_in"), F.col("sim_out"), F.col("verdict")
+    level = F.grouping_id()
+    counted = with_verdict(df, edit_eps).groupingSets([["use_case"], ["bucket"], []], "use_case", "bucket").agg(
+        F.when(level == 3, "all").when(level == 2, "bucket").otherwise("use_case").alias("level"),
+        F.count(F.lit(1)).alias("n"),
+        _percent(text["pred"] == text["gold"]).alias("our_exact"),
+        _percent(F.col("n_out") == F.col("n_gold")).alias("our_norm"),
+        _percent(text["ref"] == text["gold"]).alias("ref_exact"),
+        _percent(F.col("n_ref") == F.col("n_gold")).alias("ref_norm"),
+        *[F.avg(c).alias(c) for c in ("sim_in", "sim_out", "sim_ref")],
+        F.count_if(after > before + eps).alias("better"),
+        F.count_if(F.abs(after - before) <= eps).alias("same"),
+        F.count_if(after < before - eps).alias("worse"),
+        *[F.count_if(verdict == v).alias(v) for v in ("unchanged", "improved", "regressed", "lateral")],
+        F.count_if((verdict != "unchanged") & (F.col("n_out") == F.col("n_gold"))).alias("exact_edits"),
+    )
+    # An empty table has its row for the whole, as every aggregate without groups.
+    return counted.where((F.col("level") == "all") | (F.col("n") > 0)).withColumn(
+        "label", F.when(F.col("level") == "bucket", F.col("bucket")).when(F.col("level") == "use_case", F.col("use_case"))
+    ).drop("use_case", "bucket")
+
+
 def model_profile(df: DataFrame, eps: float = 0.01) -> DataFrame:
     """Error profile with a flag for a broken run: no match, all changed, none improved."""
     broken = (

@@ -20,6 +20,7 @@ from textfix.functions.text import (
 )
 from textfix.operators.dictionary import unknown_words, vocabulary
 from textfix.operators.fuzzy import fuzzy_candidates, gate, rank_candidates
+from textfix.operators.index import DictionaryIndex, terms_of
 from textfix.operators.lookup import lookup_join
 from textfix.session import computed_once, materialize
 
@@ -35,14 +36,14 @@ def speller_vocabulary(df: DataFrame, text: str, cfg: SpellConfig) -> DataFrame:
     return vocabulary(words.where(case_allows(F.col("core"), cfg)), "core")
 
 
-def autofixes(words: DataFrame, dictionary: DataFrame, cfg: SpellConfig) -> DataFrame:
+def autofixes(words: DataFrame, dictionary: DataFrame | DictionaryIndex, cfg: SpellConfig) -> DataFrame:
     """Words of a vocabulary with a safe correction: (word, fix).
 
     A safe correction lies within ``autocorrect_max_distance``; if no term does, the nearest one
     fails the gate. So shorter deletion keys are enough here.
     """
     k = min(cfg.max_edit_distance, cfg.autocorrect_max_distance)
-    unknown = unknown_words(words.select("word"), dictionary)
+    unknown = unknown_words(words.select("word"), terms_of(dictionary))
     ranked = rank_candidates(fuzzy_candidates(unknown, dictionary, k), 2)
     return gate(ranked, cfg).where("autofix").select("word", F.col("term").alias("fix"))
 
@@ -77,7 +78,7 @@ def _repair(text: Column, fix_of, cfg: SpellConfig) -> Column:
 
 def spell_correct(
     df: DataFrame,
-    dictionary: DataFrame,
+    dictionary: DataFrame | DictionaryIndex,
     cfg: SpellConfig | None = None,
     text: str = "text",
     out: str = "spell_corrected",
@@ -156,13 +157,13 @@ def abbreviations(
     return apply_fixes(df, words, lowered, cfg, text, out, id_cols=id_cols)
 
 
-def word_decisions(words: DataFrame, dictionary: DataFrame, cfg: SpellConfig) -> DataFrame:
+def word_decisions(words: DataFrame, dictionary: DataFrame | DictionaryIndex, cfg: SpellConfig) -> DataFrame:
     """Verdict per vocabulary word: (word, n, status, fix, candidates).
 
     ``ok`` known; ``autofix`` a safe correction; ``suggest`` up to ``top_suggestions`` terms within
     ``max_edit_distance``; ``unknown`` nothing near.
     """
-    known = dictionary.select(F.col("term").alias("word"), F.lit(True).alias("_known"))
+    known = terms_of(dictionary).select(F.col("term").alias("word"), F.lit(True).alias("_known"))
     flagged = words.join(known, "word", "left")
     unknown = flagged.where(F.col("_known").isNull()).select("word")
     ranked = rank_candidates(
@@ -203,7 +204,7 @@ def token_table(
 
 def analyze_tokens(
     df: DataFrame,
-    dictionary: DataFrame,
+    dictionary: DataFrame | DictionaryIndex,
     cfg: SpellConfig | None = None,
     id_cols: list[str] | None = None,
     text: str = "text",
@@ -237,7 +238,7 @@ def analyze_tokens(
 
 def analyze(
     df: DataFrame,
-    dictionary: DataFrame,
+    dictionary: DataFrame | DictionaryIndex,
     cfg: SpellConfig | None = None,
     id_cols: list[str] | None = None,
     text: str = "text",

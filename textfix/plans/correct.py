@@ -17,6 +17,7 @@ from textfix.functions.masking import mask, unmask, unmasked_nothing
 from textfix.functions.similarity import with_meaning, word_diff
 from textfix.functions.text import sentences, strip, word_cores
 from textfix.operators.dictionary import vocabulary
+from textfix.operators.index import DictionaryIndex, terms_of
 from textfix.operators.lookup import lookup_join
 from textfix.operators.ordering import CHUNK_ROWS, number_rows, previous_value
 from textfix.operators.spelling import spell_correct
@@ -76,7 +77,7 @@ def dropped_words(spelled: Column, candidate: Column, min_len: int) -> Column:
 
 
 def _drops_unknown(
-    df: DataFrame, dictionary: DataFrame, cfg: CorrectionConfig, id_cols: list[str]
+    df: DataFrame, dictionary: DataFrame | DictionaryIndex, cfg: CorrectionConfig, id_cols: list[str]
 ) -> DataFrame:
     """Add ``_lost``: does the candidate lose a word the dictionary does not know?"""
     lost = F.when(
@@ -85,7 +86,7 @@ def _drops_unknown(
     )
     base = materialize(df, "candidates")
     words = base.select(*id_cols, F.explode(lost).alias("word"))
-    terms = dictionary.select(F.col("term").alias("word"), F.lit(True).alias("known"))
+    terms = terms_of(dictionary).select(F.col("term").alias("word"), F.lit(True).alias("known"))
     verdicts = materialize(vocabulary(words, "word").join(terms, "word", "left"), "verdicts")
     flagged = (
         lookup_join(words, verdicts, "word", "n")
@@ -100,7 +101,7 @@ def _drops_unknown(
 
 def correct(
     df: DataFrame,
-    dictionary: DataFrame | None,
+    dictionary: DataFrame | DictionaryIndex | None,
     corrector: Corrector = identity,
     cfg: CorrectionConfig | None = None,
     text: str = "text",
@@ -166,7 +167,7 @@ def grammar_cards(corrected: DataFrame) -> DataFrame:
 
 def review(
     df: DataFrame,
-    dictionary: DataFrame | None,
+    dictionary: DataFrame | DictionaryIndex | None,
     corrector: Corrector = identity,
     cfg: CorrectionConfig | None = None,
     id_cols: list[str] | None = None,
@@ -190,7 +191,7 @@ def review(
 
 def example_report(
     examples: DataFrame,
-    dictionary: DataFrame | None,
+    dictionary: DataFrame | DictionaryIndex | None,
     corrector: Corrector = identity,
     cfg: CorrectionConfig | None = None,
     order: str = "line_no",

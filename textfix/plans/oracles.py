@@ -514,6 +514,20 @@ ORACLES: dict[str, str] = {
     "by_scope": f"""WITH {SCORED} SELECT bucket, count(*)::BIGINT AS n, avg((n_out = n_gold)::INT::DOUBLE) * 100 AS ours,
         avg((n_ref = n_gold)::INT::DOUBLE) * 100 AS ref, round(avg(sim_out), 6) AS our_sim, round(avg(sim_in), 6) AS in_sim,
         CASE WHEN avg(sim_out) >= avg(sim_in) THEN 'net+' ELSE 'net-' END AS net FROM sc GROUP BY bucket""",
+    "evaluate_report": f"""WITH {SCORED}, vd AS (SELECT *, CASE WHEN n_out = n_in THEN 'unchanged'
+            WHEN sim_out > sim_in + 0.01 THEN 'improved' WHEN sim_out < sim_in - 0.01 THEN 'regressed'
+            ELSE 'lateral' END AS verdict FROM sc),
+        lv AS (SELECT 'all' AS level, NULL AS label, * FROM vd UNION ALL SELECT 'bucket', bucket, * FROM vd
+            UNION ALL SELECT 'use_case', use_case, * FROM vd)
+        SELECT level, label, count(*)::BIGINT AS n, avg((pred = gold)::INT::DOUBLE) * 100 AS our_exact,
+        avg((n_out = n_gold)::INT::DOUBLE) * 100 AS our_norm, avg((ref = gold)::INT::DOUBLE) * 100 AS ref_exact,
+        avg((n_ref = n_gold)::INT::DOUBLE) * 100 AS ref_norm, round(avg(sim_in), 6) AS sim_in,
+        round(avg(sim_out), 6) AS sim_out, round(avg(sim_ref), 6) AS sim_ref,
+        count(*) FILTER (sim_out > sim_in + 1e-9) AS better, count(*) FILTER (abs(sim_out - sim_in) <= 1e-9) AS same,
+        count(*) FILTER (sim_out < sim_in - 1e-9) AS worse, count(*) FILTER (verdict = 'unchanged') AS unchanged,
+        count(*) FILTER (verdict = 'improved') AS improved, count(*) FILTER (verdict = 'regressed') AS regressed,
+        count(*) FILTER (verdict = 'lateral') AS "lateral",
+        count(*) FILTER (verdict <> 'unchanged' AND n_out = n_gold) AS exact_edits FROM lv GROUP BY level, label""",
     "error_profile": f"""WITH {PROFILE} SELECT n, unchanged, edited, improved, regressed, "lateral", exact_edits,
         100 * unchanged / n AS unchanged_pct, 100 * edited / n AS edited_pct,
         100 * improved / greatest(edited, 1) AS improved_pct, 100 * regressed / greatest(edited, 1) AS regressed_pct,

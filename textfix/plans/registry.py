@@ -16,6 +16,7 @@ from textfix.functions.masking import mask as mask_text
 from textfix.functions.masking import unmask as unmask_text
 from textfix.operators import dictionary as dic
 from textfix.operators import fuzzy, pairs, scoring, spelling, stats
+from textfix.operators.index import dictionary_index
 from textfix.operators.ordering import first_rows
 from textfix.plans import correct as job
 from textfix.plans import fixtures as fx
@@ -158,9 +159,9 @@ def protected_terms(spark, sf):
 
 
 def _candidates(spark, sf, k):
-    terms = fx.dictionary(spark, sf)
-    unknown = dic.unknown_words(_vocabulary(spark, sf), terms)
-    return fuzzy.fuzzy_candidates(unknown, terms, k)
+    index = dictionary_index(fx.dictionary(spark, sf), k)
+    unknown = dic.unknown_words(_vocabulary(spark, sf), index.terms)
+    return fuzzy.fuzzy_candidates(unknown, index, k)
 
 
 @query
@@ -211,9 +212,8 @@ def spell_correct(spark, sf):
 
 
 def _analyzed(spark, sf):
-    return spelling.analyze_tokens(
-        fx.documents(spark, sf), fx.dictionary(spark, sf), fx.SPELL, ["doc_id"]
-    )
+    index = dictionary_index(fx.dictionary(spark, sf))
+    return spelling.analyze_tokens(fx.documents(spark, sf), index, fx.SPELL, ["doc_id"])
 
 
 @query
@@ -401,6 +401,11 @@ def _scored(spark, sf):
     return scoring.scored(fx.eval_rows(spark, sf))
 
 
+def _scored_core(spark, sf):
+    """For reports on in-scope rows: the others are not compared."""
+    return scoring.scored(scoring.in_scope(fx.eval_rows(spark, sf)))
+
+
 @query
 def score_join(spark, sf):
     rows = fx.eval_rows(spark, sf)
@@ -444,21 +449,28 @@ def by_scope(spark, sf):
     return _rounded(scoring.by_scope(_scored(spark, sf)), ["our_sim", "in_sim"])
 
 
+@query
+def evaluate_report(spark, sf):
+    """All shares, means and counts of an evaluation, whole, by bucket and by label, in one pass."""
+    shown = scoring.evaluate_report(_scored(spark, sf))
+    return _rounded(shown, ["sim_in", "sim_out", "sim_ref"])
+
+
 @query
 def error_profile(spark, sf):
-    return scoring.error_profile(_scored(spark, sf)).drop("match_pct")
+    return scoring.error_profile(_scored_core(spark, sf)).drop("match_pct")
 
 
 @query
 def model_profile(spark, sf):
-    return scoring.model_profile(_scored(spark, sf)).select(
+    return scoring.model_profile(_scored_core(spark, sf)).select(
         "n", "edited", "improved", "match_pct", "edit_precision", "suspect_run"
     )
 
 
 @query
 def regressions(spark, sf):
-    return scoring.regressions(_scored(spark, sf), digits=None)
+    return scoring.regressions(_scored_core(spark, sf), digits=None)
 
 
 # ---- measurements -----------------------------------------------------------------------------
