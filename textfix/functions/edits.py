@@ -2,11 +2,26 @@
 
 from __future__ import annotations
 
+import sys
+from difflib import SequenceMatcher
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textfix.functions.text import words
 
+# Executors get the functions below inside the plan and need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+EDITS_TYPE = "array<struct<start:int,end:int,seq:int,repl:string>>"
+# Cells of an alignment table; what is left between common ends of larger texts is cut at long matches first.
+CELLS = 1 << 22
+# Cost of a change; a changed word costs one more, so that of equally many changes those keep most words.
+STEP = 1 << 20
+
 
 def apply_edits(source: Column, edits: Column) -> Column:
     """Apply ``ARRAY<STRUCT<start, end, seq, repl>>`` to a token array.
@@ -34,3 +49,94 @@ def apply_edits(source: Column, edits: Column) -> Column:
             s["out"], F.slice(source, s["prev"] + 1, F.greatest(F.size(source) - s["prev"], F.lit(0)))
         ),
     )
+
+
+def _table(a: list[int], b: list[int]) -> np.ndarray:
+    """Costs of turning each start of ``a`` into each start of ``b``: words put in, taken out or changed,
+    and neighbours swapped, are a step each."""
+    n, m = len(a), len(b)
+    x, y, place = np.array(a), np.array(b), np.arange(m + 1, dtype=np.int64) * STEP
+    cost = np.zeros((n + 1, m + 1), np.int64)
+    cost[0] = place
+    for i in range(1, n + 1):
+        row = np.empty(m + 1, np.int64)
+        row[0] = i * STEP
+        row[1:] = np.minimum(cost[i - 1, :-1] + (y != x[i - 1]) * (STEP + 1), cost[i - 1, 1:] + STEP)
+        if i > 1 and m > 1:
+            swap = (y[:-1] == x[i - 1]) & (y[1:] == x[i - 2])
+            row[2:] = np.where(swap, np.minimum(row[2:], cost[i - 2, :-2] + STEP), row[2:])
+        cost[i] = np.minimum.accumulate(row - place) + place
+    return cost
+
+
+def _steps(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
+    """Changed stretches (a from, to, b from, to) of a cheapest alignment, from the left."""
+    cost, i, j, found = _table(a, b), len(a), len(b), []
+    while i or j:
+        here = cost[i, j]
+        if i and j and a[i - 1] == b[j - 1] and cost[i - 1, j - 1] == here:
+            i, j = i - 1, j - 1
+            continue
+        if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1] and cost[i - 2, j - 2] + STEP == here:
+            p, q = i - 2, j - 2
+        elif i and j and cost[i - 1, j - 1] + STEP + 1 == here:
+            p, q = i - 1, j - 1
+        elif i and cost[i - 1, j] + STEP == here:
+            p, q = i - 1, j
+        else:
+            p, q = i, j - 1
+        found.append((p, i, q, j))
+        i, j = p, q
+    return found[::-1]
+
+
+def align(a: list[str], b: list[str]) -> list[tuple[int, int, str]]:
+    """Edits (start, end, replacement) that turn the words of ``a`` into those of ``b``.
+
+    Neighbouring changes are merged into one edit. Common words at both ends are left out first, which
+    keeps the alignment cheapest; what is larger than ``CELLS`` then is cut at its longest matches.
+    """
+    low = 0
+    while low < min(len(a), len(b)) and a[low] == b[low]:
+        low += 1
+    high = 0
+    while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    x, y = a[low : len(a) - high], b[low : len(b) - high]
+    names: dict[str, int] = {}
+    p, q = ([names.setdefault(w, len(names)) for w in side] for side in (x, y))
+    blocks = [(0, len(x), 0, len(y))]
+    if (len(x) + 1) * (len(y) + 1) > CELLS:
+        codes = SequenceMatcher(None, p, q, False).get_opcodes()
+        blocks = [(i1, i2, j1, j2) for tag, i1, i2, j1, j2 in codes if tag != "equal"]
+    changed: list[list[int]] = []
+    for i1, i2, j1, j2 in blocks:
+        whole = (i2 - i1 + 1) * (j2 - j1 + 1) > CELLS
+        steps = [(0, i2 - i1, 0, j2 - j1)] if whole else _steps(p[i1:i2], q[j1:j2])
+        for s, t, u, v in steps:
+            if changed and changed[-1][1] == i1 + s and changed[-1][3] == j1 + u:
+                changed[-1][1], changed[-1][3] = i1 + t, j1 + v
+            else:
+                changed.append([i1 + s, i1 + t, j1 + u, j1 + v])
+    return [(low + s, low + t, " ".join(y[u:v])) for s, t, u, v in changed]
+
+
+def extract_edits(source: Column, target: Column) -> Column:
+    """``ARRAY<STRUCT<start, end, seq, repl>>``: edits that turn the words of one text into another's.
+
+    :func:`apply_edits` with them gives the words of ``target`` (the word ``-NONE-`` alone aside, which
+    stands for nothing there). NULL counts as empty. Equal texts never reach Python.
+    """
+
+    def batch(left: pd.Series, right: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(left, right):
+            edits = None if a is None else align(list(a), list(b))
+            out.append(None if edits is None else [
+                {"start": s, "end": e, "seq": k, "repl": r} for k, (s, e, r) in enumerate(edits)
+            ])
+        return pd.Series(out, dtype="object")
+
+    a, b = F.coalesce(source, F.lit("")), F.coalesce(target, F.lit(""))
+    found = F.pandas_udf(batch, EDITS_TYPE)(F.when(a != b, words(a)), F.when(a != b, words(b)))
+    return F.coalesce(found, F.array().cast(EDITS_TYPE))

@@ -556,6 +556,16 @@ ORACLES: dict[str, str] = {
             FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
         s AS (SELECT user_id, ts, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
         SELECT user_id, min(ts) AS chunk_start, max(ts) AS chunk_end, count(*)::BIGINT AS n FROM s GROUP BY user_id, k""",
+    "stop_sessions": """WITH t AS (SELECT user_id, ts, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS s
+            FROM events GROUP BY user_id, ts),
+        g AS (SELECT *, coalesce(ts - lag(ts) OVER w > INTERVAL 172800 SECOND, true) AS opens FROM t
+            WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+        k AS (SELECT *, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g),
+        b AS (SELECT *, coalesce(sum(s) OVER (PARTITION BY user_id, k ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING
+            AND 1 PRECEDING), 0)::BIGINT AS before FROM k)
+        SELECT user_id, min(ts) AS chunk_start, max(ts) AS chunk_end, sum(n)::BIGINT AS n, sum(s)::BIGINT AS stops,
+        CASE WHEN (min(before) + sum(s))::BIGINT // 2 > before // 2 THEN 'stops' ELSE 'idle' END AS closed_by
+        FROM b GROUP BY user_id, k, before // 2""",
     "m2_blocks": f"""WITH {M2_BLOCKS} SELECT file, block, array_to_string(src, ' ') AS src, coalesce(len(edits), 0)::BIGINT AS n_edits
         FROM blocks""",
     "m2_pairs": f"WITH {M2_PREP} SELECT src, tgt, spot.file AS file, spot.block AS block FROM prepared",

@@ -21,7 +21,7 @@ from textfix.operators.ordering import first_rows
 from textfix.plans import correct as job
 from textfix.plans import fixtures as fx
 from textfix.session import materialize, shared_dir
-from textfix.streaming.chunks import idle_chunks
+from textfix.streaming.chunks import idle_chunks, stop_chunks
 from textfix.streaming.correct import stream_correct as start_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -510,6 +510,14 @@ def idle_sessions(spark, sf):
     return idle_chunks(fx.load(spark, sf, "events"), ["user_id"], "ts", 1800)
 
 
+@query
+def stop_sessions(spark, sf):
+    """Chunks of a user's events: a purchase stands for a full stop, two of them or two idle days end one."""
+    events = fx.load(spark, sf, "events")
+    stops = (F.col("event_type") == "purchase").cast("int")
+    return stop_chunks(events, ["user_id"], "ts", stops, 172_800)
+
+
 # ---- corpora ----------------------------------------------------------------------------------
 
 

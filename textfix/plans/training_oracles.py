@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from textfix.plans.oracles import (
-    ALL_SENTS, DCORES, DICT, EVAL, IS_PLAIN, LANG8_PREP, M2_BLOCKS, M2_PAIRS, NORMED, ORACLES,
+    ALL_SENTS, DCORES, DICT, EVAL, FLAT, IS_PLAIN, LANG8_PREP, M2_BLOCKS, M2_PAIRS, NORMED, ORACLES,
     SENTS, UNKNOWN, VERDICT, WORD_PAIRS, apply_fixes, cores, corrected, hazard, near,
     norm, sentence_list,
 )
@@ -28,6 +28,38 @@ EDIT_SETS = f"""{M2_BLOCKS}, gold AS (SELECT DISTINCT file, block, block // 8 AS
         CASE WHEN no % 11 = 0 THEN repl || 's' ELSE repl END AS repl FROM gold WHERE no % 7 <> 0),
     n AS (SELECT (SELECT count(*) FROM mine JOIN gold USING (file, block, s, t, repl)) AS tp,
         (SELECT count(*) FROM mine) AS m, (SELECT count(*) FROM gold) AS g)"""
+PAIR_EDITS = f"""{WORD_PAIRS}, pe AS (SELECT sid, spot, gone, k, k > 0 AS changed,
+    array_to_string(list_transform(range(k), lambda i: '§'), ' ') AS marks FROM wp)"""
+
+
+def corrupted(mix: dict[str, float], errors: dict[str, str]) -> str:
+    """kinds: (sid, kind) by quotas in hash order, type after type; made: (sid, s, and each error)."""
+    made = ", ".join(f"{sql} AS {kind}" for kind, sql in errors.items())
+    steps, before = [], []
+    for kind, share in mix.items():
+        free = " ".join(f"AND sid NOT IN (SELECT sid FROM take_{b})" for b in before)
+        steps.append(
+            f"take_{kind} AS (SELECT sid, '{kind}' AS kind FROM made WHERE {kind} <> s {free} QUALIFY row_number() "
+            f"OVER (ORDER BY md5('0|{kind}|' || sid)) <= (SELECT floor(count(*) * {share} + 0.5) FROM made))"
+        )
+        before.append(kind)
+    union = " UNION ALL ".join(f"FROM take_{b}" for b in before)
+    return f"{FLAT}, made AS (SELECT sid, s, {made} FROM flat), {', '.join(steps)}, kinds AS ({union})"
+
+
+ERRORS = {
+    "article": r"regexp_replace(s, '(?s)^(.*? )(?:the|an|a) ', '\1')",
+    "word_order": r"regexp_replace(s, '^([A-Za-z]+) ([A-Za-z]+) ', '\2 \1 ')",
+    "punctuation": r"regexp_replace(s, '(?s)[.!?,;:]([^.!?,;:]*)$', '\1')",
+    "casing": r"CASE WHEN regexp_matches(s, '[A-Z]') THEN regexp_extract(s, '(?s)^([^A-Z]*)([A-Z])(.*)$', 1) || "
+    r"lower(regexp_extract(s, '(?s)^([^A-Z]*)([A-Z])(.*)$', 2)) || regexp_extract(s, '(?s)^([^A-Z]*)([A-Z])(.*)$', 3) ELSE s END",
+    "spelling": r"regexp_replace(s, '(?s)^(.*?[a-z])([a-z])([a-z])([a-z])', '\1\3\2\4')",
+    "spacing": r"regexp_replace(s, '(?s)^(.*?[a-z]) ([a-z])', '\1\2')",
+}
+CORRUPTED = corrupted(
+    {"article": 0.01, "word_order": 0.1, "punctuation": 0.15, "casing": 0.1, "spelling": 0.2, "spacing": 0.12}, ERRORS
+)
+ERROR_OF = " ".join(f"WHEN '{kind}' THEN {kind}" for kind in ERRORS)
 FULL_STOP = "CASE WHEN masked LIKE '%.' THEN masked[:length(masked) - 1] || '!' ELSE masked END"
 # Only the last of all characters differs, and everything before it is the matching block.
 LAST_DIFFERS = "(length(spelled) - 1) / length(spelled)"
@@ -53,6 +85,18 @@ TRAINING_ORACLES: dict[str, str] = {
     "f_half": f"""WITH {EDIT_SETS} SELECT tp, m - tp AS fp, g - tp AS fn, round(tp::DOUBLE / m, 6) AS precision,
         round(tp::DOUBLE / g, 6) AS recall, round(1.25 * (tp::DOUBLE / m) * (tp::DOUBLE / g)
         / (0.25 * tp::DOUBLE / m + tp::DOUBLE / g), 6) AS f FROM n""",
+    "edit_extraction": f"""WITH {PAIR_EDITS} SELECT sid, CASE WHEN changed THEN spot || ':' || (spot + gone) || ':' || marks
+        ELSE '' END AS edits, true AS rebuilt FROM pe""",
+    "f_half_extracted": f"""WITH {PAIR_EDITS}, n AS (SELECT
+            count(*) FILTER (changed AND sid % 3 <> 0 AND NOT (sid % 5 = 0 AND spot = 0)) AS tp,
+            count(*) FILTER (sid % 3 <> 0 AND sid % 5 = 0) AS fp, count(*) FILTER (changed) AS g FROM pe)
+        SELECT tp, fp, g - tp AS fn, round(tp::DOUBLE / (tp + fp), 6) AS precision, round(tp::DOUBLE / g, 6) AS recall,
+        round(1.25 * (tp::DOUBLE / (tp + fp)) * (tp::DOUBLE / g) / (0.25 * tp::DOUBLE / (tp + fp) + tp::DOUBLE / g), 6) AS f
+        FROM n""",
+    "corrupt": f"""WITH {CORRUPTED} SELECT sid, kind, CASE kind {ERROR_OF} ELSE s END AS src, s AS tgt
+        FROM made LEFT JOIN kinds USING (sid)""",
+    "corruption_mix": f"""WITH {CORRUPTED} SELECT kind, count(*)::BIGINT AS n,
+        round(count(*)::DOUBLE / (SELECT count(*) FROM made), 6) AS share FROM made LEFT JOIN kinds USING (sid) GROUP BY kind""",
     "gleu": f"""WITH {EVAL}, {GRAMS} SELECT c, r, round(p1, 6) AS p1, round(p2, 6) AS p2, round(p3, 6) AS p3,
         round(p4, 6) AS p4, round(CASE WHEN c >= r THEN 1 ELSE exp(1 - r::DOUBLE / c) END
         * exp((ln(p1) + ln(p2) + ln(p3) + ln(p4)) / 4), 6) AS gleu FROM tops""",

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from textfix.config import CorrectionConfig
 from textfix.functions import text as t
-from textfix.operators import scoring, spelling, training
+from textfix.functions.edits import apply_edits, extract_edits
+from textfix.operators import corruption, scoring, spelling, training
 from textfix.operators.ordering import first_rows
 from textfix.operators.pairs import distinct_pairs, prepare_lang8
 from textfix.plans import correct as job
 from textfix.plans import fixtures as fx
 from textfix.plans.registry import _blocks, _candidates, _cores, _hazard, _rounded, _scored, query
+from textfix.session import computed_once, materialize
 
 THRESHOLDS = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
 IDENTITY_SHARE = 0.3
@@ -74,6 +76,53 @@ def f_half(spark, sf):
     return _rounded(done, ["precision", "recall", "f"])
 
 
+def _extracted(df: DataFrame, source: str, target: str) -> DataFrame:
+    edits = computed_once(df, "_edits", extract_edits(F.col(source), F.col(target)))
+    return edits.select("sid", F.explode("_edits").alias("e")).select("sid", "e.start", "e.end", "e.repl")
+
+
+@query
+def edit_extraction(spark, sf):
+    """Edits between the two texts of a pair, and whether they rebuild the second one."""
+    pairs = computed_once(fx.word_pairs(spark, sf), "edits", extract_edits(F.col("src"), F.col("tgt")))
+    rebuilt = F.array_join(apply_edits(t.words(F.col("src")), F.col("edits")), " ")
+    shown = F.transform("edits", lambda e: F.concat_ws(":", e["start"], e["end"], e["repl"]))
+    wanted = F.array_join(t.words(F.col("tgt")), " ")
+    return pairs.select("sid", F.array_join(shown, "|").alias("edits"), (rebuilt == wanted).alias("rebuilt"))
+
+
+@query
+def f_half_extracted(spark, sf):
+    """Edit scores from texts alone: a system that leaves every third sentence as it is, and puts a word
+    of its own before every fifth."""
+    sid = F.col("sid")
+    pairs = fx.word_pairs(spark, sf).withColumn(
+        "answer",
+        F.when(sid % 3 == 0, F.col("src"))
+        .when(sid % 5 == 0, F.concat(F.lit("¶ "), F.col("tgt")))
+        .otherwise(F.col("tgt")),
+    )
+    pairs = materialize(pairs, "answered")
+    done = training.f_score(_extracted(pairs, "src", "answer"), _extracted(pairs, "src", "tgt"), ["sid"])
+    return _rounded(done, ["precision", "recall", "f"])
+
+
+ERROR_MIX = {"article": 0.01, "word_order": 0.1, "punctuation": 0.15, "casing": 0.1, "spelling": 0.2, "spacing": 0.12}
+
+
+@query
+def corrupt(spark, sf):
+    """Sentences with errors to a target mix; over a quarter stays clean."""
+    done = corruption.corrupt(fx.flat_sentences(spark, sf), ERROR_MIX, ["sid"], "sentence")
+    return done.select("sid", "kind", "src", "tgt")
+
+
+@query
+def corruption_mix(spark, sf):
+    done = corruption.corrupt(fx.flat_sentences(spark, sf), ERROR_MIX, ["sid"], "sentence")
+    return _rounded(corruption.mix_report(done), ["share"])
+
+
 @query
 def gleu(spark, sf):
     rows = fx.eval_rows(spark, sf)
