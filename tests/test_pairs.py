@@ -174,3 +174,21 @@ def test_files_without_blocks_are_counted(spark, tmp_path):
     got = prep_counters(blocks, files=matched_files(spark, path)).first()
     assert (got["files"], got["pairs"]) == (3, 1)
     assert prep_counters(blocks).first()["files"] == 1
+
+
+def test_counters_come_with_the_write(spark, tmp_path):
+    lines = ["S a b", "A 0 1|||R|||x|||REQUIRED|||-NONE-|||0", "", "S same", "", "S a b", "A 0 1|||R|||x|||REQUIRED|||-NONE-|||0", "", "S bad", "A q 1|||R|||x|||REQUIRED|||-NONE-|||0", ""]
+    df = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, line_no long, line string")
+    blocks = pairs.m2_blocks(df)
+    made, counters = pairs.prepare_m2_counted(blocks)
+    made.write.parquet(str(tmp_path / "m2"))
+    assert counters.get() == {"identities": 1, "broken": 1, "pairs": 1}
+    assert {k: v for k, v in pairs.prep_counters(blocks).first().asDict().items() if k != "files"} == counters.get()
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, pairs.prepare_m2(blocks).collect()))
+    entry = "1\t1\tu\t1\t{}\t{}"
+    rows = [entry.format("a b", "a c"), entry.format("s", "s"), entry.format("a b", "a c"), "short", "x\t1\tu\t1\tp\tq", entry.format("", "z")]
+    lang8 = spark.createDataFrame(list(enumerate(rows)), "line_no long, line string")
+    made, counters = pairs.prepare_lang8_counted(lang8)
+    made.write.parquet(str(tmp_path / "lang8"))
+    assert counters.get() == {"identities": 1, "broken": 2, "pairs": 1}
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, pairs.prepare_lang8(lang8).collect()))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from textfix.functions.edits import apply_edits
@@ -159,6 +160,53 @@ def prepare_m2(blocks: DataFrame, keep_identity: bool = False) -> DataFrame:
     return first_occurrence(kept, F.struct("file", "block"))
 
 
+@dataclass(frozen=True)
+class PrepCounters:
+    """Counters of a preparation job, filled by the first action on its pairs."""
+
+    seen: Observation
+    kept: Observation
+
+    def get(self) -> dict[str, int]:
+        """``identities``, ``broken`` and ``pairs``; waits for the job's write."""
+        return {k: int(v or 0) for k, v in (self.seen.get | self.kept.get).items()}
+
+
+def prepare_m2_counted(blocks: DataFrame, keep_identity: bool = False) -> tuple[DataFrame, PrepCounters]:
+    """:func:`prepare_m2` and its counters, which come with the write of the pairs: no second pass."""
+    counters = PrepCounters(Observation(), Observation())
+    rebuilt = blocks.withColumn("_t", F.when(~F.col("broken"), apply_edits(F.col("src"), F.col("edits"))))
+    rebuilt = rebuilt.select(
+        "file", "block", "broken", F.array_join("src", " ").alias("src"), F.array_join("_t", " ").alias("tgt")
+    )
+    usable = ~F.col("broken") & (strip(F.col("src")) != "") & (strip(F.col("tgt")) != "")
+    seen = rebuilt.observe(
+        counters.seen,
+        F.count_if(usable & (F.col("src") == F.col("tgt"))).alias("identities"),
+        F.count_if("broken").alias("broken"),
+    )
+    kept = valid_pairs(seen.where(~F.col("broken")).drop("broken"), keep_identity)
+    pairs = first_occurrence(kept, F.struct("file", "block"))
+    return pairs.observe(counters.kept, F.count(F.lit(1)).alias("pairs")), counters
+
+
+def prepare_lang8_counted(
+    lines: DataFrame, keep_identity: bool = False, max_ratio: float = 3.0, max_edits: int = 0
+) -> tuple[DataFrame, PrepCounters]:
+    """:func:`prepare_lang8` without a limit, and its counters; ``broken`` are lines that give no entry."""
+    counters = PrepCounters(Observation(), Observation())
+    entries = entry_columns(lines)
+    usable = F.col("entry") & (F.col("src") != "") & (F.col("tgt") != "")
+    seen = entries.observe(
+        counters.seen,
+        F.count_if(usable & (F.col("src") == F.col("tgt"))).alias("identities"),
+        F.count_if(~F.col("entry")).alias("broken"),
+    )
+    pairs = valid_pairs(seen.where("entry").drop("entry"), keep_identity)
+    kept = minimal_edit(first_occurrence(length_ratio(pairs, max_ratio), "line_no"), max_edits)
+    return kept.observe(counters.kept, F.count(F.lit(1)).alias("pairs")), counters
+
+
 def prep_counters(
     blocks: DataFrame, keep_identity: bool = False, files: DataFrame | None = None
 ) -> DataFrame:
@@ -178,18 +226,22 @@ def prep_counters(
     return reduce(lambda a, b: a.join(b, "_one"), one).drop("_one")
 
 
-def parse_lang8(lines: DataFrame, keep_identity: bool = False) -> DataFrame:
-    """Learner entries (line_no, line) with at least one correction: (line_no, src, tgt)."""
+def entry_columns(lines: DataFrame) -> DataFrame:
+    """Learner lines as (line_no, src, tgt, entry); ``entry`` says whether there is a correction."""
     cols = F.split("line", "\t", -1)
     count = F.get(cols, F.lit(0))
-    entries = lines.where(
-        (F.size(cols) >= 6) & count.rlike(WHOLE_NUMBER_RE) & count.rlike(AT_LEAST_ONE_RE)
-    ).select(
+    entry = (F.size(cols) >= 6) & count.rlike(WHOLE_NUMBER_RE) & count.rlike(AT_LEAST_ONE_RE)
+    return lines.select(
         "line_no",
         strip(F.get(cols, F.lit(4))).alias("src"),
         strip(F.get(cols, F.lit(5))).alias("tgt"),
+        F.coalesce(entry, F.lit(False)).alias("entry"),
     )
-    return valid_pairs(entries, keep_identity)
+
+
+def parse_lang8(lines: DataFrame, keep_identity: bool = False) -> DataFrame:
+    """Learner entries (line_no, line) with at least one correction: (line_no, src, tgt)."""
+    return valid_pairs(entry_columns(lines).where("entry").drop("entry"), keep_identity)
 
 
 def prepare_lang8(

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textfix.config import CorrectionConfig
-from textfix.functions.masking import mask, unmask, unmasked_nothing
+from textfix.functions.masking import mask, sentences_protected, unmask, unmasked_nothing
 from textfix.functions.similarity import with_meaning, word_diff
 from textfix.functions.text import sentences, strip, word_cores
 from textfix.operators.dictionary import vocabulary
@@ -154,9 +154,12 @@ def correct(
     return done.select(*df.columns, "correction")
 
 
-def split_sentences(df: DataFrame, id_cols: list[str], text: str = "text") -> DataFrame:
-    """One row per sentence: ids, sent_no, sentence."""
-    return df.select(*id_cols, F.posexplode(sentences(F.col(text))).alias("sent_no", "sentence"))
+def split_sentences(
+    df: DataFrame, id_cols: list[str], text: str = "text", protect_first: bool = False
+) -> DataFrame:
+    """One row per sentence: ids, sent_no, sentence. ``protect_first`` keeps structured spans whole."""
+    split = sentences_protected if protect_first else sentences
+    return df.select(*id_cols, F.posexplode(split(F.col(text))).alias("sent_no", "sentence"))
 
 
 def grammar_cards(corrected: DataFrame) -> DataFrame:
@@ -172,12 +175,16 @@ def review(
     cfg: CorrectionConfig | None = None,
     id_cols: list[str] | None = None,
     text: str = "text",
+    protect_first: bool = False,
 ) -> DataFrame:
-    """Sentence cards: ids, sent_no, raw, final, diff, guarded."""
+    """Sentence cards: ids, sent_no, raw, final, diff, guarded.
+
+    With ``protect_first`` a full stop inside an address or a number does not end a sentence.
+    """
     ids = id_cols or ["id"]
     keys = [*ids, "sent_no"]
     fixed = correct(
-        split_sentences(df, ids, text), dictionary, corrector, cfg, "sentence", id_cols=keys
+        split_sentences(df, ids, text, protect_first), dictionary, corrector, cfg, "sentence", id_cols=keys
     )
     c = F.col("correction")
     return grammar_cards(fixed).select(

@@ -256,16 +256,20 @@ def masked(table: str, key: str, text: str) -> str:
         coalesce(list(core ORDER BY pos) FILTER (hit), []) AS spans FROM mnum GROUP BY {key})"""
 
 
-def unmasked(text: str, spans: str) -> str:
-    """Restored text, or NULL where it has to be given up."""
-    run = r"[_\p{Nd}]+"
-    is_run = "length({0}) - length(replace({0}, '_', '')) >= 2"
-    by_index = (
+def by_index(text: str, spans: str) -> str:
+    """Text with its sentinels replaced by the spans of their numbers."""
+    return (
         rf"array_to_string(list_transform(range(1, len(string_split_regex({text}, '__[0-9]+__')) + 1), "
         rf"lambda i: CASE WHEN i = 1 THEN '' ELSE coalesce({spans}[TRY_CAST(regexp_extract_all({text}, "
         rf"'__([0-9]+)__', 1)[i - 1] AS INT) + 1], regexp_extract_all({text}, '__[0-9]+__')[i - 1]) END || "
         rf"string_split_regex({text}, '__[0-9]+__')[i]), '')"
     )
+
+
+def unmasked(text: str, spans: str) -> str:
+    """Restored text, or NULL where it has to be given up."""
+    run = r"[_\p{Nd}]+"
+    is_run = "length({0}) - length(replace({0}, '_', '')) >= 2"
     all_runs = f"regexp_extract_all({text}, '{run}')"
     count = f"len(list_filter({all_runs}, lambda r: {is_run.format('r')}))"
     by_place = (
@@ -277,7 +281,7 @@ def unmasked(text: str, spans: str) -> str:
     return (
         f"CASE WHEN len({spans}) = 0 THEN {text} "
         f"WHEN len(list_filter(range(0, len({spans})), lambda k: NOT contains({text}, '__' || k || '__'))) = 0 "
-        f"THEN {by_index} WHEN {count} = len({spans}) THEN {by_place} END"
+        f"THEN {by_index(text, spans)} WHEN {count} = len({spans}) THEN {by_place} END"
     )
 
 
@@ -423,6 +427,12 @@ ORACLES: dict[str, str] = {
         c AS (SELECT {PROTECT_CORE} AS core FROM raw)
         SELECT core, count(*)::BIGINT AS n FROM c WHERE {STRUCTURED} GROUP BY core""",
     "sentences": f"WITH {SENTS} SELECT sid, sentence FROM sents",
+    "sentences_protected": f"""WITH texts AS (SELECT doc_id AS id, text FROM documents UNION ALL
+            SELECT page_id + {PAGE}, 'please visit (' || url || ') before ' || page_id || 'pm.' FROM pages),
+        {masked('texts', 'id', 'text')},
+        cut AS (SELECT id, spans, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS sent_no FROM
+            (SELECT id, spans, {sentence_list('masked')} AS l FROM masked))
+        SELECT id, sent_no::BIGINT AS sent_no, {by_index('s', 'spans')} AS sentence FROM cut""",
     "normalize": f"WITH {NORMED} SELECT sid, n_out AS norm FROM nm",
     "negation_count": f"""WITH t AS (SELECT doc_id, text || ' isn’t n`t WOULD''VE no' || lang AS x FROM documents)
         SELECT doc_id, {negations('x')}::BIGINT AS n FROM t""",
@@ -574,6 +584,11 @@ ORACLES: dict[str, str] = {
         (SELECT count(*) FROM m2p WHERE src = tgt AND trim(src) <> '') AS identities,
         (SELECT count(DISTINCT (file, block)) FROM opened WHERE kind = 'A' AND NOT regexp_matches(
             line, '^A -?[0-9]+ -?[0-9]+([|][|][|][^|]*){{4}}[|][|][|]-?[0-9]+$')) AS broken""",
+    "job_counters": f"""WITH {M2_PREP}, {LANG8_PREP.split(', entries AS', 1)[1].join(['entries AS', ''])}
+        SELECT 'm2' AS job, (SELECT count(*) FROM prepared) AS pairs,
+        (SELECT count(*) FROM m2p WHERE src = tgt AND trim(src) <> '') AS identities, 0::BIGINT AS broken
+        UNION ALL SELECT 'lang8', (SELECT count(*) FROM noisy), (SELECT count(*) FROM l8 WHERE src = tgt),
+        (SELECT count(*) FROM copies WHERE sid % 9 = 0 OR cnt NOT IN ('1', '2', '3'))""",
     "lang8_pairs": f"WITH {LANG8_PREP} SELECT src, tgt, line_no FROM noisy",
     "length_ratio": f"WITH {LANG8} SELECT line_no, src, tgt FROM l8 WHERE {RATIO_OK}",
     "minimal_edit": f"WITH {WORD_PAIRS} SELECT sid, src, tgt FROM wp WHERE sid % 6 <= 3",

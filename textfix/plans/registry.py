@@ -103,6 +103,15 @@ def sentences(spark, sf):
     return fx.doc_sentences(spark, sf)
 
 
+@query
+def sentences_protected(spark, sf):
+    """Sentences of the documents and page texts whose addresses and numbers stay whole."""
+    docs = fx.documents(spark, sf).select(F.col("doc_id").alias("id"), "text")
+    pages = fx.page_sentences(spark, sf).select(F.col("sid").alias("id"), F.col("sentence").alias("text"))
+    split = job.split_sentences(docs.unionByName(pages), ["id"], protect_first=True)
+    return split.select("id", F.col("sent_no").cast("long").alias("sent_no"), "sentence")
+
+
 @query
 def normalize(spark, sf):
     return fx.eval_rows(spark, sf).select("sid", t.normalize(F.col("pred")).alias("norm"))
@@ -546,6 +555,21 @@ def prep_counters(spark, sf):
     return pairs.prep_counters(blocks, files=fx.m2_lines(spark, sf))
 
 
+@query
+def job_counters(spark, sf):
+    """Counters that come with the writes of both preparation jobs."""
+    jobs = {
+        "m2": pairs.prepare_m2_counted(_blocks(spark, sf)),
+        "lang8": pairs.prepare_lang8_counted(fx.lang8_lines(spark, sf)),
+    }
+    rows = []
+    for name, (made, counters) in jobs.items():
+        materialize(made, f"{name}-pairs")
+        found = counters.get()
+        rows.append((name, found["pairs"], found["identities"], found["broken"]))
+    return spark.createDataFrame(rows, "job string, pairs long, identities long, broken long")
+
+
 @query
 def lang8_pairs(spark, sf):
     return pairs.prepare_lang8(fx.lang8_lines(spark, sf))
