@@ -85,10 +85,11 @@ def spans(
     Only words count, without case. Pieces without words belong to the span that they stand in but
     add nothing to it.
     """
-    return _spans([_WORD.findall(_fold(piece)) for piece in pieces], least, words)
+    starts, lengths, hashes = _spans([_WORD.findall(_fold(piece)) for piece in pieces], least, words)
+    return starts, lengths, [int.from_bytes(h, "big") for h in hashes]
 
 
-def _spans(found: list[list[str]], least: int, words: int) -> tuple[list[int], list[int], list[int]]:
+def _spans(found: list[list[str]], least: int, words: int) -> tuple[list[int], list[int], list[bytes]]:
     solid = [i for i, w in enumerate(found) if w]
     runs = set()
     end = total = 0  # the window is solid[k:end] with ``total`` words
@@ -113,43 +114,60 @@ def _spans(found: list[list[str]], least: int, words: int) -> tuple[list[int], l
     return (
         [solid[k] for k, _ in ordered],
         [solid[end - 1] - solid[k] + 1 for k, end in ordered],
-        [xxhash.xxh3_128_intdigest(digests[16 * k : 16 * end]) for k, end in ordered],
+        [xxhash.xxh3_128_digest(digests[16 * k : 16 * end]) for k, end in ordered],
     )
 
 
 def span_rows(
     df: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = SENTENCES, words: int = WORDS
 ) -> DataFrame:
-    """(doc, mark, key, check, start, length): the spans of each text; ``mark`` is a hash of the text.
+    """(doc, mark, key, check, start, length, ends): the spans of each text; ``mark`` is a hash of the text.
 
     Spans that repeat an earlier one of the text have no key. A row without start has the number of
-    pieces as its length. Of a row whose id is NULL only what has no key is listed.
+    pieces as its length, and the places where they end. Of a row whose id is NULL only what has no key
+    is listed.
     """
+    names = ["doc", "mark", "key", "check", "start", "length", "ends"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for doc, value, mark in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                found = _cut(value or "")[1]
-                out.append((doc, mark, None, None, None, len(found)))
-                seen = set()
+            # A row for each text, then those of all its spans.
+            at, digests, keyless = [], [], []
+            starts, lengths, ends = [], [], []
+            docs = batch.column(0).to_pylist()
+            for row, value in enumerate(batch.column(1)):
+                pieces, found = _cut(value.as_py() or "")
+                at.append(row)
+                digests.append(bytes(16))
+                keyless.append(True)
+                starts.append(None)
+                lengths.append(len(pieces))
+                ends.append(np.cumsum(list(map(len, pieces))).tolist())
+                seen: set[bytes] = set()
                 for start, length, hashed in zip(*_spans(found, least, words), strict=True):
-                    if hashed in seen:
-                        out.append((doc, mark, None, None, start, length))
-                    elif doc is not None:
-                        key, check = hashed & (1 << 64) - 1, hashed >> 64 & (1 << 32) - 1
-                        key, check = key - (key >> 63 << 64), check - (check >> 31 << 32)
-                        out.append((doc, mark, key, check, start, length))
+                    again = hashed in seen
+                    if again or docs[row] is not None:
+                        at.append(row)
+                        digests.append(hashed)
+                        keyless.append(again)
+                        starts.append(start)
+                        lengths.append(length)
+                        ends.append(None)
                     seen.add(hashed)
-            columns = zip(*out, strict=True) if out else [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            raw, hidden = b"".join(digests), np.array(keyless, bool)
+            place, words_of = pa.array(at, pa.int64()), np.frombuffer(raw, "<i8").reshape(-1, 2)
+            check = np.frombuffer(raw, "<i4").reshape(-1, 4)[:, 2]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, k) for x, k in zip(columns, kinds, strict=True)],
-                ["doc", "mark", "key", "check", "start", "length"],
+                [
+                    batch.column(0).take(place), batch.column(2).take(place),
+                    pa.array(words_of[:, 0], mask=hidden), pa.array(check, mask=hidden),
+                    pa.array(starts, pa.int32()), pa.array(lengths, pa.int32()), pa.array(ends, pa.list_(pa.int32())),
+                ],
+                names,
             )
 
-    schema = "doc long, mark long, key long, check int, start int, length int"
-    return df.select(id_col, text, F.xxhash64(text)).mapInArrow(run, schema)
+    schema = "doc long, mark long, key long, check int, start int, length int, ends array<int>"
+    return df.select(F.col(id_col).cast("long"), text, F.xxhash64(text)).mapInArrow(run, schema)
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
@@ -173,25 +191,28 @@ def remove_repeats(
     no pieces. What has no run of ``least`` pieces and ``words`` words is never removed.
     """
     rows = materialize(span_rows(df, id_col, text, least, words), "spans")
-    repeats = repeated_spans(rows).unionByName(rows.where(F.col("key").isNull()).drop("key", "check"))
+    found = repeated_spans(rows).withColumn("ends", F.lit(None).cast("array<int>"))
+    repeats = found.unionByName(rows.where(F.col("key").isNull()).drop("key", "check"))
     repeats = repeats.groupBy("doc", "mark").agg(
         F.max(F.when(F.col("start").isNull(), F.col("length"))).alias("n"),
+        F.first("ends", ignorenulls=True).alias("ends"),
         F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "length"))).alias("spans"),
     )
     repeats = materialize(repeats, "spans-repeats")
     left = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("_mark"))
     joined = left.join(
         repeats, F.col("id").eqNullSafe(F.col("doc")) & (F.col("_mark") == F.col("mark"))
-    ).select("id", "text", "n", "spans")
+    ).select("id", "text", "n", "spans", "ends")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, gone = [], []
-            for value, found in zip(batch.column(1), batch.column(3), strict=True):
+            for value, found, stops in zip(batch.column(1), batch.column(3), batch.column(4), strict=True):
                 taken = {k for s in found.as_py() for k in range(s["start"], s["start"] + s["length"])}
                 kept = value.as_py()
                 if taken:
-                    kept = "".join(p for i, p in enumerate(sentences(kept)) if i not in taken)
+                    bounds = [0, *stops.as_py()]
+                    kept = "".join(kept[bounds[i] : bounds[i + 1]] for i in range(len(bounds) - 1) if i not in taken)
                 texts.append(kept)
                 gone.append(sorted(taken))
             yield pa.RecordBatch.from_arrays(
