@@ -11,9 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -25,6 +27,8 @@ from textfix.session import materialize
 SENTENCES, WORDS = 2, 20
 # A long sentence is cut at least once in so many consecutive words.
 CUT_WORDS = 8
+# Texts whose spans are listed together.
+SLICE_ROWS = 1000
 # A sentence with the white space after it: up to its end marks or the end of its line.
 _PIECE = regex.compile(r"[^.!?。！？\n]*+(?:[.!?。！？]++[\"'”’»)\]]*+(?=\s|$)|\n|$|[.!?。！？]++)\s*+")
 _WORD = regex.compile(r"[\p{L}\p{N}]++")
@@ -130,7 +134,7 @@ def span_rows(
     names = ["doc", "mark", "key", "check", "start", "length", "ends"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, SLICE_ROWS) for whole in batches for k in range(0, len(whole), SLICE_ROWS)):
             # A row for each text, then those of all its spans.
             at, digests, keyless = [], [], []
             starts, lengths, ends = [], [], []
@@ -142,7 +146,7 @@ def span_rows(
                 keyless.append(True)
                 starts.append(None)
                 lengths.append(len(pieces))
-                ends.append(np.cumsum(list(map(len, pieces))).tolist())
+                ends.append(list(accumulate(map(len, pieces))))
                 seen: set[bytes] = set()
                 for start, length, hashed in zip(*_spans(found, least, words), strict=True):
                     again = hashed in seen
@@ -206,18 +210,20 @@ def remove_repeats(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, gone = [], []
-            for value, found, stops in zip(batch.column(1), batch.column(3), batch.column(4), strict=True):
-                taken = {k for s in found.as_py() for k in range(s["start"], s["start"] + s["length"])}
-                kept = value.as_py()
-                if taken:
-                    bounds = [0, *stops.as_py()]
-                    kept = "".join(kept[bounds[i] : bounds[i + 1]] for i in range(len(bounds) - 1) if i not in taken)
-                texts.append(kept)
-                gone.append(sorted(taken))
+            # Texts that lose nothing stay as they are, in Arrow.
+            changed = pc.greater(pc.list_value_length(batch.column(3)), 0)
+            texts, gone = [], [[]] * len(batch)
+            for row in np.flatnonzero(changed.to_numpy(zero_copy_only=False)).tolist():
+                found = batch.column(3)[row].values
+                first, size = (found.field(k).to_pylist() for k in ("start", "length"))
+                taken = {k for a, n in zip(first, size, strict=True) for k in range(a, a + n)}
+                text, bounds = batch.column(1)[row].as_py(), [0, *batch.column(4)[row].as_py()]
+                texts.append("".join(text[bounds[i] : bounds[i + 1]] for i in range(len(bounds) - 1) if i not in taken))
+                gone[row] = sorted(taken)
+            kept = pc.replace_with_mask(batch.column(1), changed, pa.array(texts, pa.string()))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(texts, pa.string()), batch.column(2),
+                    batch.column(0), kept, batch.column(2),
                     pa.array([len(g) for g in gone], pa.int32()), pa.array(gone, pa.list_(pa.int32())),
                     pa.array([bool(g) for g in gone]),
                 ],
