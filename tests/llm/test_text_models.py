@@ -114,6 +114,27 @@ def test_windows_cover_every_word_and_overlap():
         for i, n in enumerate(sizes):
             own = [(f - begin[i], min(f + 32, e) - begin[i]) for t, f, e in zip(text, first, end, strict=True) if t == i]
             assert own and set().union(*(range(a, b) for a, b in own)) == set(range(n))
+            starts = [f - begin[i] for t, f in zip(text, first, strict=True) if t == i]
+            assert starts == list(range(max(n - toxicity.WINDOW, 0) + 1))
+
+
+def test_windows_that_advance_together_score_like_single_ones():
+    rng = np.random.default_rng(6)
+    net = toxicity.Network([f"w{i}" for i in range(50)])
+    sizes = np.array([5, 0, toxicity.WINDOW, 3 * toxicity.BLOCK, 700, toxicity.WINDOW - 1, toxicity.WINDOW + 1])
+    projected = net.project(net.inputs([f"w{i}" for i in range(90)])[0])
+    ids = rng.integers(0, 90, sizes.sum())
+    _, first, end = toxicity.windows(sizes)
+    alone = net.scores(projected, *toxicity.laid_out(ids, first, end))
+    assert np.allclose(toxicity._all_scores(net, projected, ids, sizes), alone, atol=1e-5)
+
+
+def test_a_passage_scores_alike_wherever_it_stands():
+    scorer = toxicity.Scorer(toxicity.Network(["bad"]))
+    passage = " ".join(f"bad{i}" for i in range(toxicity.WINDOW))
+    alone = scorer.scores([passage])[0]
+    moved = scorer.scores([("fill " * k) + passage + " fill" * 40 for k in range(20)])
+    assert all(m >= alone - 1e-6 for m in moved)
 
 
 def test_long_texts_score_like_their_worst_piece():
@@ -133,6 +154,16 @@ def test_toxicity_of_odd_rows_and_without_labels(spark, docs):
     assert {round(r["score"], 6) for r in got} == {0.5} and len(got) == len(ODD)
 
 
+def test_toxicity_of_odd_rows_with_a_fitted_model(spark, docs):
+    rows = [(10 + i, f"{'awful nasty' if i % 2 else 'kind gentle'} words {i}") for i in range(60)]
+    labels = spark.createDataFrame([(10 + i, i % 2) for i in range(60)] + [(None, 1), (10, None)], "doc_id long, toxic int")
+    got = toxicity.score(docs(rows + ODD, "score string"), labels).collect()
+    assert len(got) == len(rows) + len(ODD) and all(0 <= r["score"] <= 1 for r in got)
+    same = [r["score"] for r in got if r["doc_id"] == 5]
+    assert len(same) == 2 and same[0] == same[1]
+    assert toxicity.score(docs([]), labels).collect() == []
+
+
 def test_counts_equal_library(docs):
     library = Tokenizer.from_file(PATH)
     rng = random.Random(5)

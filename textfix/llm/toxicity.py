@@ -1,10 +1,13 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over windows of words.
 
 A word enters as its own vector, if it is in the vocabulary, beside the mean vector of its character
-trigrams; a word of more than PIECE_BYTES bytes enters as overlapping pieces, each like a word. Two gated recurrent layers read a window forwards and backwards, attention pools their
-states, and a logistic output scores the window. A text is cut into overlapping windows; its score is
-that of its worst one. Training is plain numpy on a bounded sample of labelled texts: first on random
-windows, then on the windows that score highest, as a label belongs to a text and not to a window.
+trigrams; a word of more than PIECE_BYTES bytes enters as overlapping pieces, each like a word. Two
+gated recurrent layers read a window forwards and backwards, attention pools their states, and a
+logistic output scores the window. A window starts at every word that WINDOW words follow or begin; the
+score of a text is that of its worst window. Windows of neighbouring words advance together, so each
+step of a layer reads one slice of the text. Training is plain numpy on a bounded sample of labelled
+texts: first on random windows, then on the windows that score highest, as a label belongs to a text
+and not to a window.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from textfix.llm.quality import fit_ids, held_out
 
 # Labelled texts that are fitted at most, per class; and words read of them in all.
 FIT_TEXTS, FIT_WORDS = 1500, 3_000_000
-WINDOW, STRIDE = 32, 16
+WINDOW = 16
 WORD_DIM, CHAR_DIM, HIDDEN, CHAR_ROWS = 8, 16, 8, 1 << 13
 # Fitting: texts that must hold a word of the vocabulary, share of words read by their characters only,
 # step size and the share by which weights shrink in a step.
@@ -79,6 +82,16 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def bend(x: np.ndarray) -> np.ndarray:
+    """The activation of the recurrent layers: from -1 to 1 like the hyperbolic tangent, at a seventh of its time."""
+    return x / (1 + np.abs(x))
+
+
+def slope(bent: np.ndarray) -> np.ndarray:
+    """Derivative of :func:`bend` where its value is ``bent``."""
+    return (1 - np.abs(bent)) ** 2
+
+
 class Network:
     """Parameters by name. Word row 0 is every word outside the vocabulary and stays zero."""
 
@@ -120,10 +133,10 @@ class Network:
         state = np.zeros((x.shape[1], h), np.float32)
         states, saved = np.empty((*x.shape[:2], h), np.float32), []
         for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
-            gates = sigmoid(x[t, :, : 2 * h] + state @ p[f"{d}_zr"])
+            gates = 0.5 + 0.5 * bend(x[t, :, : 2 * h] + state @ p[f"{d}_zr"])
             z, r = gates[:, :h], gates[:, h:]
             inner = state @ p[f"{d}_n"]
-            new = np.tanh(x[t, :, 2 * h :] + r * inner)
+            new = bend(x[t, :, 2 * h :] + r * inner)
             step = mask[t] * z
             saved.append((t, state, z, r, inner, new))
             state = state + step * (new - state)
@@ -164,9 +177,9 @@ class Network:
             for t, before, z, r, inner, new in reversed(layers[d][1]):
                 back = back + part[t]
                 step = mask[t] * z
-                d_new = back * step * (1 - new**2)
-                d_z = back * mask[t] * (new - before) * z * (1 - z)
-                d_r = d_new * inner * r * (1 - r)
+                d_new = back * step * slope(new)
+                d_z = back * mask[t] * (new - before) * slope(2 * z - 1) / 2
+                d_r = d_new * inner * slope(2 * r - 1) / 2
                 d_zr = np.c_[d_z, d_r]
                 d_in[t] = np.c_[d_zr, d_new]
                 g[f"{d}_zr"] += before.T @ d_zr
@@ -185,6 +198,50 @@ class Network:
         states = [self.layer(d, projected[d][ids], mask)[0] for d in ("f", "b")]
         return sigmoid(self.pool(np.concatenate(states, axis=2), mask)[0])
 
+    def sweep(self, d: str, x: np.ndarray, many: int) -> np.ndarray:
+        """Sums (time, 2, window) for attention and output, of one direction over windows of
+        neighbouring words; ``x`` (3h, many + WINDOW - 1) has the gates' inputs of the words.
+
+        The steps of :meth:`layer`, with windows side by side in memory. The product of a state with
+        the recurrent weights gives its two sums too.
+        """
+        p, h = self.p, HIDDEN
+        part = slice(0, h) if d == "f" else slice(h, 2 * h)
+        turn = np.c_[p[f"{d}_zr"], p[f"{d}_n"], p["attend"][part], p["out"][part]].T.copy()
+        state, told = np.zeros((h, many), np.float32), np.empty((WINDOW, 2, many), np.float32)
+        moved, size = np.empty((3 * h + 2, many), np.float32), np.empty((2 * h, many), np.float32)
+        gates, new, ends = moved[: 2 * h], moved[2 * h : 3 * h], moved[3 * h :]
+        before = None
+        for t in range(WINDOW) if d == "f" else range(WINDOW - 1, -1, -1):
+            np.matmul(turn, state, out=moved)
+            if before is not None:
+                told[before] = ends
+            gates += x[: 2 * h, t : t + many]
+            np.abs(gates, out=size)
+            size += 1
+            gates /= size
+            gates += 1  # twice the gates
+            new *= gates[h:]
+            new *= 0.5
+            new += x[2 * h :, t : t + many]
+            np.abs(new, out=size[:h])
+            size[:h] += 1
+            new /= size[:h]
+            new -= state
+            new *= gates[:h]
+            new *= 0.5
+            state += new
+            before = t
+        np.matmul(turn[3 * h :], state, out=told[before])
+        return told
+
+    def neighbours(self, projected: dict[str, np.ndarray], ids: np.ndarray) -> np.ndarray:
+        """Chance of label 1 for the window that starts at each word; the last WINDOW - 1 start none."""
+        many = len(ids) - WINDOW + 1
+        told = sum(self.sweep(d, np.ascontiguousarray(projected[d][ids].T), many) for d in ("f", "b"))
+        share = np.exp(told[:, 0] - told[:, 0].max(axis=0))
+        return sigmoid((share * told[:, 1]).sum(axis=0) / share.sum(axis=0) + self.p["bias"])
+
     def project(self, x: np.ndarray) -> dict[str, np.ndarray]:
         return {d: (x @ self.p[f"{d}_in"] + self.p[f"{d}_bias"]).astype(np.float32) for d in ("f", "b")}
 
@@ -192,13 +249,13 @@ class Network:
 def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All overlapping windows of texts that stand in one array: text, first word, end of the text.
 
-    Each text has at least one; the last of a text may be short.
+    Each text has at least one, which is short if the text is.
     """
-    many = np.maximum(-(-(sizes - WINDOW) // STRIDE), 0) + 1
+    many = np.maximum(sizes - WINDOW, 0) + 1
     text = np.repeat(np.arange(len(sizes)), many)
     begin = np.cumsum(sizes) - sizes
     nth = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
-    return text, begin[text] + nth * STRIDE, (begin + sizes)[text]
+    return text, begin[text] + nth, (begin + sizes)[text]
 
 
 def laid_out(ids: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +278,8 @@ def train(texts: list[list[str]], y: np.ndarray, rounds: tuple[int, int] = (3, 5
     names = sorted(seen)
     row = {w: i for i, w in enumerate(names)}
     ids = np.array([row[w] for words in texts for w in words], np.int64)
-    text, first, end = windows(np.array([len(words) for words in texts]))
+    sizes = np.array([len(words) for words in texts])
+    text, first, end = windows(sizes)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
     for phase, many in enumerate(rounds):
@@ -230,7 +288,7 @@ def train(texts: list[list[str]], y: np.ndarray, rounds: tuple[int, int] = (3, 5
                 drawn = rng.permutation(len(text))
                 drawn = drawn[: 20 * len(texts)]
             else:
-                drawn = rng.permutation(_top_windows(net, names, ids, text, first, end))
+                drawn = rng.permutation(_top_windows(net, names, ids, sizes))
             for at in range(0, len(drawn), 128):
                 step += 1
                 batch = drawn[at : at + 128]
@@ -252,19 +310,34 @@ def train(texts: list[list[str]], y: np.ndarray, rounds: tuple[int, int] = (3, 5
     return net
 
 
-def _top_windows(net, names, ids, text, first, end) -> np.ndarray:
-    """The two windows of each text that score highest."""
-    projected = net.project(net.inputs(names)[0])
-    score = _all_scores(net, projected, ids, first, end)
-    order = np.lexsort((-score, text))
-    start = np.searchsorted(text[order], text[order], side="left")
-    return order[np.arange(len(order)) - start < 2]
+def _top_windows(net: Network, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The window of each text that scores highest, and the highest of those half a window or more away."""
+    text, first, _ = windows(sizes)
+    score = _all_scores(net, net.project(net.inputs(names)[0]), ids, sizes)
+    starts = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+    best = np.lexsort((-score, text))[starts]
+    away = np.flatnonzero(np.abs(first - first[best][text]) >= WINDOW // 2)
+    order = away[np.lexsort((-score[away], text[away]))]
+    return np.r_[best, order[np.r_[True, text[order][1:] != text[order][:-1]]]] if len(order) else best
 
 
-def _all_scores(net, projected, ids, first, end) -> np.ndarray:
+def _all_scores(net: Network, projected: dict[str, np.ndarray], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Scores of all windows, in the order of :func:`windows`."""
+    _, first, end = windows(sizes)
     out = np.empty(len(first), np.float32)
-    for at in range(0, len(first), BLOCK):
-        out[at : at + BLOCK] = net.scores(projected, *laid_out(ids, first[at : at + BLOCK], end[at : at + BLOCK]))
+    short = end - first < WINDOW
+    padded = np.flatnonzero(short)
+    for at in range(0, len(padded), BLOCK):
+        some = padded[at : at + BLOCK]
+        out[some] = net.scores(projected, *laid_out(ids, first[some], end[some]))
+    # The words of all other texts side by side; windows across two texts are left out at the end.
+    full = sizes >= WINDOW
+    if full.any():
+        joined = ids[np.repeat(full, sizes)]
+        every = np.empty(len(joined) - WINDOW + 1, np.float32)
+        for at in range(0, len(every), BLOCK):
+            every[at : at + BLOCK] = net.neighbours(projected, joined[at : at + BLOCK + WINDOW - 1])
+        out[~short] = every[windows(sizes[full])[1]]
     return out
 
 
@@ -312,8 +385,8 @@ class Scorer:
         return out + (self._group(group) if group else [])
 
     def _long(self, words: list[str]) -> float:
-        """Pieces that overlap by a window less a stride, so that no window is missed."""
-        step = GROUP_WORDS - GROUP_WORDS % STRIDE - WINDOW
+        """Pieces that overlap by a window, so that no window is missed."""
+        step = GROUP_WORDS - WINDOW
         return max(
             self._group([words[at : at + step + WINDOW]])[0]
             for at in range(0, max(len(words) - WINDOW, 1), step)
@@ -321,9 +394,10 @@ class Scorer:
 
     def _group(self, group: list[list[str]]) -> list[float]:
         ids = self.ids([w for words in group for w in words])
-        text, first, end = windows(np.array([len(words) for words in group]))
-        found = _all_scores(self.net, self.projected, ids, first, end)
-        starts = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+        sizes = np.array([len(words) for words in group])
+        found = _all_scores(self.net, self.projected, ids, sizes)
+        many = np.maximum(sizes - WINDOW, 0) + 1
+        starts = np.cumsum(many) - many
         return np.maximum.reduceat(found, starts).astype(float).tolist()
 
 
