@@ -33,7 +33,9 @@ LEAST_TEXTS, WORD_DROP, STEP, SHRINK = 5, 0.3, 0.01, 1e-4
 PIECE_BYTES = 16
 EDGES = ".,;:!?\"'()[]{}<>«»“”‘’…*_#|-"
 # Words whose inputs a Python worker remembers, windows scored together, words worked on together.
-MEMO_WORDS, BLOCK, GROUP_WORDS = 200_000, 2048, 1 << 17
+MEMO_WORDS, BLOCK, GROUP_WORDS = 200_000, 8192, 1 << 17
+# Windows of one matrix product: small enough that the library starts no threads for it.
+PRODUCT = 1024
 
 
 def split_word(word: str) -> list[str]:
@@ -213,7 +215,8 @@ class Network:
         gates, new, ends = moved[: 2 * h], moved[2 * h : 3 * h], moved[3 * h :]
         before = None
         for t in range(WINDOW) if d == "f" else range(WINDOW - 1, -1, -1):
-            np.matmul(turn, state, out=moved)
+            for at in range(0, many, PRODUCT):
+                np.matmul(turn, state[:, at : at + PRODUCT], out=moved[:, at : at + PRODUCT])
             if before is not None:
                 told[before] = ends
             gates += x[: 2 * h, t : t + many]
