@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,6 @@ PIECE_BYTES = 16
 EDGES = ".,;:!?\"'()[]{}<>«»“”‘’…*_#|-"
 # Words whose inputs a Python worker remembers, windows scored together, words worked on together.
 MEMO_WORDS, BLOCK, GROUP_WORDS = 200_000, 8192, 1 << 17
-# Windows of one matrix product: small enough that the library starts no threads for it.
-PRODUCT = 1024
 
 
 def split_word(word: str) -> list[str]:
@@ -126,7 +125,7 @@ class Network:
             own[unknown] = 0
         rows, used = trigram_rows(words)
         n = used.sum(axis=1, keepdims=True).astype(np.float32)
-        chars = (self.p["char"][rows] * used[..., None]).sum(axis=1) / n
+        chars = np.einsum("wkc,wk->wc", self.p["char"][rows], used.astype(np.float32)) / n
         return np.c_[self.p["word"][own], chars], (own, rows, used, n)
 
     def layer(self, d: str, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
@@ -209,14 +208,13 @@ class Network:
         """
         p, h = self.p, HIDDEN
         part = slice(0, h) if d == "f" else slice(h, 2 * h)
-        turn = np.c_[p[f"{d}_zr"], p[f"{d}_n"], p["attend"][part], p["out"][part]].T.copy()
+        turn = np.c_[p[f"{d}_zr"], p[f"{d}_n"] / 2, p["attend"][part], p["out"][part]].T.copy()
         state, told = np.zeros((h, many), np.float32), np.empty((WINDOW, 2, many), np.float32)
         moved, size = np.empty((3 * h + 2, many), np.float32), np.empty((2 * h, many), np.float32)
         gates, new, ends = moved[: 2 * h], moved[2 * h : 3 * h], moved[3 * h :]
         before = None
         for t in range(WINDOW) if d == "f" else range(WINDOW - 1, -1, -1):
-            for at in range(0, many, PRODUCT):
-                np.matmul(turn, state[:, at : at + PRODUCT], out=moved[:, at : at + PRODUCT])
+            np.matmul(turn, state, out=moved)
             if before is not None:
                 told[before] = ends
             gates += x[: 2 * h, t : t + many]
@@ -225,7 +223,6 @@ class Network:
             gates /= size
             gates += 1  # twice the gates
             new *= gates[h:]
-            new *= 0.5
             new += x[2 * h :, t : t + many]
             np.abs(new, out=size[:h])
             size[:h] += 1
@@ -357,7 +354,8 @@ class Scorer:
         self.projected = {d: np.zeros((room, 3 * HIDDEN), np.float32) for d in ("f", "b")}
 
     def ids(self, words: list[str]) -> np.ndarray:
-        new = [w for w in dict.fromkeys(words) if w not in self.row]
+        found = np.fromiter(map(self.row.get, words, repeat(-1)), np.int64, len(words))
+        new = list(dict.fromkeys([words[i] for i in np.flatnonzero(found < 0).tolist()]))
         if new:
             if len(self.row) + len(new) > len(self.projected["f"]):
                 self.clear()
@@ -368,7 +366,8 @@ class Scorer:
                 for d, values in self.net.project(self.net.inputs(part)[0]).items():
                     self.projected[d][base : base + len(part)] = values
                 self.row.update(zip(part, range(base, base + len(part)), strict=True))
-        return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
+            found = np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
+        return found
 
     def scores(self, texts: list[str | None]) -> list[float]:
         """Of each text the score of its worst window; a text without words is one empty window."""
