@@ -22,7 +22,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["spell_correct", "correct", "unmask", "regressions", "m2_pairs", "idle_sessions", "meaning_guard", "word_diff", "model_correct", "m2_files", "bigram_rerank", "analyze_tokens"])
+@pytest.mark.parametrize("name", ["spell_correct", "correct", "unmask", "regressions", "m2_pairs", "idle_sessions", "meaning_guard", "word_diff", "model_correct", "m2_files", "bigram_rerank", "analyze_tokens", "spell_correct_context", "context_fixes"])
 def test_query_equals_sql(spark, duck, name):
     got = entry.queries()[name](spark, DATA)
     want = duck.sql(entry.oracle_sql()[name])

@@ -11,6 +11,7 @@ class SpellConfig:
 
     ``min_suggestion_count`` and ``dominance_ratio`` belong to the scale of the dictionary: the
     defaults fit web-scale counts, a dictionary counted from a small corpus needs smaller ones.
+    ``min_context_count`` is how often a term must follow the word before a use to be put there.
     """
 
     max_edit_distance: int = 2
@@ -21,6 +22,7 @@ class SpellConfig:
     dominance_ratio: float = 20.0
     allcaps_min_len: int = 6
     top_suggestions: int = 6
+    min_context_count: int = 3
 
 
 @dataclass(frozen=True)

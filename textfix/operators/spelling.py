@@ -48,15 +48,21 @@ def autofixes(words: DataFrame, dictionary: DataFrame | DictionaryIndex, cfg: Sp
     return gate(ranked, cfg).where("autofix").select("word", F.col("term").alias("fix"))
 
 
-def _repair(text: Column, fix_of, cfg: SpellConfig) -> Column:
-    """Rewrite a text word by word; ``fix_of`` maps a lower-cased word to its fix or NULL.
+def pieces(text: Column) -> Column:
+    """The words of a text, each with the white space after it; white space at the start is one more."""
+    return F.regexp_extract_all(text, F.lit(PIECE_RE), F.lit(0))
+
+
+def repair(text: Column, fix_of, cfg: SpellConfig) -> Column:
+    """Rewrite a text word by word; ``fix_of`` maps a lower-cased word and the piece before it (NULL at
+    the start) to its fix or NULL.
 
     A piece is a word with the white space after it; the peeled ends keep that space.
     """
 
-    def token(raw: Column) -> Column:
+    def token(raw: Column, before: Column) -> Column:
         def fixed(core: Column) -> Column:
-            fix = F.when(case_allows(core, cfg) & (core != ""), fix_of(F.lower(core)))
+            fix = F.when(case_allows(core, cfg) & (core != ""), fix_of(F.lower(core), before))
             return let(
                 F.struct(fix.alias("fix")),
                 lambda s: F.when(
@@ -72,8 +78,11 @@ def _repair(text: Column, fix_of, cfg: SpellConfig) -> Column:
         short = F.length(raw) < max(cfg.min_token_len, 1)
         return F.when(short, raw).otherwise(let(plain_core(raw), fixed))
 
-    pieces = F.regexp_extract_all(text, F.lit(PIECE_RE), F.lit(0))
-    return F.when(text.isNotNull(), F.array_join(F.transform(pieces, token), ""))
+    def whole(found: Column) -> Column:
+        done = F.transform(found, lambda raw, i: token(raw, F.get(found, i - 1)))
+        return F.array_join(done, "")
+
+    return F.when(text.isNotNull(), let(pieces(text), whole))
 
 
 def spell_correct(
@@ -135,7 +144,7 @@ def apply_fixes(
     uses = materialize(words.join(fixes, "word", "left").select("word", "fix", "n"), "uses")
     joined = df.join(values_of_text(df, uses, "fix", cfg, text, id_cols), id_cols, "left")
     no_fix = F.create_map().cast("map<string,string>")
-    repaired = _repair(F.col(text), lambda w: F.coalesce(F.col("_values"), no_fix)[w], cfg)
+    repaired = repair(F.col(text), lambda w, _: F.coalesce(F.col("_values"), no_fix)[w], cfg)
     return computed_once(joined, out, repaired).drop("_values")
 
 

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from textfix.plans.oracles import (
-    ALL_SENTS, DCORES, DICT, EVAL, FLAT, IS_PLAIN, LANG8_PREP, M2_BLOCKS, M2_PAIRS, NORMED, ORACLES,
-    SENTS, UNKNOWN, VERDICT, WORD_PAIRS, apply_fixes, cores, corrected, hazard, near,
-    norm, sentence_list,
+    ALL_SENTS, DCORES, DICT, EVAL, FIXES, FLAT, IS_PLAIN, LANG8_PREP, M2_BLOCKS, M2_PAIRS, NORMED, ORACLES,
+    PLAIN, RANKED1, SENTS, UNKNOWN, VERDICT, WORD_PAIRS, WORDCLASS, allowed, apply_fixes, cased, cores,
+    corrected, hazard, near, norm, sentence_list,
 )
 
 GRAMS = r"""grams AS (SELECT sid, side, n, gram, count(*) AS k FROM (
@@ -32,6 +32,17 @@ PAIR_EDITS = f"""{WORD_PAIRS}, pe AS (SELECT sid, spot, gone, k, k > 0 AS change
     array_to_string(list_transform(range(k), lambda i: '§'), ' ') AS marks FROM wp)"""
 
 
+# big: neighbours; open_terms: common terms of words without a safe fix; sure: (prev, word, fix) of ctx.
+OPENED = f"""{UNKNOWN}, {near(1)}, {RANKED1}, {FIXES}, seq AS (SELECT list_transform({cores('text')}, lambda c: lower(c)) AS l FROM documents),
+    big AS (SELECT p.prev, p.word, count(*)::BIGINT AS n FROM (SELECT unnest(list_transform(range(1, len(l)),
+        lambda i: {{'prev': l[i], 'word': l[i + 1]}})) AS p FROM seq) GROUP BY ALL),
+    open_terms AS (SELECT word, term, cnt FROM near1 WHERE cnt >= 50 AND word NOT IN (SELECT word FROM fixes))"""
+CHOSEN = """choices AS (SELECT c.prev, c.word, o.term, coalesce(b.n, 0) AS seen, lead(coalesce(b.n, 0)) OVER w AS nxt,
+        row_number() OVER w AS rk FROM ctx c JOIN open_terms o USING (word) LEFT JOIN big b ON b.prev = c.prev AND b.word = o.term
+        WINDOW w AS (PARTITION BY c.prev, c.word ORDER BY coalesce(b.n, 0) DESC, o.cnt DESC, o.term)),
+    sure AS (SELECT prev, word, term AS fix FROM choices WHERE rk = 1 AND seen >= 3 AND seen >= 2 * coalesce(nxt, 0))"""
+
+
 def corrupted(mix: dict[str, float], errors: dict[str, str]) -> str:
     """kinds: (sid, kind) by quotas in hash order, type after type; made: (sid, s, and each error)."""
     made = ", ".join(f"{sql} AS {kind}" for kind, sql in errors.items())
@@ -113,6 +124,18 @@ TRAINING_ORACLES: dict[str, str] = {
         SELECT b.prev, b.word, c.term, coalesce(s.n, 0)::BIGINT AS seen FROM big b JOIN near1 c ON b.word = c.word
         LEFT JOIN big s ON s.prev = b.prev AND s.word = c.term
         QUALIFY row_number() OVER (PARTITION BY b.prev, b.word ORDER BY coalesce(s.n, 0) DESC, c.cnt DESC, c.term) = 1""",
+    "spell_correct_context": rf"""WITH {OPENED}, toks AS (SELECT doc_id, unnest(l) AS tok, generate_subscripts(l, 1) AS pos FROM
+            (SELECT doc_id, regexp_extract_all(text, '\s+|\S+') AS l FROM documents)),
+        cored AS (SELECT *, regexp_extract(tok, '{PLAIN}', 1) AS core FROM toks),
+        told AS (SELECT *, lower(lag(core, 2) OVER (PARTITION BY doc_id ORDER BY pos)) AS prev FROM cored),
+        ctx AS (SELECT DISTINCT prev, lower(core) AS word FROM told WHERE prev <> ''), {CHOSEN},
+        both_ways AS (SELECT t.*, coalesce(f.fix, u.fix) AS fix FROM told t LEFT JOIN fixes f ON lower(core) = f.word
+            AND {allowed('core')} LEFT JOIN sure u ON u.prev = t.prev AND u.word = lower(core) AND {allowed('core')})
+        SELECT doc_id, string_agg(CASE WHEN fix IS NULL THEN tok ELSE regexp_extract(tok, '^[^{WORDCLASS}]*')
+        || {cased('core', 'fix')} || regexp_extract(tok, '[^{WORDCLASS}]*$') END, '' ORDER BY pos) AS spell_corrected
+        FROM both_ways GROUP BY doc_id""",
+    "context_fixes": f"""WITH {OPENED}, ctx AS (SELECT prev, word FROM big), {CHOSEN}
+        SELECT prev, word, n, fix FROM big SEMI JOIN open_terms USING (word) LEFT JOIN sure USING (prev, word)""",
     "top_regressions": f"""WITH {VERDICT} SELECT sid, input, pred AS model_output, gold, round_even(sim_in, 3) AS sim_in,
         round_even(sim_out, 3) AS sim_out FROM vd WHERE verdict = 'regressed' ORDER BY sid LIMIT 5""",
     "scope_in_out": f"""WITH {EVAL} SELECT CASE WHEN bucket LIKE 'CORE%' THEN bucket ELSE 'OUT (out of scope)' END AS bucket,

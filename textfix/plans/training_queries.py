@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textfix.config import CorrectionConfig
 from textfix.functions import text as t
 from textfix.functions.edits import apply_edits, extract_edits
-from textfix.operators import corruption, scoring, spelling, training
+from textfix.operators import context, corruption, scoring, spelling, training
 from textfix.operators.ordering import first_rows
 from textfix.operators.pairs import distinct_pairs, prepare_lang8
 from textfix.plans import correct as job
@@ -159,6 +159,28 @@ def bigram_rerank(spark, sf):
     return training.bigram_rerank(contexts, near, bigrams)
 
 
+@query
+def spell_correct_context(spark, sf):
+    """Spelling of all documents; words with several near terms by the word before each use."""
+    docs = fx.documents(spark, sf)
+    fixed = context.spell_correct_context(
+        docs, fx.dictionary(spark, sf), training.bigram_counts(docs), fx.SPELL, id_cols=["doc_id"]
+    )
+    return fixed.select("doc_id", "spell_corrected")
+
+
+@query
+def context_fixes(spark, sf):
+    """The term chosen for an open word after each word that it follows, NULL where none is sure."""
+    docs = fx.documents(spark, sf)
+    words = materialize(spelling.speller_vocabulary(docs, "text", fx.SPELL), "vocabulary")
+    verdicts = context.use_verdicts(words, fx.dictionary(spark, sf), fx.SPELL)
+    terms = materialize(verdicts.where(F.col("terms").isNotNull()).select("word", "terms"), "open-terms")
+    bigrams = materialize(training.bigram_counts(docs), "bigrams")
+    followed = materialize(bigrams.join(terms.select("word"), "word"), "contexts")
+    return context.context_fixes(followed, terms, bigrams, fx.SPELL)
+
+
 @query
 def top_regressions(spark, sf):
     """The first five regressions by key, as a report shows them."""
