@@ -47,9 +47,16 @@ def _rank(word: str) -> int:
 
 def _cuts(words: list[str]) -> list[int]:
     """The words before which a sentence is cut: of any CUT_WORDS consecutive ones the least by hash."""
-    ranks = np.fromiter(map(_rank, words), np.uint32, len(words))
-    least = np.lib.stride_tricks.sliding_window_view(ranks, CUT_WORDS).argmin(axis=1)
-    return np.unique(least + np.arange(len(least))).tolist()
+    ranks = np.fromiter(map(_rank, words), np.uint64, len(words))
+    # Rank and place in one number: the least of a window has the least rank, the first of equal ones.
+    low = (ranks << np.uint64(32)) | np.arange(len(words), dtype=np.uint64)
+    span = 1
+    while span < CUT_WORDS:  # low[i] becomes the least of the ``span`` numbers from i on
+        step = min(span, CUT_WORDS - span)
+        low = np.minimum(low[:-step], low[step:])
+        span += step
+    places = low & np.uint64(0xFFFFFFFF)  # never falls, as windows move on
+    return places[np.append(True, places[1:] != places[:-1])].tolist()
 
 
 def _cut(text: str) -> tuple[list[str], list[list[str]]]:
