@@ -9,6 +9,7 @@ has occurred before, in an earlier document or earlier in the same one, are remo
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -31,7 +32,8 @@ CUT_WORDS = 8
 SLICE_ROWS = 1000
 # A sentence with the white space after it: up to its end marks or the end of its line.
 _PIECE = regex.compile(r"[^.!?。！？\n]*+(?:[.!?。！？]++[\"'”’»)\]]*+(?=\s|$)|\n|$|[.!?。！？]++)\s*+")
-_WORD = regex.compile(r"[\p{L}\p{N}]++")
+# Letters and digits; a split gives what is between the words and the words in turn.
+_WORD = re.compile(r"([^\W_]+)")
 
 
 def _fold(piece: str) -> str:
@@ -63,21 +65,19 @@ def _cut(text: str) -> tuple[list[str], list[list[str]]]:
     """Pieces that give the text when joined, and the words of each."""
     pieces, found = [], []
     for piece in filter(None, _PIECE.findall(text)):
-        low = _fold(piece)
-        words = _WORD.findall(low)
+        parts = _WORD.split(_fold(piece))
+        words = parts[1::2]
         if len(words) <= WORDS:
             pieces.append(piece)
             found.append(words)
             continue
-        cuts = set(_cuts(words)) - {0}
-        at = begin = first = 0
-        for k, word in enumerate(words):
-            at = low.index(word, at)
-            if k in cuts:
-                pieces.append(piece[begin:at])
+        ends = list(accumulate(map(len, parts)))  # word k begins at ends[2 * k]
+        begin = first = 0
+        for k in _cuts(words):
+            if k:
+                pieces.append(piece[begin : ends[2 * k]])
                 found.append(words[first:k])
-                begin, first = at, k
-            at += len(word)
+                begin, first = ends[2 * k], k
         pieces.append(piece[begin:])
         found.append(words[first:])
     return pieces, found
