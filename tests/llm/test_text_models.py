@@ -311,3 +311,16 @@ def test_keep_good_computes_each_statistic_once(spark):
     assert plan.count("array_distinct") == 2 and plan.count("split(") == once.count("split(")
     want = {r["doc_id"] for r in quality.score(docs, labels).where("predicted = 1").collect()}
     assert {r["doc_id"] for r in kept.collect()} == want and kept.columns == docs.columns
+
+
+def test_cut_words_are_the_least_of_every_window():
+    words = [f"w{i * i % 37}" for i in range(200)]
+    ranks = [spans._rank(w) for w in words]
+    n = spans.CUT_WORDS
+    want = {min(range(k, k + n), key=lambda i: (ranks[i], i)) for k in range(len(words) - n + 1)}
+    assert spans._cuts(words) == sorted(want)
+    text = "-- " + ", ".join(words) + " x_y İ. Short one!  "
+    pieces, found = spans._cut(text)
+    assert "".join(pieces) == text and len(pieces) > 20
+    assert [w for part in found for w in part] == spans._WORD.findall(spans._fold(text))
+    assert all(spans._WORD.findall(spans._fold(p)) == w for p, w in zip(pieces, found, strict=True))
