@@ -151,6 +151,18 @@ def test_divergence_equals_plain_counting(rows, least, top):
     assert sorted(map(tuple, got.collect())) == sorted(divergence_by_hand(DIVERGENT, least, top))
 
 
+def test_pairs_have_one_direction_in_all_spans():
+    heads = [("en", s, None, 1, 2, 0) for s in ("b", "a", "c")]
+    found = []
+    for rows in (heads, heads[::-1]):
+        names = ["lang", "source", "term", "p", "terms", "tile"]
+        types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32()]
+        block = pa.table({n: pa.array(c, t) for n, c, t in zip(names, zip(*rows), types)})
+        done = divergence._compare(tuple(map(pa.scalar, ("en", 0, 0, 0))), block)
+        found.append(sorted(zip(done["a"].to_pylist(), done["b"].to_pylist())))
+    assert found[0] == found[1] == [("a", "b"), ("a", "c"), ("b", "c")]
+
+
 def test_divergence_in_small_tiles_and_slices(rows, monkeypatch):
     monkeypatch.setattr(divergence, "TILE", 2)
     monkeypatch.setattr(divergence, "SPAN", 3)

@@ -236,8 +236,10 @@ def _compare(key: tuple[pa.Scalar, ...], block: pa.Table) -> pa.Table:
     for i, name in enumerate(names):
         others = np.arange(i + 1, len(names)) if low == high else np.flatnonzero(home > home[i])
         if len(others):
-            found["a"] += [name] * len(others)
-            found["b"] += [names[j] for j in others]
+            # The rows of a span come in any order: a pair has one direction in all of them.
+            pairs = [(name, names[j]) if low != high or name < names[j] else (names[j], name) for j in others]
+            found["a"] += [a for a, _ in pairs]
+            found["b"] += [b for _, b in pairs]
             found["value"] += np.abs(shares[others] - shares[i]).sum(axis=1).tolist()
             found["gap"] += np.abs(base[others] - base[i]).tolist()
     size = len(found["a"])
