@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from textfix.functions.distance import deletion_keys, distance_within, edit_distance
+from textfix.functions.distance import deletion_keys, distance_within, edit_distance, may_be_within
 from textfix.operators.fuzzy import fuzzy_candidates
 
 TWO = "a string, b string"
@@ -54,3 +54,22 @@ def test_candidates_against_all_pairs(spark):
 def test_distance_is_native(spark):
     plan = spark.range(1).select(edit_distance(F.lit("ab"), F.col("id").cast("string")))
     assert "Python" not in plan._jdf.queryExecution().toString()
+
+
+def test_candidate_keys_are_not_sent_to_the_driver(spark, tmp_path):
+    """A small file of words gives many keys; what Spark reads off the file says nothing about them."""
+    rows = [(f"word{i}", i) for i in range(50)]
+    spark.createDataFrame(rows, "term string, count long").write.parquet(str(tmp_path / "terms"))
+    terms = spark.read.parquet(str(tmp_path / "terms"))
+    for k in (1, 2):
+        near = fuzzy_candidates(terms.select(F.concat("term", F.lit("x")).alias("word")), terms, k)
+        plan = near._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "Broadcast" not in plan
+
+
+def test_what_is_dropped_before_the_distance_is_too_far(apply):
+    rng = random.Random(3)
+    rows = [tuple("".join(rng.choices("abc", k=rng.randint(0, 7))) for _ in "ab") for _ in range(400)]
+    for k in (0, 1, 2):
+        kept = apply(lambda a, b: may_be_within(a, b, k), rows, TWO)
+        assert all(may for (a, b), may in zip(rows, kept) if brute(a, b) <= k)

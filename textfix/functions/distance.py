@@ -132,6 +132,12 @@ def edit_distance(a: Column, b: Column) -> Column:
     )
 
 
+def may_be_within(a: Column, b: Column, k: int) -> Column:
+    """Necessary for :func:`distance_within`, in plain functions, which Spark compiles."""
+    few = (_foreign(a, b) < k) & (_foreign(b, a) < k)
+    return (F.levenshtein(a, b, k) >= 0) | ((F.levenshtein(a, b, 2 * k) >= 0) & few)
+
+
 def distance_within(a: Column, b: Column, k: int) -> Column:
     """:func:`edit_distance` where it is at most ``k``, else NULL.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textfix.config import SpellConfig
-from textfix.functions.distance import distance_within
+from textfix.functions.distance import distance_within, may_be_within
 from textfix.operators.index import HALF, TWICE, WHOLE, DictionaryIndex, term_keys, word_keys
 from textfix.session import computed_once, materialize
 
@@ -43,14 +43,17 @@ def fuzzy_candidates(
     right = keys.where(F.col("kind").isin(kinds))
     word_col, term = F.col("word"), F.col("term")
     alike = F.bit_count(F.col("letters").bitwiseXOR(F.col("_letters"))) <= 2 * k
+    # Both sides grow by exploding far beyond the size Spark reads off their files, so neither may be
+    # taken for small and sent whole to the driver.
     pairs = (
-        left.drop("kind").join(right.drop("kind"), "key")
+        left.drop("kind").join(right.drop("kind").hint("shuffle_hash"), "key")
         .where((F.abs(F.length(word_col) - F.length(term)) <= k) & alike)
+        .where(may_be_within(word_col, term, k))
         .select("word", "term", "count")
-        .distinct()
     )
+    # Most pairs that share a key are too far apart: only the others are shuffled to drop repeats.
     scored = computed_once(pairs, "distance", distance_within(word_col, term, k))
-    return scored.where(F.col("distance").isNotNull())
+    return scored.where(F.col("distance").isNotNull()).distinct()
 
 
 def rank_candidates(candidates: DataFrame, top: int | None = None) -> DataFrame:
