@@ -58,3 +58,11 @@ def test_most_comparisons_reach_the_udf(spark):
     assert done["udf"] >= 0.5 * 3 * done["n"] and done["long_udf"] > 0
     meant = fixtures.word_pairs(spark, DATA).where(F.col("src") != F.col("tgt"))
     assert meant.where(~F.col("tgt").startswith(F.col("src"))).count() >= 0.5 * meant.count()
+
+
+def test_stream_reads_a_table_in_a_folder(spark, tmp_path):
+    for name in ("conversations", "documents"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").repartition(2).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got, want = (QUERIES["stream_correct"](spark, p).collect() for p in (str(tmp_path), "/root/testdata/sf0.001"))
+    assert got and len(got) == len(want)
+    assert {r["conv_id"] for r in got} == {r["conv_id"] for r in want}
