@@ -121,3 +121,9 @@ def test_bigrams(spark):
     )
     got = rows(tr.bigram_rerank(contexts, near, counts), "prev", "word", "term", "seen")
     assert got == [("a", "ct", "cut", 0), ("the", "ct", "cat", 2)]
+
+
+def test_gleu_counts_grams_where_the_text_lies(spark):
+    df = spark.createDataFrame([(1, "a b a b", "a b a", "a b b a")], "id int, s string, r string, c string")
+    plan = tr.gleu(df, ["id"], "s", "r", "c")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and plan.count("ArrowEvalPython") == 1

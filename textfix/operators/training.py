@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import sys
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textfix.functions.text import let, normalize, plain_cores, word_count, words
+from textfix.functions.text import normalize, plain_cores, word_count, words
 from textfix.operators.lookup import lookup_join
 from textfix.operators.ordering import first_rows
 from textfix.session import materialize
 
+# Executors get the functions below inside the plan and need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed value: the longest n-gram of GLEU.
 GLEU_ORDER = 4
+GLEU_COUNTS = ["c", "r", *[f"_{name}{n}" for n in range(1, GLEU_ORDER + 1) for name in ("hit", "all")]]
 
 
 def decontaminate(
@@ -120,20 +129,23 @@ def f_score(
     )
 
 
-def _grams(text: Column, order: int) -> Column:
-    """All n-grams of up to ``order`` words as STRUCT<n, gram>; a blank joins the words."""
+def _gram_counts(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    """Per text the words of answer and reference, and per length the n-grams that count and all of them."""
 
-    def of_length(tokens: Column, n: int) -> Column:
-        starts = F.size(tokens) - F.lit(n) + 1
-        at = F.when(starts > 0, F.sequence(F.lit(1), F.greatest(starts, F.lit(1)))).otherwise(
-            F.array().cast("array<int>")
-        )
-        gram = lambda i: F.array_join(F.slice(tokens, i, n), " ")
-        return F.transform(at, lambda i: F.struct(F.lit(n).alias("n"), gram(i).alias("gram")))
+    def grams(tokens: list[str], n: int) -> Counter:
+        return Counter(zip(*[tokens[k:] for k in range(n)]))
 
-    lengths = range(1, order + 1)
-    found = words(F.coalesce(text, F.lit("")))
-    return let(found, lambda tokens: F.concat(*[of_length(tokens, n) for n in lengths]))
+    for answers, references, sources in batches:
+        rows = []
+        for c, r, s in zip(answers, references, sources):
+            c, r, s, row = list(c), list(r), list(s), [len(c), len(r)]
+            for n in range(1, GLEU_ORDER + 1):
+                in_c, in_r, in_s = grams(c, n), grams(r, n), grams(s, n)
+                shared = {g: min(k, in_r[g]) for g, k in in_c.items()}
+                row.append(sum(shared[g] - max(min(k, in_s[g]) - shared[g], 0) for g, k in in_c.items()))
+                row.append(max(len(c) - n + 1, 0))
+            rows.append(row)
+        yield pd.DataFrame(rows, columns=GLEU_COUNTS, dtype="int64")
 
 
 def gleu(df: DataFrame, id_cols: list[str], source: str, reference: str, answer: str) -> DataFrame:
@@ -142,26 +154,14 @@ def gleu(df: DataFrame, id_cols: list[str], source: str, reference: str, answer:
     An n-gram shared with the reference counts for the answer; one that the answer shares with the
     source more often than with the reference counts against it by the excess. The score is the
     geometric mean of the four precisions, cut at zero, times the brevity penalty. ``id_cols`` are a
-    key of ``df``; a text's repeated n-grams are counted before the shuffle.
+    key of ``df``: a row is a whole text, its n-grams are counted where it lies, and only sums are shuffled.
     """
-    side = {"c": answer, "r": reference, "s": source}
-    exploded = [
-        df.select(
-            *id_cols, F.explode(_grams(F.col(col), GLEU_ORDER)).alias("g"), F.lit(name).alias("side")
-        )
-        for name, col in side.items()
-    ]
-    grams = reduce(DataFrame.unionByName, exploded).groupBy(*id_cols, "g.n", "g.gram").agg(
-        *[F.count_if(F.col("side") == name).alias(name) for name in side]
-    )
-    shared = F.least("c", "r")
-    excess = F.greatest(F.least("c", "s") - shared, F.lit(0))
-    orders = [F.col("n") == n for n in range(1, GLEU_ORDER + 1)]
-    sums = grams.agg(
-        F.coalesce(F.sum(F.when(orders[0], F.col("c"))), F.lit(0)).alias("c"),
-        F.coalesce(F.sum(F.when(orders[0], F.col("r"))), F.lit(0)).alias("r"),
-        *[F.sum(F.when(at, shared - excess)).alias(f"_hit{n}") for n, at in enumerate(orders, 1)],
-        *[F.sum(F.when(at, F.col("c"))).alias(f"_all{n}") for n, at in enumerate(orders, 1)],
+    count = F.pandas_udf(_gram_counts, ", ".join(f"{c} long" for c in GLEU_COUNTS))
+    sides = [words(F.coalesce(F.col(c), F.lit(""))) for c in (answer, reference, source)]
+    counted = df.select(count(*sides).alias("g"))
+    sums = counted.agg(
+        *[F.coalesce(F.sum(f"g.{c}"), F.lit(0)).alias(c) for c in GLEU_COUNTS[:2]],
+        *[F.sum(f"g.{c}").alias(c) for c in GLEU_COUNTS[2:]],
     )
     names = [f"p{n}" for n in range(1, GLEU_ORDER + 1)]
     found = {
