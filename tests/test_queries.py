@@ -66,3 +66,9 @@ def test_stream_reads_a_table_in_a_folder(spark, tmp_path):
     got, want = (QUERIES["stream_correct"](spark, p).collect() for p in (str(tmp_path), "/root/testdata/sf0.001"))
     assert got and len(got) == len(want)
     assert {r["conv_id"] for r in got} == {r["conv_id"] for r in want}
+
+
+@pytest.mark.parametrize("name, most", [("minimal_edit", 4)])
+def test_texts_are_split_into_words_once(spark, name, most):
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("regexp_extract_all") - plan.count("[^.!?]+[.!?]*") <= most

@@ -121,3 +121,16 @@ def _check_tokens(spark, rows):
 
 def test_tokens_rebuild_random_texts(spark):
     _check_tokens(spark)
+
+
+def test_patterns_of_words_match_as_their_plain_forms(apply):
+    chars = ["a", "b-'", "Zé9", "_.", "(“", "😀ß", "\x00\x7f", "\x80\x84", *text.WS_CHARS, *"    "]
+    texts = ["".join(chars[(i * k + k * k) % len(chars)] for k in range(1, 30)) for i in range(300)]
+    ws, mark = text.WS, f"[^{text.WORD}{text.WS}]*+"
+    plain = {
+        text.WORD_RE: f"[^{ws}]+", text.TOKEN_RE: f"[{ws}]+|[^{ws}]+", text.PIECE_RE: f"[^{ws}]+[{ws}]*+|[{ws}]+",
+        text.PLAIN_CORE_RE: rf"(?<![^{ws}]){mark}({text.PLAIN_BODY}){mark}(?![^{ws}])",
+    }
+    for new, old in plain.items():
+        found = [apply(lambda x: F.regexp_extract_all(x, F.lit(p), F.lit(0)), texts) for p in (new, old)]
+        assert found[0] == found[1] and any(found[0])

@@ -16,6 +16,11 @@ _WS_RANGES = [
 ]
 WS = "".join(rf"\x{{{lo:x}}}-\x{{{hi:x}}}" for lo, hi in _WS_RANGES)
 WS_CHARS = "".join(chr(c) for lo, hi in _WS_RANGES for c in range(lo, hi + 1))
+# A character of a word. Classes of many ranges are slow to match: the parts are tried in turn. So visible
+# ASCII comes first, and single Latin-1 characters, which Java looks up in a table, settle the usual rest.
+NOT_WS = f"[!-~[^{WS}]]"
+WS_TABLE = "".join(rf"\x{ord(c):02x}" for c in WS_CHARS if ord(c) < 256)
+TOKEN_BODY = f"(?:[!-~]++(?:(?![{WS_TABLE}]){NOT_WS}++)?+|(?![{WS_TABLE}]){NOT_WS}++)"
 # A word character, and the brackets, quotes and marks peeled before masking.
 WORD = r"\p{L}\p{N}_"
 OPENERS = "([{\"'“‘"
@@ -35,14 +40,19 @@ NEGATION_CONTRACTIONS = (
     "hadnt aint mustnt neednt wouldve"
 ).split()
 
-TOKEN_RE = f"[{WS}]+|[^{WS}]+"
-PIECE_RE = f"[^{WS}]+[{WS}]*+|[{WS}]+"
-WORD_RE = f"[^{WS}]+"
+TOKEN_RE = f"{TOKEN_BODY}|[{WS}]+"
+PIECE_RE = f"{TOKEN_BODY}[{WS}]*+|[{WS}]+"
+WORD_RE = TOKEN_BODY
 # Possessive groups keep the matcher iterative on very long tokens.
 PLAIN_BODY = r"[A-Za-z]++(?:['\-][A-Za-z]++)*+"
 PLAIN_RE = rf"^{PLAIN_BODY}\z"
+# Marks around a core; letters, digits and white space of Latin-1 are ruled out by table first.
+_NO_MARK = "".join(rf"\x{c:02x}" for c in range(128) if chr(c).isalnum() or chr(c) == "_") + WS_TABLE
+MARKS = f"(?:(?![{_NO_MARK}])[^{WORD}{WS}]++)?+"
 # The core of a token that is a plain word once the marks around it are peeled off.
-PLAIN_CORE_RE = rf"(?<![^{WS}])[^{WORD}{WS}]*+({PLAIN_BODY})[^{WORD}{WS}]*+(?![^{WS}])"
+PLAIN_CORE_RE = (
+    rf"(?:(?<=[{WS_TABLE}])|(?<!{NOT_WS})){MARKS}({PLAIN_BODY}){MARKS}(?:(?=[{WS_TABLE}])|(?!{NOT_WS}))"
+)
 PEEL_RE = rf"(?s)^([^{WORD}]*+)(.*?)([^{WORD}]*)\z"
 DOMAIN_RE = r"^(?:[A-Za-z0-9\-]{2,}+\.)++[A-Za-z]{2,6}\z"
 DIGIT_RE = rf"[\p{{Nd}}{OTHER_DIGITS}]"

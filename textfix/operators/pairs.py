@@ -12,6 +12,7 @@ from textfix.functions.edits import apply_edits
 from textfix.functions.similarity import word_edits
 from textfix.functions.text import WS, strip, word_count, words
 from textfix.operators.ordering import CHUNK_ROWS, first_rows, previous_value
+from textfix.session import computed_once
 
 EDIT_TYPE = "struct<start:int,end:int,seq:bigint,repl:string>"
 # A whole number as the source format allows it: sign, digits, single underscores between digits.
@@ -151,7 +152,8 @@ def minimal_edit(pairs: DataFrame, max_edits: int) -> DataFrame:
     """Keep pairs that change at most ``max_edits`` words; 0 keeps all."""
     if not max_edits:
         return pairs
-    return pairs.where(word_edits(F.col("src"), F.col("tgt")) <= max_edits)
+    counted = computed_once(pairs, "_edits", word_edits(F.col("src"), F.col("tgt")))
+    return counted.where(F.col("_edits") <= max_edits).drop("_edits")
 
 
 def prepare_m2(blocks: DataFrame, keep_identity: bool = False) -> DataFrame:

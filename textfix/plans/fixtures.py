@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textfix.config import CorrectionConfig, SpellConfig
 from textfix.functions.text import sentences, words
 from textfix.operators.dictionary import word_frequencies
-from textfix.session import materialize
+from textfix.session import computed_once, materialize
 
 # The dictionary is counted from the documents, so the thresholds follow its scale.
 SPELL = SpellConfig(min_suggestion_count=50, dominance_ratio=2.0)
@@ -179,9 +179,8 @@ def word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     change = F.coalesce(change, F.lit(False))
     rest = F.slice(w, at + 1 + change.cast("int"), n)
     tgt = F.array_join(F.concat(F.slice(w, F.lit(1), at), F.array_repeat(F.lit(MARK), k), rest), " ")
-    return flat_sentences(spark, sf_dir).withColumn("w", words(src)).select(
-        "sid", src.alias("src"), tgt.alias("tgt")
-    )
+    split = computed_once(flat_sentences(spark, sf_dir), "w", words(src))
+    return computed_once(split, "tgt", tgt).select("sid", src.alias("src"), "tgt")
 
 
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
