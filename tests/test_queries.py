@@ -68,7 +68,7 @@ def test_stream_reads_a_table_in_a_folder(spark, tmp_path):
     assert {r["conv_id"] for r in got} == {r["conv_id"] for r in want}
 
 
-@pytest.mark.parametrize("name, most", [("minimal_edit", 4)])
+@pytest.mark.parametrize("name, most", [("minimal_edit", 4), ("length_cap", 3)])
 def test_texts_are_split_into_words_once(spark, name, most):
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < plan.count("regexp_extract_all") - plan.count("[^.!?]+[.!?]*") <= most

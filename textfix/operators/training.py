@@ -12,10 +12,10 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textfix.functions.text import normalize, plain_cores, word_count, words
+from textfix.functions.text import normalize, plain_cores, words
 from textfix.operators.lookup import lookup_join
 from textfix.operators.ordering import first_rows
-from textfix.session import materialize
+from textfix.session import computed_once, materialize
 
 # Executors get the functions below inside the plan and need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -43,11 +43,11 @@ def decontaminate(
 
 def length_cap(pairs: DataFrame, max_tokens: int = 128) -> DataFrame:
     """Pairs of at most ``max_tokens`` words on either side, white space as single blanks."""
-    src, tgt = F.col("src"), F.col("tgt")
-    short = (word_count(src) <= max_tokens) & (word_count(tgt) <= max_tokens)
-    return pairs.where(short).withColumns(
-        {"src": F.array_join(words(src), " "), "tgt": F.array_join(words(tgt), " ")}
-    )
+    split = computed_once(pairs, "_w", F.struct(words(F.col("src")).alias("src"), words(F.col("tgt")).alias("tgt")))
+    short = (F.size("_w.src") <= max_tokens) & (F.size("_w.tgt") <= max_tokens)
+    return split.where(short).withColumns(
+        {side: F.array_join(f"_w.{side}", " ") for side in ("src", "tgt")}
+    ).drop("_w")
 
 
 def identity_mix(pairs: DataFrame, clean: DataFrame, share: float, text: str = "src") -> DataFrame:
