@@ -72,3 +72,9 @@ def test_stream_reads_a_table_in_a_folder(spark, tmp_path):
 def test_texts_are_split_into_words_once(spark, name, most):
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < plan.count("regexp_extract_all") - plan.count("[^.!?]+[.!?]*") <= most
+
+
+@pytest.mark.parametrize("name", ["lang8_pairs", "m2_blocks"])
+def test_lines_are_split_into_fields_once(spark, name):
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textfix.functions.edits import apply_edits
 from textfix.functions.similarity import word_edits
-from textfix.functions.text import WS, strip, word_count, words
+from textfix.functions.text import WS, let, strip, word_count, words
 from textfix.operators.ordering import CHUNK_ROWS, first_rows, previous_value
 from textfix.session import computed_once
 
@@ -20,32 +20,47 @@ WHOLE_NUMBER_RE = rf"^[{WS}]*[+\-]?[0-9]+(_[0-9]+)*[{WS}]*\z"
 AT_LEAST_ONE_RE = rf"^[{WS}]*\+?[0-9_]*[1-9]"
 
 
-def parse_edit(line: Column, seq: Column, annotator: int = 0) -> Column:
-    """One annotation line as an edit; NULL for no-ops and other annotators."""
-    fields = F.split(F.substr(line, F.lit(3)), r"\|\|\|", -1)
-    span = words(F.get(fields, F.lit(0)))
-    start, end = F.get(span, F.lit(0)).try_cast("int"), F.get(span, F.lit(1)).try_cast("int")
-    wanted = (
-        (F.get(fields, F.lit(1)) != "noop")
-        & (start >= 0)
-        & (strip(F.get(fields, F.lit(5))).try_cast("int") == annotator)
-    )
+def _note(line: Column) -> Column:
+    """Fields of an annotation line, split once: STRUCT<kind, start, end, repl, who>; numbers may be NULL."""
+
+    def read(fields: Column) -> Column:
+        return let(
+            words(F.get(fields, F.lit(0))),
+            lambda span: F.struct(
+                F.get(fields, F.lit(1)).alias("kind"),
+                F.get(span, F.lit(0)).try_cast("int").alias("start"),
+                F.get(span, F.lit(1)).try_cast("int").alias("end"),
+                F.get(fields, F.lit(2)).alias("repl"),
+                strip(F.get(fields, F.lit(5))).try_cast("int").alias("who"),
+            ),
+        )
+
+    return let(F.split(F.substr(line, F.lit(3)), r"\|\|\|", -1), read)
+
+
+def _edit(note: Column, seq: Column, annotator: int) -> Column:
+    wanted = (note["kind"] != "noop") & (note["start"] >= 0) & (note["who"] == annotator)
     return F.when(
         wanted,
         F.struct(
-            start.alias("start"), end.alias("end"), seq.cast("long").alias("seq"),
-            F.get(fields, F.lit(2)).alias("repl"),
+            note["start"].alias("start"), note["end"].alias("end"), seq.cast("long").alias("seq"),
+            note["repl"].alias("repl"),
         ),
     )
 
 
+def _bad(note: Column) -> Column:
+    return note["start"].isNull() | note["end"].isNull() | note["who"].isNull()
+
+
+def parse_edit(line: Column, seq: Column, annotator: int = 0) -> Column:
+    """One annotation line as an edit; NULL for no-ops and other annotators."""
+    return let(_note(line), lambda note: _edit(note, seq, annotator))
+
+
 def is_malformed(line: Column) -> Column:
     """Whether an annotation line lacks a whole number as start, end or annotator."""
-    fields = F.split(F.substr(line, F.lit(3)), r"\|\|\|", -1)
-    span = words(F.get(fields, F.lit(0)))
-    numbers = [F.get(span, F.lit(0)), F.get(span, F.lit(1)), strip(F.get(fields, F.lit(5)))]
-    missing = [n.try_cast("int").isNull() for n in numbers]
-    return reduce(lambda a, b: a | b, missing)
+    return let(_note(line), _bad)
 
 
 def m2_blocks(
@@ -64,68 +79,67 @@ def m2_blocks(
     marked = lines.withColumn("kind", kind).where(F.col("kind").isNotNull())
     event = F.when(F.col("kind") != "A", F.struct(F.col("line_no").alias("at"), "kind"))
     linked = previous_value(marked, "line_no", event, "prev", ["file"], chunk_rows)
-    inside = F.col("prev.kind") == "S"
-    no_edit = F.lit(None).cast(EDIT_TYPE)
-    no_text = F.lit(None).cast("string")
+    # NULL where a line lies in no block.
+    linked = computed_once(
+        linked, "_note", F.when((F.col("kind") == "A") & (F.col("prev.kind") == "S"), _note(line))
+    )
+    note, block = F.col("_note"), F.col("prev.at")
+    noted = computed_once(
+        linked, "_read",
+        F.struct(_edit(note, F.col("line_no"), annotator).alias("edit"), _bad(note).alias("bad")),
+    )
+    no_edit, no_text = F.lit(None).cast(EDIT_TYPE), F.lit(None).cast("string")
 
-    def part(block: Column, src: Column, edit: Column, closer: Column, bad: Column) -> Column:
+    def part(block: Column, src: Column, edit: Column, cut: Column, bad: Column) -> Column:
         return F.struct(
-            block.alias("block"), src.alias("src"), edit.alias("edit"), closer.alias("closer"),
-            bad.alias("bad"),
+            block.alias("block"), src.alias("src"), edit.alias("edit"), cut.alias("cut"), bad.alias("bad"),
         )
 
-    fine = F.lit(False)
-
-    parts = F.array_compact(
-        F.array(
-            F.when(F.col("kind") == "S", part(F.col("line_no"), line, no_edit, no_text, fine)),
-            F.when(
-                (F.col("kind") == "A") & inside,
-                part(
-                    F.col("prev.at"), no_text, parse_edit(line, F.col("line_no"), annotator), no_text,
-                    is_malformed(line),
-                ),
-            ),
-            F.when(
-                (F.col("kind") != "A") & inside,
-                part(F.col("prev.at"), no_text, no_edit, F.col("kind"), fine),
-            ),
-        )
+    fine, edit, bad = F.lit(False), F.col("_read.edit"), F.col("_read.bad")
+    # A block is its sentence; besides go only the lines that change it: edits, bad lines, and a sentence
+    # that comes before a blank line.
+    parts = F.array(
+        F.when(F.col("kind") == "S", part(F.col("line_no"), line, no_edit, fine, fine)),
+        F.when((F.col("kind") == "S") & (F.col("prev.kind") == "S"), part(block, no_text, no_edit, F.lit(True), fine)),
+        F.when(note.isNotNull() & (edit.isNotNull() | bad), part(block, no_text, edit, fine, bad)),
     )
     return (
-        linked.select("file", F.explode(parts).alias("p"))
+        noted.select("file", F.explode(parts).alias("p"))
+        .where(F.col("p").isNotNull())
         .groupBy("file", F.col("p.block").alias("block"))
         .agg(
             F.max("p.src").alias("_src"),
             F.collect_list("p.edit").alias("edits"),
-            F.max("p.closer").alias("_closer"),
+            F.max("p.cut").alias("_cut"),
             F.max("p.bad").alias("broken"),
         )
-        .where(F.col("_closer").isNull() | (F.col("_closer") == "B"))
+        .where(~F.col("_cut"))
         .select("file", "block", words(F.substr("_src", F.lit(3))).alias("src"), "edits", "broken")
     )
 
 
 def blocks_from_text(blocks: DataFrame, annotator: int = 0) -> DataFrame:
     """The same from whole blocks (file, block, value), one ``S`` line each; nothing is shuffled."""
-    lines = F.split("value", r"\r?\n", -1)
-    edits = F.transform(
-        lines, lambda x, i: F.when(x.startswith("A "), parse_edit(x, i, annotator))
-    )
-    first = F.get(F.filter(lines, lambda x: x.startswith("S ")), F.lit(0))
-    return blocks.where(first.isNotNull()).select(
-        "file", "block", words(F.substr(first, F.lit(3))).alias("src"),
+    split = computed_once(blocks, "_lines", F.split("value", r"\r?\n", -1))
+    notes = F.transform("_lines", lambda x: F.when(x.startswith("A "), _note(x)))
+    first = F.get(F.filter("_lines", lambda x: x.startswith("S ")), F.lit(0))
+    read = computed_once(split, "_read", F.struct(notes.alias("notes"), first.alias("first")))
+    edits = F.transform("_read.notes", lambda n, i: F.when(n.isNotNull(), _edit(n, i, annotator)))
+    return read.where(F.col("_read.first").isNotNull()).select(
+        "file", "block", words(F.substr("_read.first", F.lit(3))).alias("src"),
         F.array_compact(edits).alias("edits"),
-        F.exists(lines, lambda x: x.startswith("A ") & is_malformed(x)).alias("broken"),
+        F.exists("_read.notes", lambda n: n.isNotNull() & _bad(n)).alias("broken"),
     )
 
 
 def m2_pairs(blocks: DataFrame) -> DataFrame:
     """Rebuild (file, block, src, tgt) by applying the edits of each block that is not broken."""
-    rebuilt = blocks.where(~F.col("broken")).select("file", "block", "src", apply_edits(F.col("src"), F.col("edits")).alias("t"))
-    return rebuilt.select(
-        "file", "block", F.array_join("src", " ").alias("src"), F.array_join("t", " ").alias("tgt")
+    both = F.struct(
+        F.array_join("src", " ").alias("src"),
+        F.array_join(apply_edits(F.col("src"), F.col("edits")), " ").alias("tgt"),
     )
+    rebuilt = computed_once(blocks.where(~F.col("broken")), "_pair", both)
+    return rebuilt.select("file", "block", "_pair.src", "_pair.tgt")
 
 
 def valid_pairs(pairs: DataFrame, keep_identity: bool = False) -> DataFrame:
@@ -144,8 +158,11 @@ def first_occurrence(pairs: DataFrame, order: str | Column) -> DataFrame:
 
 def length_ratio(pairs: DataFrame, max_ratio: float = 3.0) -> DataFrame:
     """Keep pairs whose word counts differ at most by a factor, both ways, and are not zero."""
-    ls, lt = word_count(F.col("src")), word_count(F.col("tgt"))
-    return pairs.where((ls > 0) & (lt > 0) & (lt <= max_ratio * ls) & (ls <= max_ratio * lt))
+    counts = F.struct(word_count(F.col("src")).alias("s"), word_count(F.col("tgt")).alias("t"))
+    counted = computed_once(pairs, "_n", counts)
+    ls, lt = F.col("_n.s"), F.col("_n.t")
+    kept = counted.where((ls > 0) & (lt > 0) & (lt <= max_ratio * ls) & (ls <= max_ratio * lt))
+    return kept.drop("_n")
 
 
 def minimal_edit(pairs: DataFrame, max_edits: int) -> DataFrame:
@@ -177,10 +194,9 @@ class PrepCounters:
 def prepare_m2_counted(blocks: DataFrame, keep_identity: bool = False) -> tuple[DataFrame, PrepCounters]:
     """:func:`prepare_m2` and its counters, which come with the write of the pairs: no second pass."""
     counters = PrepCounters(Observation(), Observation())
-    rebuilt = blocks.withColumn("_t", F.when(~F.col("broken"), apply_edits(F.col("src"), F.col("edits"))))
-    rebuilt = rebuilt.select(
-        "file", "block", "broken", F.array_join("src", " ").alias("src"), F.array_join("_t", " ").alias("tgt")
-    )
+    made = F.when(~F.col("broken"), apply_edits(F.col("src"), F.col("edits")))
+    both = F.struct(F.array_join("src", " ").alias("src"), F.array_join(made, " ").alias("tgt"))
+    rebuilt = computed_once(blocks, "_pair", both).select("file", "block", "broken", "_pair.src", "_pair.tgt")
     usable = ~F.col("broken") & (strip(F.col("src")) != "") & (strip(F.col("tgt")) != "")
     seen = rebuilt.observe(
         counters.seen,
@@ -230,15 +246,16 @@ def prep_counters(
 
 def entry_columns(lines: DataFrame) -> DataFrame:
     """Learner lines as (line_no, src, tgt, entry); ``entry`` says whether there is a correction."""
-    cols = F.split("line", "\t", -1)
+    split = computed_once(lines, "_cols", F.split("line", "\t", -1))
+    cols = F.col("_cols")
     count = F.get(cols, F.lit(0))
     entry = (F.size(cols) >= 6) & count.rlike(WHOLE_NUMBER_RE) & count.rlike(AT_LEAST_ONE_RE)
-    return lines.select(
-        "line_no",
+    read = F.struct(
         strip(F.get(cols, F.lit(4))).alias("src"),
         strip(F.get(cols, F.lit(5))).alias("tgt"),
         F.coalesce(entry, F.lit(False)).alias("entry"),
     )
+    return computed_once(split, "_e", read).select("line_no", "_e.src", "_e.tgt", "_e.entry")
 
 
 def parse_lang8(lines: DataFrame, keep_identity: bool = False) -> DataFrame:
