@@ -78,3 +78,11 @@ def test_texts_are_split_into_words_once(spark, name, most):
 def test_lines_are_split_into_fields_once(spark, name):
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1
+
+
+def test_halves_of_a_text_are_found_once(spark):
+    rows = fixtures.eval_rows(spark, DATA)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("instr(") == 1
+    short = rows.select("use_case")._jdf.queryExecution().optimizedPlan().toString()
+    assert "instr(" not in short
