@@ -125,3 +125,16 @@ def test_extracted_edits_are_applied(spark):
     for r in back.collect():
         assert r["back"] == " ".join((r["b"] or "").split())
         assert (not r["e"]) == ((r["a"] or "").split() == (r["b"] or "").split())
+
+
+def test_a_text_is_split_once_to_apply_its_edits(spark):
+    df = spark.createDataFrame([("a b c",)], "a string").withColumn("e", e.extract_edits(F.col("a"), F.lit("a x c")))
+    plan = df.select(e.apply_edits(words(F.col("a")), F.col("e")).alias("b"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(a") == 1
+
+
+def test_alignments_of_empty_sides_and_single_words():
+    assert e.common_ends("a b c d".split(), "a x c d".split()) == (1, 2)
+    assert e.common_ends(["a"], ["a", "a"]) == (1, 0) and e.common_ends([], ["a"]) == (0, 0)
+    assert e.align("a b".split(), "a § § b".split()) == [(1, 1, "§ §")] and e.align("a b c".split(), ["a", "c"]) == [(1, 2, "")]
+    assert e.align(["a"], ["b"]) == [(0, 1, "b")] and e.align(["a"], ["a"]) == []

@@ -6,12 +6,12 @@ import sys
 from difflib import SequenceMatcher
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textfix.functions.text import words
+from textfix.functions.text import let, words
 
 # Executors get the functions below inside the plan and need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -29,7 +29,11 @@ def apply_edits(source: Column, edits: Column) -> Column:
     Edits run in (start, end) order, ties in ``seq`` order. An empty or ``-NONE-`` replacement
     deletes. An edit that starts before the end of the one before it moves the read mark back.
     """
+    both = F.struct(source.alias("source"), edits.alias("edits"))
+    return let(both, lambda p: _applied(p["source"], p["edits"]))
 
+
+def _applied(source: Column, edits: Column) -> Column:
     def step(state: Column, edit: Column) -> Column:
         prev = state["prev"]
         kept = F.slice(source, prev + 1, F.greatest(edit["start"] - prev, F.lit(0)))
@@ -90,18 +94,27 @@ def _steps(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
     return found[::-1]
 
 
+def common_ends(a: list[str], b: list[str]) -> tuple[int, int]:
+    """Number of equal words at the start, and of further ones at the end."""
+    low = high = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        low += 1
+    for x, y in zip(reversed(a[low:]), reversed(b[low:])):
+        if x != y:
+            break
+        high += 1
+    return low, high
+
+
 def align(a: list[str], b: list[str]) -> list[tuple[int, int, str]]:
     """Edits (start, end, replacement) that turn the words of ``a`` into those of ``b``.
 
     Neighbouring changes are merged into one edit. Common words at both ends are left out first, which
     keeps the alignment cheapest; what is larger than ``CELLS`` then is cut at its longest matches.
     """
-    low = 0
-    while low < min(len(a), len(b)) and a[low] == b[low]:
-        low += 1
-    high = 0
-    while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
-        high += 1
+    low, high = common_ends(a, b)
     x, y = a[low : len(a) - high], b[low : len(b) - high]
     names: dict[str, int] = {}
     p, q = ([names.setdefault(w, len(names)) for w in side] for side in (x, y))
@@ -111,8 +124,10 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int, str]]:
         blocks = [(i1, i2, j1, j2) for tag, i1, i2, j1, j2 in codes if tag != "equal"]
     changed: list[list[int]] = []
     for i1, i2, j1, j2 in blocks:
-        whole = (i2 - i1 + 1) * (j2 - j1 + 1) > CELLS
-        steps = [(0, i2 - i1, 0, j2 - j1)] if whole else _steps(p[i1:i2], q[j1:j2])
+        n, m = i2 - i1, j2 - j1
+        # Nothing to align where one side is empty, or one word became another.
+        whole = not n or not m or n == m == 1 or (n + 1) * (m + 1) > CELLS
+        steps = [(0, n, 0, m)][: n + m] if whole else _steps(p[i1:i2], q[j1:j2])
         for s, t, u, v in steps:
             if changed and changed[-1][1] == i1 + s and changed[-1][3] == j1 + u:
                 changed[-1][1], changed[-1][3] = i1 + t, j1 + v
@@ -128,15 +143,15 @@ def extract_edits(source: Column, target: Column) -> Column:
     stands for nothing there). NULL counts as empty. Equal texts never reach Python.
     """
 
-    def batch(left: pd.Series, right: pd.Series) -> pd.Series:
+    def batch(left: pa.Array, right: pa.Array) -> pa.Array:
         out = []
-        for a, b in zip(left, right):
-            edits = None if a is None else align(list(a), list(b))
-            out.append(None if edits is None else [
-                {"start": s, "end": e, "seq": k, "repl": r} for k, (s, e, r) in enumerate(edits)
-            ])
-        return pd.Series(out, dtype="object")
+        for a, b in zip(left.to_pylist(), right.to_pylist()):
+            # White space is the same for ``split`` and for ``words``.
+            edits = None if a is None else align(a.split(), b.split())
+            out.append(None if edits is None else [(s, e, k, r) for k, (s, e, r) in enumerate(edits)])
+        edit = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("seq", pa.int32()), ("repl", pa.string())])
+        return pa.array(out, pa.list_(edit))
 
     a, b = F.coalesce(source, F.lit("")), F.coalesce(target, F.lit(""))
-    found = F.pandas_udf(batch, EDITS_TYPE)(F.when(a != b, words(a)), F.when(a != b, words(b)))
+    found = F.arrow_udf(batch, EDITS_TYPE)(F.when(a != b, a), F.when(a != b, b))
     return F.coalesce(found, F.array().cast(EDITS_TYPE))
