@@ -127,3 +127,11 @@ def test_gleu_counts_grams_where_the_text_lies(spark):
     df = spark.createDataFrame([(1, "a b a b", "a b a", "a b b a")], "id int, s string, r string, c string")
     plan = tr.gleu(df, ["id"], "s", "r", "c")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_a_text_is_searched_once_for_its_neighbours(spark):
+    texts = spark.createDataFrame([("The cat, the CAT the",), ("alone",), ("",), (None,), ("1 2",)], "text string")
+    counts = tr.bigram_counts(texts)
+    assert rows(counts, "prev", "word", "n") == [("cat", "the", 2), ("the", "cat", 2)]
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1

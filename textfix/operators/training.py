@@ -189,11 +189,15 @@ def name_policy(uses: DataFrame, names: DataFrame) -> DataFrame:
 
 def bigram_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     """Neighbouring plain words of a text, lower-cased: (prev, word, n)."""
-    cores = F.transform(plain_cores(F.col(text)), F.lower)
+    cores = F.col("_cores")
     follows = F.slice(cores, 2, F.greatest(F.size(cores) - 1, F.lit(0)))
-    short = F.slice(cores, 1, F.greatest(F.size(cores) - 1, F.lit(0)))
-    both = texts.select(F.explode(F.arrays_zip(short.alias("prev"), follows.alias("word"))).alias("b"))
-    return both.groupBy("b.prev", "b.word").agg(F.count(F.lit(1)).alias("n"))
+    listed = computed_once(texts.select(F.col(text).alias("_text")), "_cores", plain_cores(F.col("_text")))
+    both = listed.select(F.explode(F.arrays_zip(cores.alias("prev"), follows.alias("word"))).alias("b"))
+    # The last word has none after it.
+    pairs = both.where(F.col("b.word").isNotNull())
+    return pairs.groupBy(F.lower("b.prev").alias("prev"), F.lower("b.word").alias("word")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
 
 
 def bigram_rerank(contexts: DataFrame, candidates: DataFrame, bigrams: DataFrame) -> DataFrame:
