@@ -152,8 +152,8 @@ def gazetteer(spark, sf):
 @query
 def bigram_rerank(spark, sf):
     """The best dictionary term for every unknown word, by the word before it."""
-    bigrams = training.bigram_counts(fx.documents(spark, sf))
-    near = _candidates(spark, sf, 1)
+    bigrams = materialize(training.bigram_counts(fx.documents(spark, sf)), "bigrams")
+    near = materialize(_candidates(spark, sf, 1), "near")
     unknown = near.select("word").distinct()
     contexts = bigrams.join(unknown, "word").select("prev", "word")
     return training.bigram_rerank(contexts, near, bigrams)
