@@ -130,3 +130,28 @@ def test_several_answers_against_one_text(spark):
     for r in got.collect():
         want = [SequenceMatcher(None, r[c] or "", r["gold"] or "").ratio() for c in ("x", "y", "z")]
         assert [r["rx"], r["ry"], r["rz"]] == want
+
+
+def test_new_words_as_difflib_matches():
+    rng = random.Random(11)
+    for size, letters in ((8, "ab"), (12, "abcdefgh"), (30, "abcdefghijklmnopqrst"), (260, "abcdefghijklmnopqrstuvwxyz0123456789")):
+        for _ in range(1500):
+            a = [rng.choice(letters) for _ in range(rng.randrange(size))]
+            b = list(a)
+            for _ in range(rng.choice((1, 1, 1, 2))):
+                k = rng.randrange(len(b) + 1)
+                b[k : k + rng.randrange(3)] = [rng.choice(letters + "§§§§") for _ in range(rng.randrange(4))]
+            for x, y in ((a, b), (b, a)):
+                blocks = SequenceMatcher(None, x, y).get_matching_blocks()
+                kept = {j for _, start, n in blocks for j in range(start, start + n)}
+                assert s._new_words(x, y) == [j not in kept for j in range(len(y))]
+
+
+def test_usual_changes_need_no_matcher(monkeypatch):
+    monkeypatch.delattr(s, "SequenceMatcher")
+    for a, b, new in (
+        ("the cat the dog", "the cat § the dog", [3]), ("a b c", "a x c", [2]), ("a b " * 150, "a b " * 150 + "a", [301]),
+        ("a b c", "b c", []), ("", "a", [1]),
+    ):
+        flags = s._new_words(a.split(), b.split())
+        assert [i + 1 for i, f in enumerate(flags) if f] == new

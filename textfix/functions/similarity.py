@@ -12,10 +12,12 @@ from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textfix.functions.edits import common_ends
 from textfix.functions.text import let, negation_count, words
 from textfix.session import computed_once
 
@@ -143,10 +145,46 @@ def _edit_count(a: list[str], b: list[str]) -> int:
     return edits
 
 
-def _flagged(a: list[str], b: list[str]) -> list[dict]:
-    matcher = SequenceMatcher(None, [w.lower() for w in a], [w.lower() for w in b])
-    kept = {j for _, start, size in matcher.get_matching_blocks() for j in range(start, start + size)}
-    return [{"t": w, "c": j not in kept} for j, w in enumerate(b)]
+def _lowered(text: str) -> list[str]:
+    """The words of a text, each in lower case. White space is the same for ``split`` and for ``words``."""
+    return text.lower().split() if text.isascii() else [w.lower() for w in text.split()]
+
+
+def _new_words(a: list[str], b: list[str]) -> list[bool]:
+    """Which words of ``b`` lie in none of the matching blocks that ``difflib`` finds.
+
+    Between common ends ``P`` and ``S`` the sides differ by the words ``x`` and ``y``. If one side is a
+    start of the other, it is the block. If no word of ``x`` is in ``b`` and none of ``y`` in ``a``, no run
+    is longer than the longer end, and one as long goes over the place where ``x`` or ``y`` is missing: the
+    first such run is ``P``, unless ``S`` is longer and also begins earlier. So the blocks are ``P`` and ``S``.
+    """
+    low, high = common_ends(a, b)
+    x, y = a[low : len(a) - high], b[low : len(b) - high]
+    known = not high and not (x and y)
+    if not known and len(b) < AUTOJUNK_LENGTH:
+        known = set(x).isdisjoint(b) and set(y).isdisjoint(a)
+        if known and low < high and not (x and y):
+            joined, end = (b, b[low:]) if x else (a, a[low:])
+            known = not any(joined[i : i + high] == end for i in range(low))
+    if known:
+        return [False] * low + [True] * len(y) + [False] * high
+    new = [True] * len(b)
+    for _, start, size in SequenceMatcher(None, a, b).get_matching_blocks():
+        new[start : start + size] = [False] * size
+    return new
+
+
+def _flagged(before: pa.Array, after: pa.Array) -> pa.Array:
+    """The words of each new text and whether they are new; NULL where a text is NULL."""
+    ends, missing, found, new = [0], [], [], []
+    for a, b in zip(before.to_pylist(), after.to_pylist()):
+        missing.append(a is None or b is None)
+        if not missing[-1]:
+            found += b.split()
+            new += _new_words(_lowered(a), _lowered(b))
+        ends.append(len(found))
+    flags = pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(new, pa.bool_())], ["t", "c"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flags, mask=pa.array(missing, pa.bool_()))
 
 
 def _pairwise(fn, returns: str):
@@ -251,11 +289,13 @@ def word_edits(source: Column, target: Column) -> Column:
 
 def word_diff(before: Column, after: Column) -> Column:
     """Words of the new text, flagged where they are not matched in the old one, case aside."""
-    udf = _pairwise(_flagged, DIFF_TYPE)
+    def batch(left: pa.Array, right: pa.Array) -> pa.Array:
+        return _flagged(left, right)
+
     differ = F.lower(before) != F.lower(after)
     plain = F.transform(words(after), lambda w: F.struct(w.alias("t"), F.lit(False).alias("c")))
     return F.when(F.lower(before) == F.lower(after), plain).otherwise(
-        udf(F.when(differ, words(before)), F.when(differ, words(after)))
+        F.arrow_udf(batch, DIFF_TYPE)(F.when(differ, before), F.when(differ, after))
     )
 
 
