@@ -135,3 +135,16 @@ def test_a_text_is_searched_once_for_its_neighbours(spark):
     assert rows(counts, "prev", "word", "n") == [("cat", "the", 2), ("the", "cat", 2)]
     plan = counts._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
+
+
+def test_identity_mix_makes_its_pairs_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            calls.add(len(batch))
+            yield batch
+
+    pairs = spark.range(40).selectExpr("concat('s', id) AS src", "'t' AS tgt").mapInPandas(seen, "src string, tgt string")
+    clean = spark.range(40).selectExpr("concat('c', id) AS src")
+    assert tr.identity_mix(pairs, clean, 0.5).count() == 80 and calls.value == 40

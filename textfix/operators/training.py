@@ -58,7 +58,8 @@ def identity_mix(pairs: DataFrame, clean: DataFrame, share: float, text: str = "
     """
     if not 0 <= share < 1:
         raise ValueError(f"share must lie in [0, 1), not {share}")
-    pairs = pairs.select("src", "tgt")
+    # Counted first and taken afterwards.
+    pairs = materialize(pairs.select("src", "tgt"), "pairs")
     texts = clean.select(F.col(text).alias("src")).where(F.col("src").isNotNull()).distinct()
     wanted = round(pairs.count() * share / (1 - share))
     ordered = texts.withColumn("_order", F.struct(F.md5(F.encode("src", "utf-8")), "src"))
