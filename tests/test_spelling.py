@@ -1,7 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from textfix.config import SpellConfig
+from textfix.functions.text import plain_core
+from textfix.operators import spelling
 from textfix.operators.dictionary import merge_dictionaries, unknown_words, word_frequencies
 from textfix.operators.spelling import (
     analyze,
@@ -126,3 +130,24 @@ def test_dictionaries(spark):
     words = spark.createDataFrame([("demra",), ("raghu",)], "word string")
     allowed = merge_dictionaries(own, extra)
     assert [r["word"] for r in unknown_words(words, allowed).collect()] == ["raghu"]
+
+
+def test_cores_of_all_pieces_by_one_search(spark):
+    rng = random.Random(3)
+    bits = ["a", "Don't", "x-y", "'", "-", "«", "»", ",", "(", "_", "1", "é", " ", "  ", "\n", "\u00a0", "\u2003", "§", "😀", "-a"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(14))) for _ in range(600)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    cores = F.transform(spelling.pieces(F.col("text")), plain_core)
+    rows = df.select(spelling.piece_cores(F.col("text")).alias("got"), cores.alias("want")).collect()
+    assert len(rows) == 600 and all(r["got"] == r["want"] for r in rows)
+    assert sum(c != "" for r in rows for c in r["want"]) > 200
+
+
+def test_texts_without_a_fix_stay_as_they_are(spark):
+    df = spark.createDataFrame([(1, "teh cat", {"teh": "the"}), (2, "teh cat", None)], "id int, text string, _values map<string,string>")
+    words = spark.createDataFrame([("teh", 1), ("cat", 1)], "word string, n long")
+    fixes = spark.createDataFrame([("teh", "the")], "word string, fix string")
+    done = spelling.apply_fixes(df.drop("_values"), words, fixes, SpellConfig(), id_cols=["id"])
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN isnull(_values" in plan
+    assert {r["spell_corrected"] for r in done.collect()} == {"the cat"}

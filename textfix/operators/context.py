@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textfix.config import SpellConfig
-from textfix.functions.text import case_allows, plain_core
+from textfix.functions.text import case_allows, let
 from textfix.operators.dictionary import unknown_words
 from textfix.operators.fuzzy import fuzzy_candidates, gate, rank_candidates
 from textfix.operators.index import DictionaryIndex, terms_of
 from textfix.operators.lookup import lookup_join
-from textfix.operators.spelling import pieces, repair, speller_vocabulary, values_of_text
+from textfix.operators.spelling import piece_cores, repair, speller_vocabulary, values_of_text
 from textfix.session import computed_once, materialize
 
 
@@ -67,24 +67,22 @@ def context_fixes(
     return per_use.select("prev", "word", "n", F.when(sure, best["term"]).alias("fix"))
 
 
-def _before(piece: Column) -> Column:
-    """The word of the piece before a use, lower-cased; empty if there is none or no plain word."""
-    return F.lower(F.coalesce(plain_core(piece), F.lit("")))
-
-
 def _open_uses(text: Column, cfg: SpellConfig) -> Column:
     """Distinct (prev, word) of the uses that ``_values`` leaves open and that follow a plain word."""
-    cores = F.transform(pieces(text), plain_core)
-    before = F.concat(F.array(F.lit("")), cores)
-    pairs = F.arrays_zip(cores.alias("core"), F.slice(before, 1, F.size(cores)).alias("before"))
-    opened = F.filter(
-        pairs,
-        lambda p: (p["before"] != "")
-        & case_allows(p["core"], cfg)
-        & F.coalesce(F.col("_values")[F.lower(p["core"])]["open"], F.lit(False)),
-    )
+
+    def opened(cores: Column) -> Column:
+        before = F.concat(F.array(F.lit("")), cores)
+        pairs = F.arrays_zip(cores.alias("core"), F.slice(before, 1, F.size(cores)).alias("before"))
+        return F.filter(
+            pairs,
+            lambda p: (p["before"] != "")
+            & case_allows(p["core"], cfg)
+            & F.coalesce(F.col("_values")[F.lower(p["core"])]["open"], F.lit(False)),
+        )
+
     lowered = F.transform(
-        opened, lambda p: F.struct(F.lower(p["before"]).alias("prev"), F.lower(p["core"]).alias("word"))
+        let(piece_cores(text), opened),
+        lambda p: F.struct(F.lower(p["before"]).alias("prev"), F.lower(p["core"]).alias("word")),
     )
     return F.array_distinct(lowered)
 
@@ -141,8 +139,10 @@ def spell_correct_context(
     )
 
     def fix_of(word: Column, before: Column) -> Column:
-        context = F.concat_ws(" ", _before(before), word)
+        context = F.concat_ws(" ", F.lower(F.coalesce(before, F.lit(""))), word)
         by_use = F.when(F.col("_contexts").isNotNull(), F.col("_contexts")[context])
-        return F.when(F.col("_values").isNotNull(), F.coalesce(F.col("_values")[word]["fix"], by_use))
+        return F.coalesce(F.col("_values")[word]["fix"], by_use)
 
-    return computed_once(both, out, repair(F.col(text), fix_of, cfg)).drop("_values", "_contexts")
+    # Texts without a word that has a fix or is open stay as they are.
+    done = F.when(F.col("_values").isNull(), F.col(text)).otherwise(repair(F.col(text), fix_of, cfg))
+    return computed_once(both, out, done).drop("_values", "_contexts")
