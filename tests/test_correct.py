@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from textfix.config import CorrectionConfig, SpellConfig
+from textfix.operators.lookup import lookup_join
+from textfix.plans import correct as job
 from textfix.plans.correct import batch_corrector, correct, example_report, grammar_cards, identity, review
 from textfix.streaming.chunks import idle_chunks, idle_chunks_stream
 from textfix.streaming.correct import stream_correct
@@ -175,3 +177,13 @@ def test_scratch_tables_go_with_their_block(spark, tmp_path):
         assert gone.count() == 5
     path = gone.inputFiles()[0].removeprefix("file:")
     assert not os.path.exists(os.path.dirname(path)) and kept.count() == 3
+
+
+def test_lost_words_are_found_as_the_texts_are_written(spark, monkeypatch):
+    left = []
+    monkeypatch.setattr(job, "lookup_join", lambda words, *args: left.append(words) or lookup_join(words, *args))
+    rows = spark.createDataFrame([(1, "Quux likes cats very much"), (2, "cats like cats")], "id long, text string")
+    terms = spark.createDataFrame([("cats", 10), ("like", 10)], "term string, count long")
+    done = correct(rows, terms, lambda m: F.replace(m, F.lit("Quux "), F.lit("")), CFG, id_cols=["id"])
+    assert {r["id"]: r["correction"]["meaning_guarded"] for r in done.collect()} == {1: True, 2: False}
+    assert len(left) == 1 and "regexp" not in left[0]._jdf.queryExecution().optimizedPlan().toString()
