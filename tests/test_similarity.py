@@ -155,3 +155,17 @@ def test_usual_changes_need_no_matcher(monkeypatch):
     ):
         flags = s._new_words(a.split(), b.split())
         assert [i + 1 for i, f in enumerate(flags) if f] == new
+
+
+def test_ratio_of_texts_with_common_ends(monkeypatch):
+    rng = random.Random(12)
+    for size, letters in ((6, "ab"), (12, "abcdef"), (40, "abcdefghijklmnopqrst .")):
+        for _ in range(3000):
+            a = "".join(rng.choice(letters) for _ in range(rng.randrange(size)))
+            k = rng.randrange(len(a) + 1)
+            b = a[:k] + "".join(rng.choice(letters + "!!!") for _ in range(rng.randrange(3))) + a[k + rng.randrange(3) :]
+            for x, y in ((a, b), (b, a)):
+                for junk in (True, False):
+                    assert s.Matcher(y, junk).ratio(x) == SequenceMatcher(None, x, y, junk).ratio()
+    monkeypatch.delattr(s.Matcher, "_longest")
+    assert s.Matcher("The cat sat!").ratio("The cat sat.") == 22 / 24
