@@ -73,3 +73,11 @@ def test_what_is_dropped_before_the_distance_is_too_far(apply):
     for k in (0, 1, 2):
         kept = apply(lambda a, b: may_be_within(a, b, k), rows, TWO)
         assert all(may for (a, b), may in zip(rows, kept) if brute(a, b) <= k)
+
+
+def test_candidates_count_plain_edits_once(spark):
+    rows = [(f"word{i}", i) for i in range(50)]
+    terms = spark.createDataFrame(rows, "term string, count long")
+    near = fuzzy_candidates(terms.select(F.concat("term", F.lit("x")).alias("word")), terms, 2)
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("levenshtein(word") == 1

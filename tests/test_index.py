@@ -93,3 +93,26 @@ def test_empty_dictionary_and_words(spark):
     some = spark.createDataFrame([("ab",), ("",), (None,)], "word string")
     for given in (none, ix.dictionary_index(none)):
         assert fuzzy_candidates(some, given, 2).collect() == []
+
+
+def test_a_half_common_to_many_terms_does_not_meet_all_of_them(spark):
+    """Endings such as -ation are common, so only the longest terms are found by their halves."""
+    rng = random.Random(5)
+    made = sorted({"".join(rng.choice("abcdefgh") for _ in range(6)) + "ation" for _ in range(500)})
+    terms, found = made[::2] + ["x" * 40], [edited(t, rng) for t in made[1::2]] + ["x" * 38]
+    dictionary = spark.createDataFrame([(t, 1) for t in terms], "term string, count long")
+    vocabulary = spark.createDataFrame([(w,) for w in sorted(set(found))], "word string")
+    longest, halves_from = ix.sizes(dictionary)
+    assert (longest, halves_from) == (40, 12)
+    left = ix.word_keys(vocabulary, 2, longest, halves_from=halves_from)
+    right = ix.term_keys(dictionary, 2, halves_from).select("kind", "key", "term")
+    assert left.join(right, ["kind", "key"]).count() < len(terms) * len(set(found)) / 10
+    want = sorted((w, t, 1, osa(w, t)) for w in set(found) for t in terms if osa(w, t) <= 2)
+    assert sorted(map(tuple, fuzzy_candidates(vocabulary, dictionary, 2).collect())) == want
+
+
+def test_few_long_terms_are_found_by_halves(spark):
+    sizes = lambda *words: ix.sizes(spark.createDataFrame([(w, 1) for w in words], "term string, count long"))
+    assert sizes("") == (0, ix.HALVES_FROM) and sizes("a" * 12, "b") == (12, ix.HALVES_FROM)
+    many = ["".join(chr(97 + i // 26 ** k % 26) for k in range(30)) for i in range(ix.HALVES_FOR + 1)]
+    assert sizes(*many, "a") == (30, ix.TWICE_TO + 1)

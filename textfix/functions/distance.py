@@ -70,19 +70,18 @@ def _foreign(a: Column, b: Column) -> Column:
     return F.length(F.call_function("translate", a, b, F.lit("")))
 
 
-def _swap_helps(a: Column, b: Column, k: int) -> Column:
-    """Can ``b`` be reached by a swap of neighbours in ``a`` and ``k - 1`` more edits?
-
-    Necessary: fewer than ``k`` characters are foreign to the other word, and some swap leaves at
-    most ``2 * (k - 1)`` plain edits.
-    """
-    few = (_foreign(a, b) < k) & (_foreign(b, a) < k)
-    return few & F.exists(
-        places(F.lit(1), F.length(a) - 1),
-        lambda i: F.levenshtein(_swapped(a, i), b, 2 * (k - 1)) >= 0,
+def _some_swap(a: Column, b: Column, limit: int) -> Column:
+    """Does a swap of neighbours in ``a`` leave at most ``limit`` plain edits to ``b``?"""
+    return F.exists(
+        places(F.lit(1), F.length(a) - 1), lambda i: F.levenshtein(_swapped(a, i), b, limit) >= 0
     )
 
 
+def apart(a: Column, b: Column) -> Column:
+    """At least so many of the edits between the words are no swaps, which keep the characters."""
+    return F.greatest(_foreign(a, b), _foreign(b, a))
+
+
 def edit_distance(a: Column, b: Column) -> Column:
     """Insertions, deletions, substitutions and swaps of neighbours, each character used once."""
 
@@ -132,23 +131,47 @@ def edit_distance(a: Column, b: Column) -> Column:
     )
 
 
-def may_be_within(a: Column, b: Column, k: int) -> Column:
-    """Necessary for :func:`distance_within`, in plain functions, which Spark compiles."""
-    few = (_foreign(a, b) < k) & (_foreign(b, a) < k)
-    return (F.levenshtein(a, b, k) >= 0) | ((F.levenshtein(a, b, 2 * k) >= 0) & few)
+def plain_edits(a: Column, b: Column, k: int) -> Column:
+    """Insertions, deletions and substitutions, -1 above what :func:`distance_within` ``k`` allows."""
+    return F.levenshtein(a, b, 2 * k)
 
 
-def distance_within(a: Column, b: Column, k: int) -> Column:
-    """:func:`edit_distance` where it is at most ``k``, else NULL.
+def may_be_within(
+    a: Column, b: Column, k: int, plain: Column | None = None, differ: Column | None = None
+) -> Column:
+    """Necessary for :func:`distance_within`, in plain functions, which Spark compiles.
+
+    A swap is two plain edits at most, so above ``k`` of them all but ``2 * k - plain`` edits are swaps.
+    ``plain`` is :func:`plain_edits` and ``differ`` at most :func:`apart`, where they are known.
+    """
+    plain = plain_edits(a, b, k) if plain is None else plain
+    differ = apart(a, b) if differ is None else differ
+    return (plain >= 0) & ((plain <= k) | (differ <= 2 * k - plain))
 
-    A swap costs two plain edits, so ``levenshtein <= 2k`` is necessary. Above ``k`` plain edits some
-    swap has to bring the words nearer; the few pairs where one does need the table.
+
+def near_distance(a: Column, b: Column, plain: Column, differ: Column, k: int) -> Column:
+    """:func:`edit_distance` where it is at most ``k``, else more than ``k`` or NULL.
+
+    Above ``k`` plain edits some swap has to bring the words nearer; the few pairs where one does need
+    the table. If one edit is no swap, that swap saves one plain edit more.
     """
-    plain = F.levenshtein(a, b, 2 * k)
-    near = (
+    rest = 2 * (k - 1)
+    swap = F.lit(False)
+    if k > 0:
+        swap = (differ <= 2 * k - plain) & F.when(differ == 0, _some_swap(a, b, rest)).otherwise(
+            _some_swap(a, b, rest - 1) if k > 1 else F.lit(False)
+        )
+    one_swap = (plain == 2) & (differ == 0) & (F.length(a) == F.length(b))
+    return (
         F.when(plain.between(0, 1), plain)
-        .when((plain == 2) & (F.length(a) == F.length(b)) & _swap_helps(a, b, 1), F.lit(1))
+        .when(one_swap & _some_swap(a, b, 0), F.lit(1))
         .when(plain == 2, F.lit(2))
-        .when((plain > 2) & ((plain <= k) | _swap_helps(a, b, max(k, 1))), edit_distance(a, b))
+        .when((plain > 2) & ((plain <= k) | swap), edit_distance(a, b))
     )
-    return let(F.struct(near.alias("d")), lambda s: F.when(s["d"] <= k, s["d"]))
+
+
+def distance_within(a: Column, b: Column, k: int) -> Column:
+    """:func:`edit_distance` where it is at most ``k``, else NULL."""
+    found = F.struct(plain_edits(a, b, k).alias("plain"), apart(a, b).alias("differ"))
+    near = let(found, lambda f: F.struct(near_distance(a, b, f["plain"], f["differ"], k).alias("d")))
+    return let(near, lambda s: F.when(s["d"] <= k, s["d"]))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textfix.config import SpellConfig
-from textfix.functions.distance import distance_within, may_be_within
-from textfix.operators.index import HALF, TWICE, WHOLE, DictionaryIndex, term_keys, word_keys
+from textfix.functions.distance import may_be_within, near_distance, plain_edits
+from textfix.operators.index import HALF, TWICE, WHOLE, DictionaryIndex, sizes, term_keys, word_keys
 from textfix.session import computed_once, materialize
 
 
@@ -18,17 +18,17 @@ def fuzzy_candidates(
 
     Words within ``k`` edits share a key, so an equi-join on hashed keys finds every pair and the
     distance test removes the rest: strings left after ``k`` deletions, and halves with one deletion
-    for long terms at two edits. Pairs whose letters differ too much are dropped before they are
+    for the longest terms at two edits. Pairs whose letters differ too much are dropped before they are
     compared. Words too long for any term are dropped first; they have no candidate. An index of the
     dictionary is only read; without one the keys of the terms are made in the plan.
     """
     if isinstance(dictionary, DictionaryIndex):
         if k > dictionary.k:
             raise ValueError(f"the index serves {dictionary.k} edits, not {k}")
-        longest, keys = dictionary.longest, dictionary.keys
+        longest, halves_from, keys = dictionary.longest, dictionary.halves_from, dictionary.keys
     else:
-        longest = dictionary.agg(F.max(F.length("term"))).first()[0] or 0
-        keys = term_keys(dictionary, k)
+        longest, halves_from = sizes(dictionary)
+        keys = term_keys(dictionary, k, halves_from)
     # Words are few bytes but much work: one task per shuffle partition, whatever their size.
     tasks = int(vocabulary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = (
@@ -39,21 +39,25 @@ def fuzzy_candidates(
     if k > 1:  # read for keys of whole words and of halves
         words = materialize(words, "unknown")
     kinds = [WHOLE] if k < 2 else [TWICE, HALF]
-    left = word_keys(words, k, longest).withColumnRenamed("letters", "_letters")
+    left = word_keys(words, k, longest, halves_from=halves_from).withColumnRenamed("letters", "_letters")
     right = keys.where(F.col("kind").isin(kinds))
     word_col, term = F.col("word"), F.col("term")
-    alike = F.bit_count(F.col("letters").bitwiseXOR(F.col("_letters"))) <= 2 * k
+    both = F.col("letters").bitwiseAND(F.col("_letters"))
+    differ = F.greatest(*(F.bit_count(F.col(c).bitwiseXOR(both)) for c in ("letters", "_letters")))
     # Both sides grow by exploding far beyond the size Spark reads off their files, so neither may be
     # taken for small and sent whole to the driver.
     pairs = (
         left.drop("kind").join(right.drop("kind").hint("shuffle_hash"), "key")
-        .where((F.abs(F.length(word_col) - F.length(term)) <= k) & alike)
-        .where(may_be_within(word_col, term, k))
-        .select("word", "term", "count")
+        .where((F.abs(F.length(word_col) - F.length(term)) <= k) & (differ <= k))
+        .select("word", "term", "count", differ.alias("_differ"))
     )
-    # Most pairs that share a key are too far apart: only the others are shuffled to drop repeats.
-    scored = computed_once(pairs, "distance", distance_within(word_col, term, k))
-    return scored.where(F.col("distance").isNotNull()).distinct()
+    # Most pairs that share a key are too far apart, and few need more than their plain edits, which are
+    # counted once. Only the near ones are shuffled to drop repeats.
+    pairs = computed_once(pairs, "_plain", plain_edits(word_col, term, k))
+    known = F.col("_plain"), F.col("_differ")
+    near = pairs.where(may_be_within(word_col, term, k, *known))
+    scored = computed_once(near, "distance", near_distance(word_col, term, *known, k))
+    return scored.where(F.col("distance") <= k).select("word", "term", "count", "distance").distinct()
 
 
 def rank_candidates(candidates: DataFrame, top: int | None = None) -> DataFrame:
