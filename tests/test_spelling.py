@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textfix.config import SpellConfig
-from textfix.functions.text import plain_core
+from textfix.functions.text import is_space, peel, plain_core
 from textfix.operators import spelling
 from textfix.operators.dictionary import merge_dictionaries, unknown_words, word_frequencies
 from textfix.operators.spelling import (
@@ -151,3 +151,28 @@ def test_texts_without_a_fix_stay_as_they_are(spark):
     plan = done._jdf.queryExecution().optimizedPlan().toString()
     assert "CASE WHEN isnull(_values" in plan
     assert {r["spell_corrected"] for r in done.collect()} == {"the cat"}
+
+
+def test_words_of_a_long_text_are_searched_in_small_parts(spark):
+    words = [f"w{i}" for i in range(300)]
+    rows = [(1, {w: w + "!" for w in words}), (2, {}), (3, None), (4, {"w1": None})]
+    df = spark.createDataFrame(rows, "id int, v map<string,string>").withColumn("s", spelling.in_slots(F.col("v")))
+    sizes = {r["id"]: r["n"] for r in df.select("id", F.transform("s", F.size).alias("n")).collect()}
+    assert sum(sizes[1]) == 300 and max(sizes[1]) <= 4 * spelling.SLOT_WORDS and sizes[3] is None
+    asked = df.select("id", "s", F.explode(F.array(*map(F.lit, [*words, "x"]))).alias("w"))
+    got = {(r["id"], r["w"]): r["f"] for r in asked.select("id", "w", spelling.from_slots(F.col("s"), F.col("w")).alias("f")).collect()}
+    assert got == {(i, w): (v or {}).get(w) for i, v in rows for w in [*words, "x"]}
+
+
+def test_tokens_without_marks_are_not_peeled(spark):
+    rng = random.Random(6)
+    bits = ["ab", "Don't", "x-y", "'", "«", ",", "(", "_", "12", "é", " ", "\n", " ", " ", "§", "😀"]
+    texts = [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(12)))) for i in range(400)]
+    toks = spelling.token_table(spark.createDataFrame(texts, "id int, text string").repartition(2), ["id"])
+    peeled = toks.select("*", peel(F.col("raw")).alias("p"), is_space(F.col("raw")).alias("space")).collect()
+    for r in peeled:
+        assert (r["kind"] == "space") == r["space"]
+        assert (r["pre"], r["core"], r["post"]) == ((None,) * 3 if r["space"] else tuple(r["p"]))
+    # Only words that are not letters and digits throughout go through the patterns.
+    plan = toks._jdf.queryExecution().optimizedPlan().toString()
+    assert "^[A-Za-z0-9_]++" in plan

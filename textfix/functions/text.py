@@ -56,6 +56,8 @@ PLAIN_CORE_RE = (
 # A piece (PIECE_RE) whose group is the core of a plain word; other pieces have none.
 PIECE_CORE_RE = rf"(?:{MARKS}({PLAIN_BODY}){MARKS}(?:(?=[{WS_TABLE}])|(?!{NOT_WS}))|{TOKEN_BODY})[{WS}]*+|[{WS}]+"
 PEEL_RE = rf"(?s)^([^{WORD}]*+)(.*?)([^{WORD}]*)\z"
+# A word without anything to peel off.
+BARE_RE = r"^[A-Za-z0-9_]++\z"
 DOMAIN_RE = r"^(?:[A-Za-z0-9\-]{2,}+\.)++[A-Za-z]{2,6}\z"
 DIGIT_RE = rf"[\p{{Nd}}{OTHER_DIGITS}]"
 # Found in every text that holds a structured span, and in few others.
