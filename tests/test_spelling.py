@@ -176,3 +176,19 @@ def test_tokens_without_marks_are_not_peeled(spark):
     # Only words that are not letters and digits throughout go through the patterns.
     plan = toks._jdf.queryExecution().optimizedPlan().toString()
     assert "^[A-Za-z0-9_]++" in plan
+
+
+def test_applying_suggestions_shuffles_the_tokens_once(spark):
+    tokens = [(i, p, "space" if p % 2 else "word", " " if p % 2 else f"({i}w{p})") for i in range(300) for p in range(9)]
+    part = lambda at: F.when(F.col("kind") == "word", F.substring("raw", *at))
+    analyzed = spark.createDataFrame(tokens, "id int, pos int, kind string, raw string").select(
+        "*", part((1, 1)).alias("pre"), part((-1, 1)).alias("post")
+    )
+    rows = [(i, p, f"n{p}") for i in range(0, 300, 3) for p in (0, 1, 8)] + [(5, 2, None), (999, 0, "gone"), (None, 0, "x")]
+    chosen = spark.createDataFrame(rows, "id long, pos long, word string")
+    done = apply_suggestions(analyzed, chosen, ["id"])
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    put = {(i, p): w for i, p, w in rows if w}
+    pieces = lambda i: (f"({put[i, p]})" if (i, p) in put and p % 2 == 0 else raw for j, p, _, raw in tokens if j == i)
+    assert {r["id"]: r["text"] for r in done.collect()} == {i: "".join(pieces(i)) for i in range(300)}

@@ -308,18 +308,36 @@ def apply_suggestions(
 ) -> DataFrame:
     """Rebuild texts from a token table, putting ``decisions`` (id, pos, word) in place.
 
-    Only the named token changes; marks around it and all other tokens stay as typed.
+    Only the named token changes; marks around it and all other tokens stay as typed. ``decisions`` has
+    one row per token at most. The tokens of a text go to it once, with its decisions behind them.
     """
-    keys = [*id_cols, "pos"]
-    joined = analyzed.select(*keys, "kind", "raw", "pre", "post").join(decisions, keys, "left")
-    piece = F.when(
-        (F.col("kind") == "word") & F.col("word").isNotNull(), F.concat("pre", "word", "post")
-    ).otherwise(F.col("raw"))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", piece.alias("piece"))))
-    return joined.groupBy(*id_cols).agg(
-        F.array_join(F.transform(ordered, lambda s: s["piece"]), "").alias(out)
+    word, at = F.col("kind") == "word", F.col("pos").cast("long") * 2
+    toks = analyzed.select(
+        *id_cols,
+        F.struct(
+            at.alias("at"), F.col("raw").alias("text"), F.when(word, F.col("pre")).alias("pre"),
+            F.when(word, F.col("post")).alias("post"),
+        ).alias("_t"),
+    )
+    none = F.lit(None).cast("string")
+    put = decisions.dropna(subset=[*id_cols, "pos", "word"]).select(
+        *(F.col(c).cast(analyzed.schema[c].dataType).alias(c) for c in id_cols),
+        F.struct((at + 1).alias("at"), F.col("word").alias("text"), none.alias("pre"), none.alias("post")).alias("_t"),
+    )
+    listed = (
+        toks.unionByName(put).groupBy(*id_cols)
+        .agg(F.array_sort(F.collect_list("_t")).alias("_l"), F.bool_or(F.col("_t.at") % 2 == 0).alias("_any"))
+        .where("_any")
     )
 
+    def piece(t: Column, i: Column) -> Column:
+        after = F.get("_l", i + 1)
+        chosen = F.when(after["at"] == t["at"] + 1, F.concat(t["pre"], after["text"], t["post"]))
+        # The row of a decision has no piece of its own.
+        return F.when(t["at"] % 2 == 0, F.coalesce(chosen, t["text"]))
+
+    return listed.select(*id_cols, F.array_join(F.transform("_l", piece), "").alias(out))
+
 
 def suggestion_summary(analyzed: DataFrame, cards: DataFrame, id_cols: list[str]) -> DataFrame:
     """Per text: number of tokens with suggestions and number of grammar cards."""

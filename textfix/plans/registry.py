@@ -236,7 +236,8 @@ def analyze_tokens(spark, sf):
 @query
 def apply_suggestions(spark, sf):
     """Every token with suggestions gets the first one."""
-    analyzed = materialize(_analyzed(spark, sf), "analyzed")
+    read = ["doc_id", "pos", "kind", "raw", "pre", "post", "status", "candidates"]
+    analyzed = materialize(_analyzed(spark, sf).select(read), "analyzed")
     chosen = analyzed.where(F.col("status") == "suggest").select(
         "doc_id", "pos", F.get("candidates", F.lit(0)).alias("word")
     )
