@@ -3,6 +3,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from textfix import session
 from textfix.config import CorrectionConfig, SpellConfig
 from textfix.operators.lookup import lookup_join
 from textfix.plans import correct as job
@@ -187,3 +188,27 @@ def test_lost_words_are_found_as_the_texts_are_written(spark, monkeypatch):
     done = correct(rows, terms, lambda m: F.replace(m, F.lit("Quux "), F.lit("")), CFG, id_cols=["id"])
     assert {r["id"]: r["correction"]["meaning_guarded"] for r in done.collect()} == {1: True, 2: False}
     assert len(left) == 1 and "regexp" not in left[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_written_where_they_differ_only(spark, monkeypatch):
+    written = []
+
+    def kept(df, name):
+        written.append((name, df))
+        return session.materialize(df, name)
+
+    monkeypatch.setattr(job, "materialize", kept)
+    rows = [(1, "the receiver is here"), (2, "teh receiver"), (3, "mail a@b.com"), (4, None)]
+    df = spark.createDataFrame(rows, "id int, body string")
+    words = [("the", 5), ("receiver", 5), ("is", 5), ("here", 5), ("mail", 5)]
+    terms = spark.createDataFrame(words, "term string, count long")
+    cfg = CorrectionConfig(speller=SpellConfig(min_suggestion_count=1))
+    done = job.correct(df, terms, lambda m: F.when(m.startswith("mail"), F.concat(m, F.lit("!"))).otherwise(m), cfg, "body", id_cols=["id"])
+    base = next(df for name, df in written if name == "candidates")
+    assert set(base.columns) == {"id", "body", "_ok", "_words", "_spelled", "_masked", "_cand"}
+    found = {r["id"]: tuple(r[c] and r[c]["v"] for c in ("_spelled", "_masked", "_cand")) for r in base.collect()}
+    assert found == {1: (None,) * 3, 2: ("the receiver", None, None), 3: (None, "mail __0__", "mail a@b.com!"), 4: (None,) * 3}
+    out = {r["id"]: r["correction"] and tuple(r["correction"][c] for c in ("spell_corrected", "masked", "final")) for r in done.collect()}
+    assert out == {
+        1: (rows[0][1],) * 3, 2: ("the receiver",) * 3, 3: ("mail a@b.com", "mail __0__", "mail a@b.com!"), 4: None
+    }
