@@ -192,3 +192,15 @@ def test_applying_suggestions_shuffles_the_tokens_once(spark):
     put = {(i, p): w for i, p, w in rows if w}
     pieces = lambda i: (f"({put[i, p]})" if (i, p) in put and p % 2 == 0 else raw for j, p, _, raw in tokens if j == i)
     assert {r["id"]: r["text"] for r in done.collect()} == {i: "".join(pieces(i)) for i in range(300)}
+
+
+def test_common_words_without_a_value_are_not_shuffled(spark):
+    df = spark.createDataFrame([(i, f"the cat teh w{chr(97 + i % 26)}x") for i in range(60)], "id long, text string")
+    uses = spark.createDataFrame(
+        [("the", None, 60), ("cat", None, 60), ("teh", "the", 60)] + [(f"w{chr(97 + i)}x", None, 2) for i in range(26)],
+        "word string, fix string, n long",
+    )
+    found = spelling.values_of_text(df, uses, "fix", SpellConfig(), "text", ["id"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert f"* {spelling.COMMON_WORDS})" in plan and plan.count("LeftAnti") >= 2
+    assert {r["id"]: r["_values"] for r in found.collect()} == {i: {"teh": "the"} for i in range(60)}
